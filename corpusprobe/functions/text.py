@@ -18,6 +18,16 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a lambda variable.
+
+    Catalyst inlines a projected expression into a lambda that references it,
+    which re-evaluates it per array element (a regex split per n-gram). Binding
+    it through a one-element ``transform`` evaluates it once per row.
+    """
+    return F.element_at(F.transform(F.array(_c(value)), fn), 1)
+
+
 def ws_tokens(text) -> Column:
     """``text.split()``: split on any run of Unicode whitespace, no empties."""
     return F.filter(F.split(_c(text), WS_CLASS + "+"), lambda x: x != F.lit(""))
@@ -45,11 +55,10 @@ def power_log(x) -> Column:
 
 def ngram_list(words, n: int) -> Column:
     """All n-grams of a word array in order, duplicates kept (each an array)."""
-    w = _c(words)
-    return F.when(
+    return let(words, lambda w: F.when(
         F.size(w) >= n,
         F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, n)),
-    ).otherwise(F.array().cast("array<array<string>>"))
+    ).otherwise(F.array().cast("array<array<string>>")))
 
 
 def ngram_strings(words, n: int) -> Column:
@@ -72,12 +81,14 @@ def fixed_tile_starts(n_words, length: int) -> Column:
 def fixed_tile(words, start, length: int) -> Column:
     """Tile of ``length`` words at ``start``; the last tile backs off so that it
     holds the last ``length`` words of the prompt."""
-    w = _c(words)
     s = _c(start)
-    n = F.size(w)
-    last = F.slice(w, F.greatest(n - length, F.lit(0)) + 1, F.lit(length))
-    inner = F.slice(w, s + 1, F.lit(length))
-    return F.array_join(F.when(s + length >= n, last).otherwise(inner), " ")
+
+    def tile(w):
+        n = F.size(w)
+        last = F.slice(w, F.greatest(n - length, F.lit(0)) + 1, F.lit(length))
+        inner = F.slice(w, s + 1, F.lit(length))
+        return F.array_join(F.when(s + length >= n, last).otherwise(inner), " ")
+    return let(words, tile)
 
 
 def halving_scales(n, lower_bound: int) -> Column:

@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import space_pieces
+from corpusprobe.functions.text import let, space_pieces
 
 ANCHOR_WORDS = 6   # max inner tokens per anchor chunk (k >= 3)
 ANCHOR_CHARS = 5   # anchor length inside one token (k = 1)
@@ -131,11 +131,11 @@ def _branch_two(q, toks, classes, per_doc, bcast) -> DataFrame:
           .withColumn("a2", F.least(F.length("p2"), F.lit(EDGE_CHARS)))
           .withColumn("key", F.concat(F.expr("right(p1, a1)"), F.lit(" "), F.expr("left(p2, a2)"))))
     qb = F.broadcast(qb) if bcast else qb
-    n = F.size("toks")
+    adjacent = let("toks", lambda t: F.transform(
+        F.slice(t, F.lit(1), F.size(t) - 1),
+        lambda x, i: F.struct(x.alias("t1"), F.element_at(t, i + 2).alias("t2"))))
     pairs = (toks
-             .select(*keys, F.explode(F.transform(
-                 F.slice("toks", F.lit(1), n - 1),
-                 lambda x, i: F.struct(x.alias("t1"), F.element_at("toks", i + 2).alias("t2")))).alias("pr"))
+             .select(*keys, F.explode(adjacent).alias("pr"))
              .select(*keys, "pr.t1", "pr.t2")
              .groupBy(*keys, "t1", "t2").agg(F.count(F.lit(1)).alias("freq")))
     cls = F.array(*[F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2")) for a, b in classes])

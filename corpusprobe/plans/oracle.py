@@ -184,3 +184,83 @@ WITH {WORD_TILES}
 SELECT task, CAST(count(DISTINCT CASE WHEN longest > {_WB} THEN text END) AS BIGINT) AS flagged
 FROM hw GROUP BY task
 """
+
+# ---------------------------------------------------------------- corpus, lines, n-grams
+NL = "chr(10)"
+LINES = f"""
+ls AS (SELECT doc_id, string_split(text, {NL}) AS parts FROM documents WHERE text IS NOT NULL),
+lt AS (SELECT doc_id, CASE WHEN len(parts) > 1 AND parts[len(parts)] = '' THEN parts[1 : len(parts) - 1]
+                           ELSE parts END AS parts FROM ls),
+lines AS (SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS BIGINT) AS line_no,
+                 unnest(parts) AS line FROM lt)"""
+GRAMS = LINES + f""",
+lw AS (SELECT doc_id, line_no, list_filter(string_split_regex(line, '{WS}'), lambda x: x <> '') AS w
+       FROM lines),
+grams AS (SELECT doc_id, line_no, CAST(i - 1 AS BIGINT) AS pos,
+                 array_to_string(w[i : i + 4], ' ') AS ngram
+          FROM (SELECT doc_id, line_no, w, unnest(range(1, len(w) - 3)) AS i FROM lw WHERE len(w) >= 5))"""
+TOKS = f"""
+dt AS (SELECT doc_id, list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '') AS w
+       FROM documents WHERE text IS NOT NULL),
+dtok AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM dt),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS BIGINT) AS token_id
+          FROM (SELECT DISTINCT token FROM dtok))"""
+
+SQL["corpus_scan"] = "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents"
+
+SQL["corpus_lines"] = f"WITH {LINES} SELECT doc_id, line_no, line FROM lines"
+
+SQL["lines_scanned"] = f"WITH {LINES} SELECT CAST(count(*) AS BIGINT) AS lines FROM lines"
+
+SQL["newline_count"] = f"""
+SELECT CAST(coalesce(sum(length(text) - length(replace(text, {NL}, ''))), 0) AS BIGINT) AS newlines
+FROM documents"""
+
+SQL["ws_tokens"] = f"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '') AS w
+           FROM documents)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, array_to_string(w, ' ') AS tokens FROM t"""
+
+SQL["power_log"] = f"""
+WITH {PROMPTS},
+x AS (SELECT prompt_id, len(w) AS nw, length(text) AS nc FROM pw)
+SELECT prompt_id, CAST(nw AS BIGINT) AS n_words,
+       CASE WHEN nw > 0 THEN CAST(2 ** ceil(ln(nw) / ln(2)) AS BIGINT) END AS pl_words,
+       CAST(nc AS BIGINT) AS n_chars,
+       CASE WHEN nc > 0 THEN CAST(2 ** ceil(ln(nc) / ln(2)) AS BIGINT) END AS pl_chars
+FROM x"""
+
+SQL["ngram_multiset"] = f"WITH {GRAMS} SELECT doc_id, line_no, pos, ngram FROM grams"
+
+SQL["ngram_set"] = f"""
+WITH {GRAMS},
+firsts AS (SELECT doc_id, line_no, ngram, min(pos) AS p0 FROM grams GROUP BY doc_id, line_no, ngram)
+SELECT doc_id, line_no,
+       CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY p0) - 1 AS BIGINT) AS pos, ngram
+FROM firsts"""
+
+SQL["distinct_ngrams"] = f"WITH {GRAMS} SELECT DISTINCT ngram FROM grams"
+
+SQL["ngram_cardinality"] = f"""
+WITH {GRAMS} SELECT CAST(count(DISTINCT ngram) AS BIGINT) AS n_ngrams FROM grams"""
+
+SQL["ngram_index"] = f"""
+WITH {GRAMS}
+SELECT ngram, CAST(row_number() OVER (ORDER BY ngram) - 1 AS BIGINT) AS ngram_id
+FROM (SELECT DISTINCT ngram FROM grams)"""
+
+SQL["token_ids"] = f"WITH {TOKS} SELECT token, token_id FROM vocab"
+
+SQL["token_lines"] = f"""
+WITH {TOKS}
+SELECT d.doc_id, string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY d.pos) AS line
+FROM dtok d JOIN vocab v ON v.token = d.token GROUP BY d.doc_id"""
+
+SQL["count_occurrences_tokens"] = f"""
+WITH {TILES},
+qs AS (SELECT DISTINCT tile AS query FROM tiles),
+dj AS (SELECT ' ' || array_to_string(list_filter(string_split_regex(text, '{WS}'), lambda x: x <> ''), ' ')
+              || ' ' AS t FROM documents),
+h AS (SELECT q.query, dj.t, ' ' || q.query || ' ' AS pq FROM qs q JOIN dj ON contains(dj.t, ' ' || q.query || ' '))
+SELECT q.query, CAST(coalesce(sum({_overlap('h.t', 'h.pq')}), 0) AS BIGINT) AS n
+FROM qs q LEFT JOIN h ON h.query = q.query GROUP BY q.query"""

@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusprobe.functions.text import power_log, ws_tokens
 from corpusprobe.operators import contamination as con
+from corpusprobe.operators import ngrams as ng
 from corpusprobe.operators.occurrences import occurrence_counts
 from corpusprobe.sources.prompts import benchmark_prompts, corpus
 
@@ -122,3 +124,92 @@ def q_flagged_per_task_halving(spark, d):
 def q_flagged_per_task_halving_chars(spark, d):
     r = con.halving_chars(benchmark_prompts(spark, d), corpus(spark, d), CHAR_LOWER_BOUND)
     return con.flagged_texts_per_task(r)
+
+
+# ------------------------------------------------------------ corpus, lines, n-grams
+
+NGRAM_N = 5
+
+
+def _lines(spark, d):
+    return ng.corpus_lines(corpus(spark, d))
+
+
+@register("corpus_scan")
+def q_corpus_scan(spark, d):
+    return corpus(spark, d).select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("corpus_lines")
+def q_corpus_lines(spark, d):
+    return _lines(spark, d)
+
+
+@register("lines_scanned")
+def q_lines_scanned(spark, d):
+    return ng.lines_scanned(_lines(spark, d))
+
+
+@register("newline_count")
+def q_newline_count(spark, d):
+    return ng.newline_count(corpus(spark, d))
+
+
+@register("ws_tokens")
+def q_ws_tokens(spark, d):
+    w = ws_tokens("text")
+    return corpus(spark, d).select("doc_id", F.size(w).cast("bigint").alias("n_tokens"),
+                                   F.array_join(w, " ").alias("tokens"))
+
+
+@register("power_log")
+def q_power_log(spark, d):
+    b = benchmark_prompts(spark, d)
+    nw = F.size(ws_tokens("text"))
+    nc = F.length("text")
+    return b.select("prompt_id", nw.cast("bigint").alias("n_words"), power_log(nw).alias("pl_words"),
+                    nc.cast("bigint").alias("n_chars"), power_log(nc).alias("pl_chars"))
+
+
+@register("ngram_multiset")
+def q_ngram_multiset(spark, d):
+    return ng.line_ngrams(_lines(spark, d), NGRAM_N)
+
+
+@register("ngram_set")
+def q_ngram_set(spark, d):
+    return ng.line_ngrams(_lines(spark, d), NGRAM_N, distinct=True)
+
+
+@register("distinct_ngrams")
+def q_distinct_ngrams(spark, d):
+    return ng.distinct_ngrams(_lines(spark, d), NGRAM_N)
+
+
+@register("ngram_cardinality")
+def q_ngram_cardinality(spark, d):
+    return ng.ngram_cardinality(ng.distinct_ngrams(_lines(spark, d), NGRAM_N))
+
+
+@register("ngram_index")
+def q_ngram_index(spark, d):
+    return ng.ngram_index(_lines(spark, d), NGRAM_N)
+
+
+@register("token_ids")
+def q_token_ids(spark, d):
+    return ng.vocabulary(corpus(spark, d))
+
+
+@register("token_lines")
+def q_token_lines(spark, d):
+    c = corpus(spark, d)
+    return ng.token_lines(ng.token_ids(c, ng.vocabulary(c)))
+
+
+@register("count_occurrences_tokens")
+def q_count_occurrences_tokens(spark, d):
+    c = corpus(spark, d)
+    vocab = ng.vocabulary(c)
+    tiles = con.word_tiles(benchmark_prompts(spark, d), TILE_WORDS).select(F.col("tile").alias("query"))
+    return ng.token_occurrence_counts(ng.token_ids(c, vocab), ng.encode_queries(tiles, vocab))
