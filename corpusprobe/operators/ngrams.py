@@ -70,10 +70,11 @@ def ngram_cardinality(ngrams: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def dense_index(values: DataFrame, col: str, id_col: str = "id",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, order=None) -> DataFrame:
     """AGG8: ``(col, id_col)`` with 0-based ids in ascending order of ``col``.
 
-    ``values`` must hold distinct values. The range-partitioned, sorted copy is
+    ``values`` must hold distinct values of ``col`` (other columns are carried);
+    ``order`` optionally gives the sort columns. The range-partitioned, sorted copy is
     checkpointed into the shared checkpoint folder, so partition boundaries and
     per-partition positions survive a lost executor; the per-partition counts
     (one row per partition, a proven bound) are broadcast as offsets.
@@ -81,17 +82,19 @@ def dense_index(values: DataFrame, col: str, id_col: str = "id",
     spark = values.sparkSession
     ensure_checkpoint_dir(spark)
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (values.select(col)
-              .repartitionByRange(parts, col)
-              .sortWithinPartitions(col)
+    order = order or [F.col(col)]
+    ranged = (values
+              .repartitionByRange(parts, *order)
+              .sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint())
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    keep = [c for c in values.columns]
     return (ranged.join(F.broadcast(offs), "_pid")
-            .select(col, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint").alias(id_col)))
+            .select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint").alias(id_col)))
 
 
 def ngram_index(lines: DataFrame, n: int = 5) -> DataFrame:

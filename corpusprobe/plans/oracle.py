@@ -264,3 +264,78 @@ dj AS (SELECT ' ' || array_to_string(list_filter(string_split_regex(text, '{WS}'
 h AS (SELECT q.query, dj.t, ' ' || q.query || ' ' AS pq FROM qs q JOIN dj ON contains(dj.t, ' ' || q.query || ' '))
 SELECT q.query, CAST(coalesce(sum({_overlap('h.t', 'h.pq')}), 0) AS BIGINT) AS n
 FROM qs q LEFT JOIN h ON h.query = q.query GROUP BY q.query"""
+
+# ---------------------------------------------------------------- words and transforms
+WORDS = f"""
+fw AS (SELECT unnest(list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '')) AS word
+       FROM documents),
+freq AS (SELECT word, CAST(count(*) AS BIGINT) AS n FROM fw GROUP BY word),
+ranked AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, word) - 1 AS BIGINT) AS rank, word, n FROM freq),
+tw AS (SELECT CAST(row_number() OVER (ORDER BY rank) - 1 AS BIGINT) AS idx, word
+       FROM (SELECT rank, word FROM ranked WHERE length(word) BETWEEN 5 AND 14 ORDER BY rank LIMIT 10000)),
+wk AS (SELECT word, unnest(range(1, 6)) AS k FROM tw)"""
+
+
+def _draw(k: str, p: str) -> str:
+    return f"md5(word || ':' || CAST({k} AS VARCHAR) || ':' || CAST({p} AS VARCHAR))"
+
+
+def _shuffle(mid: str) -> str:
+    return (f"CASE WHEN length({mid}) > 0 THEN array_to_string(list_transform(list_sort(list_transform("
+            f"range(1, length({mid}) + 1), lambda p: {_draw('k', 'p')} || substr({mid}, p, 1))), "
+            f"lambda y: substr(y, 33, 1)), '') ELSE '' END")
+
+
+def _anagram(keep: int) -> str:
+    mid = f"substr(word, {keep + 1}, greatest(length(word) - {2 * keep}, 0))"
+    return f"left(word, {keep}) || {_shuffle(mid)} || right(word, {keep})"
+
+
+_SEPS = "[',', '.', '!', '/', '\\', ':', ';', ' ']"
+_INSERT = (f"CASE WHEN length(word) > 0 THEN array_to_string(list_transform(range(1, length(word) + 1), "
+           f"lambda p: substr(word, p, 1) || CASE WHEN p < length(word) THEN "
+           f"{_SEPS}[((strpos('0123456789abcdef', substr({_draw('k', 'p')}, 1, 1)) - 1) % 8) + 1] "
+           f"ELSE '' END), '') ELSE '' END")
+
+TRANSFORM_SQL = WORDS + f""",
+t_reverse AS (SELECT 'reverse' AS transform, word, reverse(word) AS query FROM tw),
+t_anagram_hard AS (SELECT DISTINCT 'anagram_hard' AS transform, word, {_anagram(1)} AS query FROM wk),
+t_anagram_easy AS (SELECT DISTINCT 'anagram_easy' AS transform, word, {_anagram(2)} AS query FROM wk),
+t_insertion AS (SELECT DISTINCT 'insertion' AS transform, word, {_INSERT} AS query FROM wk),
+t_cycles AS (SELECT DISTINCT 'cycles' AS transform, word,
+                    unnest(list_transform(range(0, length(word)),
+                                          lambda i: substr(word, i + 1) || substr(word, 1, i))) AS query
+             FROM tw),
+tq AS (SELECT DISTINCT transform, word, query FROM (
+         SELECT * FROM t_reverse UNION ALL SELECT * FROM t_anagram_hard UNION ALL
+         SELECT * FROM t_anagram_easy UNION ALL SELECT * FROM t_insertion UNION ALL
+         SELECT * FROM t_cycles) WHERE query <> word)"""
+
+COUNTED = TRANSFORM_SQL + f""",
+dq AS (SELECT DISTINCT query FROM tq),
+tok AS (SELECT t, count(*) AS f FROM (SELECT unnest(string_split(text, ' ')) AS t FROM documents) GROUP BY t),
+lens AS (SELECT DISTINCT length(query) AS l FROM dq WHERE NOT contains(query, ' ')),
+pos AS (SELECT t, f, l, unnest(range(1, length(t) - l + 2)) AS i FROM tok JOIN lens ON length(tok.t) >= lens.l),
+c1 AS (SELECT dq.query, sum(pos.f) AS n FROM dq JOIN pos ON substr(pos.t, pos.i, pos.l) = dq.query
+       WHERE NOT contains(dq.query, ' ') GROUP BY dq.query),
+c2 AS (SELECT dq.query, sum({_overlap('d.text', 'dq.query')}) AS n
+       FROM dq JOIN documents d ON contains(d.text, dq.query)
+       WHERE contains(dq.query, ' ') GROUP BY dq.query),
+cnt AS (SELECT tq.transform, tq.word, tq.query, CAST(coalesce(c1.n, c2.n, 0) AS BIGINT) AS n
+        FROM tq LEFT JOIN c1 ON c1.query = tq.query LEFT JOIN c2 ON c2.query = tq.query)"""
+
+SQL["word_frequencies"] = f"WITH {WORDS} SELECT rank, word, n FROM ranked"
+SQL["test_words"] = f"WITH {WORDS} SELECT idx, word FROM tw"
+SQL["word_slice"] = f"WITH {WORDS} SELECT idx, word FROM tw WHERE idx >= 0 AND idx < 10"
+for _t in ("reverse", "anagram_hard", "anagram_easy", "insertion", "cycles"):
+    SQL[f"transform_{_t}"] = f"WITH {TRANSFORM_SQL} SELECT word, query FROM tq WHERE transform = '{_t}'"
+
+SQL["transform_combined"] = f"""
+WITH {TRANSFORM_SQL},
+r AS (SELECT word, query AS t FROM tq WHERE transform = 'reverse')
+SELECT DISTINCT 'reverse' AS transform, word, unnest([word || ', ' || t, word || ' ' || t, word || ' = ' || t,
+       word || '=' || t, t || ', ' || word, t || ' ' || word, t || ' = ' || word, t || '=' || word]) AS query
+FROM r"""
+
+SQL["transform_counts"] = f"WITH {COUNTED} SELECT transform, word, query, n FROM cnt"
+SQL["transform_avg_count"] = f"WITH {COUNTED} SELECT transform, avg(n) AS avg_n FROM cnt GROUP BY transform"

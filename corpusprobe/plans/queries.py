@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from corpusprobe.functions.text import power_log, ws_tokens
 from corpusprobe.operators import contamination as con
+from corpusprobe.functions.wordforms import TRANSFORMS
 from corpusprobe.operators import ngrams as ng
+from corpusprobe.operators import probing as pr
 from corpusprobe.operators.occurrences import occurrence_counts
 from corpusprobe.sources.prompts import benchmark_prompts, corpus
 
@@ -23,6 +25,8 @@ TILE_WORDS = 8
 WORD_LOWER_BOUND = 4
 CHAR_LOWER_BOUND = 32
 
+TRANSFORM_NAMES = list(TRANSFORMS)
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -213,3 +217,56 @@ def q_count_occurrences_tokens(spark, d):
     vocab = ng.vocabulary(c)
     tiles = con.word_tiles(benchmark_prompts(spark, d), TILE_WORDS).select(F.col("tile").alias("query"))
     return ng.token_occurrence_counts(ng.token_ids(c, vocab), ng.encode_queries(tiles, vocab))
+
+
+# ------------------------------------------------------------ word lists and transforms
+
+N_OUTPUTS = 5
+N_TEST_WORDS = 10000   # the reference's default list length (a top-k feature)
+
+
+def _test_words(spark, d):
+    return pr.test_words(pr.word_frequencies(corpus(spark, d)), N_TEST_WORDS)
+
+
+@register("word_frequencies")
+def q_word_frequencies(spark, d):
+    return pr.word_frequencies(corpus(spark, d))
+
+
+@register("test_words")
+def q_test_words(spark, d):
+    return _test_words(spark, d)
+
+
+@register("word_slice")
+def q_word_slice(spark, d):
+    # The regex scan of the reference searches words[:10].
+    return pr.word_slice(_test_words(spark, d), 0, 10)
+
+
+def _transform_query(name):
+    def fn(spark, d):
+        q = pr.transform_queries(_test_words(spark, d), [name], N_OUTPUTS)
+        return q.select("word", "query")
+    return fn
+
+
+for _name in TRANSFORM_NAMES:
+    register(f"transform_{_name}")(_transform_query(_name))
+
+
+@register("transform_combined")
+def q_transform_combined(spark, d):
+    return pr.transform_queries(_test_words(spark, d), ["reverse"], N_OUTPUTS, combine_with_word=True)
+
+
+@register("transform_counts")
+def q_transform_counts(spark, d):
+    return pr.transform_counts(corpus(spark, d), _test_words(spark, d), None, N_OUTPUTS)
+
+
+@register("transform_avg_count")
+def q_transform_avg_count(spark, d):
+    return pr.transform_avg_count(
+        pr.transform_counts(corpus(spark, d), _test_words(spark, d), None, N_OUTPUTS))
