@@ -17,14 +17,19 @@ from corpusprobe.operators.ngrams import dense_index
 from corpusprobe.operators.occurrences import occurrence_counts
 
 
+def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+    """``(word, n)``: whitespace-token frequencies (partial aggregation per task)."""
+    return (corpus.select(F.explode(ws_tokens(text_col)).alias("word"))
+            .groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
+
+
 def word_frequencies(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """SRC14 derived from the corpus: ``(rank, word, n)``, most frequent first.
 
     Ties are ordered by word; ranks are 0-based positions in the list, assigned
     by range partitioning (no single-partition window).
     """
-    counts = (corpus.select(F.explode(ws_tokens(text_col)).alias("word"))
-              .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    counts = word_counts(corpus, text_col)
     ranked = dense_index(counts, "word", "rank", order=[F.col("n").desc(), F.col("word").asc()])
     return ranked.select("rank", "word", F.col("n").cast("bigint").alias("n"))
 
@@ -48,12 +53,14 @@ def read_frequency_list(spark, path: str) -> DataFrame:
 def test_words(freq: DataFrame, limit: int = 10000, min_len: int = 5, max_len: int = 14) -> DataFrame:
     """FLT1 + FLT2: the first ``limit`` words with ``min_len <= len <= max_len``.
 
-    ``(idx, word)``; the limit is the feature (a top-k by rank), so only the
-    ``limit`` rows reach the final numbering window.
+    ``freq`` is a ranked list ``(rank, word)`` or counts ``(word, n)`` (list
+    order = n descending, then word). ``(idx, word)``; the limit is the feature
+    (a top-k), so only ``limit`` rows reach the final numbering window.
     """
+    order = [F.col("rank")] if "rank" in freq.columns else [F.col("n").desc(), F.col("word")]
     picked = (freq.where(F.length("word").between(min_len, max_len))
-              .orderBy("rank").limit(limit))
-    return picked.select((F.row_number().over(Window.orderBy("rank")) - 1).cast("bigint").alias("idx"),
+              .orderBy(*order).limit(limit))
+    return picked.select((F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint").alias("idx"),
                          "word")
 
 

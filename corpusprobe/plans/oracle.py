@@ -339,3 +339,26 @@ FROM r"""
 
 SQL["transform_counts"] = f"WITH {COUNTED} SELECT transform, word, query, n FROM cnt"
 SQL["transform_avg_count"] = f"WITH {COUNTED} SELECT transform, avg(n) AS avg_n FROM cnt GROUP BY transform"
+
+# ---------------------------------------------------------------- natural-prompt regex
+_NW = r"[^\p{L}\p{N}_]"
+_UNIT = ("'(^|{nw}+)\\Q' || {a} || '\\E{nw}+\\Q' || {b} || '\\E($|{nw}+)|(^|{nw}+)\\Q' || {b} || "
+         "'\\E{nw}+\\Q' || {a} || '\\E($|{nw}+)'")
+NATURAL = WORDS + "," + LINES + f""",
+pairs AS (SELECT idx, word, reverse(word) AS t FROM tw WHERE idx < 10),
+pat AS (SELECT string_agg({_UNIT.format(nw=_NW, a='word', b='t')}, '|' ORDER BY idx) AS p FROM pairs),
+cand AS (SELECT DISTINCT l.doc_id, l.line_no FROM lines l
+         JOIN pairs ON contains(l.line, pairs.word) AND contains(l.line, pairs.t)),
+hitl AS (SELECT l.doc_id, l.line_no,
+                len(regexp_extract_all(l.line, (SELECT p FROM pat))) AS n
+         FROM lines l SEMI JOIN cand ON cand.doc_id = l.doc_id AND cand.line_no = l.line_no),
+nc AS (SELECT l.doc_id, l.line_no, 'reverse' AS transform, CAST(coalesce(h.n, 0) AS BIGINT) AS n
+       FROM lines l LEFT JOIN hitl h ON h.doc_id = l.doc_id AND h.line_no = l.line_no)"""
+
+SQL["word_pairs"] = f"WITH {WORDS} SELECT word, reverse(word) AS transformed FROM tw WHERE idx < 10"
+SQL["natural_prompt_counts"] = f"WITH {NATURAL} SELECT doc_id, line_no, transform, n FROM nc WHERE n > 0"
+SQL["natural_prompt_docs"] = f"""
+WITH {NATURAL}
+SELECT transform, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS matching_lines,
+       CAST(sum(n) AS BIGINT) AS matches
+FROM nc GROUP BY transform"""

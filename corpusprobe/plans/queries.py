@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusprobe.functions.text import power_log, ws_tokens
 from corpusprobe.operators import contamination as con
 from corpusprobe.functions.wordforms import TRANSFORMS
+from corpusprobe.operators import natural as nat
 from corpusprobe.operators import ngrams as ng
 from corpusprobe.operators import probing as pr
 from corpusprobe.operators.occurrences import occurrence_counts
@@ -226,7 +227,7 @@ N_TEST_WORDS = 10000   # the reference's default list length (a top-k feature)
 
 
 def _test_words(spark, d):
-    return pr.test_words(pr.word_frequencies(corpus(spark, d)), N_TEST_WORDS)
+    return pr.test_words(pr.word_counts(corpus(spark, d)), N_TEST_WORDS)
 
 
 @register("word_frequencies")
@@ -270,3 +271,35 @@ def q_transform_counts(spark, d):
 def q_transform_avg_count(spark, d):
     return pr.transform_avg_count(
         pr.transform_counts(corpus(spark, d), _test_words(spark, d), None, N_OUTPUTS))
+
+
+# ------------------------------------------------------------ natural-prompt regex scan
+
+N_REGEX_WORDS = 10   # the reference scans with words[:10]
+
+
+def _reverse_pairs(spark, d):
+    words = pr.word_slice(_test_words(spark, d), 0, N_REGEX_WORDS)
+    return nat.word_pairs(words.select("idx", "word"), TRANSFORMS["reverse"]).join(
+        words.select("idx", "word"), "word")
+
+
+def _pairs_list(spark, d):
+    # A top-k list of N_REGEX_WORDS rows: collected to build one literal pattern.
+    rows = _reverse_pairs(spark, d).orderBy("idx").collect()
+    return {"reverse": [(r["word"], r["transformed"]) for r in rows]}
+
+
+@register("word_pairs")
+def q_word_pairs(spark, d):
+    return _reverse_pairs(spark, d).select("word", "transformed")
+
+
+@register("natural_prompt_counts")
+def q_natural_prompt_counts(spark, d):
+    return nat.natural_prompt_counts(_lines(spark, d), _pairs_list(spark, d))
+
+
+@register("natural_prompt_docs")
+def q_natural_prompt_docs(spark, d):
+    return nat.natural_prompt_docs(_lines(spark, d), _pairs_list(spark, d))
