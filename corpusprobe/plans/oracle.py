@@ -362,3 +362,49 @@ WITH {NATURAL}
 SELECT transform, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE n > 0) AS BIGINT) AS matching_lines,
        CAST(sum(n) AS BIGINT) AS matches
 FROM nc GROUP BY transform"""
+
+# ---------------------------------------------------------------- MinHash and containment
+from corpusprobe.operators.minhash import PRIME, permutations  # noqa: E402
+
+_PERM = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(permutations()))
+
+
+def _shingles(src: str, key: str) -> str:
+    return f"""(SELECT DISTINCT {key} AS key, array_to_string(w[i : i + 4], ' ') AS shingle
+        FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i
+              FROM (SELECT {key}, list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '') AS w
+                    FROM {src}) WHERE len(w) >= 5))"""
+
+
+SETS = f"""
+dsh AS {_shingles('documents', 'doc_id')},
+qsh AS {_shingles('benchmark', 'item_id')},
+perm AS (SELECT * FROM (VALUES {_PERM}) t(i, a, b)),
+dmin AS (SELECT key, i, min((a * (CAST('0x' || substr(md5(shingle), 1, 8) AS BIGINT) % {PRIME}) + b) % {PRIME}) AS m
+         FROM dsh, perm GROUP BY key, i),
+qmin AS (SELECT key, i, min((a * (CAST('0x' || substr(md5(shingle), 1, 8) AS BIGINT) % {PRIME}) + b) % {PRIME}) AS m
+         FROM qsh, perm GROUP BY key, i),
+qsz AS (SELECT key AS qkey, count(*) AS q_size FROM qsh GROUP BY key),
+ov AS (SELECT q.key AS qkey, d.key, count(*) AS overlap FROM qsh q JOIN dsh d ON d.shingle = q.shingle
+       GROUP BY q.key, d.key),
+cx AS (SELECT ov.qkey, ov.key, CAST(overlap AS BIGINT) AS overlap, CAST(q_size AS BIGINT) AS q_size,
+              overlap / q_size AS containment
+       FROM ov JOIN qsz ON qsz.qkey = ov.qkey WHERE overlap / q_size >= 0.8)"""
+
+SQL["minhash_signatures"] = f"""
+WITH {SETS},
+sz AS (SELECT key, CAST(count(*) AS BIGINT) AS size FROM dsh GROUP BY key)
+SELECT dmin.key, sz.size, string_agg(CAST(m AS VARCHAR), ',' ORDER BY i) AS sig
+FROM dmin JOIN sz ON sz.key = dmin.key GROUP BY dmin.key, sz.size"""
+
+SQL["containment_exact"] = f"WITH {SETS} SELECT qkey, key, overlap, q_size, containment FROM cx"
+
+SQL["index_membership"] = f"""
+WITH {SETS}
+SELECT l.doc_id AS key, EXISTS (SELECT 1 FROM dsh WHERE dsh.key = l.doc_id) AS member FROM labels l"""
+
+SQL["minhash_estimate"] = f"""
+WITH {SETS}
+SELECT cx.qkey, cx.key, count(*) FILTER (WHERE qm.m = dm.m) / 128 AS jaccard_est
+FROM cx JOIN qmin qm ON qm.key = cx.qkey JOIN dmin dm ON dm.key = cx.key AND dm.i = qm.i
+GROUP BY cx.qkey, cx.key"""

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from corpusprobe.functions.text import power_log, ws_tokens
 from corpusprobe.operators import contamination as con
 from corpusprobe.functions.wordforms import TRANSFORMS
+from corpusprobe.operators import minhash as mh
 from corpusprobe.operators import natural as nat
 from corpusprobe.operators import ngrams as ng
 from corpusprobe.operators import probing as pr
 from corpusprobe.operators.occurrences import occurrence_counts
-from corpusprobe.sources.prompts import benchmark_prompts, corpus
+from corpusprobe.sources.prompts import benchmark_prompts, corpus, table
 
 # Parameters that suit the short test prompts.
 TILE_WORDS = 8
@@ -303,3 +304,56 @@ def q_natural_prompt_counts(spark, d):
 @register("natural_prompt_docs")
 def q_natural_prompt_docs(spark, d):
     return nat.natural_prompt_docs(_lines(spark, d), _pairs_list(spark, d))
+
+
+# ------------------------------------------------------------ MinHash and containment
+
+SHINGLE_N = 5
+CONTAINMENT = 0.8
+
+
+def _doc_sets(spark, d):
+    return mh.shingle_sets(corpus(spark, d), "doc_id", "text", SHINGLE_N)
+
+
+def _prompt_sets(spark, d):
+    return mh.shingle_sets(table(spark, d, "benchmark"), "item_id", "text", SHINGLE_N)
+
+
+@register("minhash_signatures")
+def q_minhash_signatures(spark, d):
+    sig = mh.minhash_signatures(_doc_sets(spark, d))
+    return sig.select("key", "size", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",")
+                      .alias("sig"))
+
+
+@register("containment_exact")
+def q_containment_exact(spark, d):
+    return mh.containment_exact(_prompt_sets(spark, d), _doc_sets(spark, d), CONTAINMENT)
+
+
+@register("containment_lsh")
+def q_containment_lsh(spark, d):
+    return mh.containment_lsh(_prompt_sets(spark, d), _doc_sets(spark, d), CONTAINMENT)
+
+
+@register("lsh_ensemble_bands")
+def q_lsh_ensemble_bands(spark, d):
+    sigs = mh.minhash_signatures(_doc_sets(spark, d))
+    return mh.lsh_index(sigs, mh.size_partitions(sigs.select("size")))
+
+
+@register("index_membership")
+def q_index_membership(spark, d):
+    keys = table(spark, d, "labels").select(F.col("doc_id").alias("key"))
+    return mh.index_membership(keys, _doc_sets(spark, d))
+
+
+@register("minhash_estimate")
+def q_minhash_estimate(spark, d):
+    qsets, dsets = _prompt_sets(spark, d), _doc_sets(spark, d)
+    pairs = mh.containment_exact(qsets, dsets, CONTAINMENT).select("qkey", "key")
+    qs = mh.minhash_signatures(qsets).select(F.col("key").alias("qkey"), F.col("sig").alias("qsig"))
+    ds = mh.minhash_signatures(dsets).select("key", F.col("sig").alias("dsig"))
+    return (pairs.join(qs, "qkey").join(ds, "key")
+            .select("qkey", "key", mh.minhash_estimate("qsig", "dsig").alias("jaccard_est")))
