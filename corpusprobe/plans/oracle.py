@@ -408,3 +408,45 @@ WITH {SETS}
 SELECT cx.qkey, cx.key, count(*) FILTER (WHERE qm.m = dm.m) / 128 AS jaccard_est
 FROM cx JOIN qmin qm ON qm.key = cx.qkey JOIN dmin dm ON dm.key = cx.key AND dm.i = qm.i
 GROUP BY cx.qkey, cx.key"""
+
+# ---------------------------------------------------------------- prompt sets, tasks, embedding
+LISTED = "SELECT DISTINCT 'task_' || CAST(item_id % 12 AS VARCHAR) AS task FROM benchmark"
+AVAIL = """SELECT DISTINCT 'task_' || CAST(doc_id % 10 AS VARCHAR) AS task,
+       CASE WHEN quality = 1 AND toxic = 0 THEN 'test' WHEN quality = 0 THEN 'validation' ELSE 'train' END AS split
+FROM labels"""
+
+SQL["prompts_by_task"] = f"WITH {PROMPTS} SELECT task, prompt_id, text FROM p"
+SQL["task_list"] = f"WITH {PROMPTS} SELECT DISTINCT task FROM p"
+SQL["typed_projection"] = """
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(quality AS INTEGER) AS quality, CAST(toxic AS BOOLEAN) AS toxic
+FROM labels"""
+SQL["decoded_prompts"] = "SELECT item_id AS prompt_id, decode(encode(text)) AS text FROM benchmark"
+SQL["split_fallback"] = f"""
+WITH t AS ({LISTED}), a AS ({AVAIL}),
+b AS (SELECT task, min(CASE split WHEN 'test' THEN 1 WHEN 'validation' THEN 2 END) AS p
+      FROM a WHERE split IN ('test', 'validation') GROUP BY task)
+SELECT t.task, CASE b.p WHEN 1 THEN 'test' WHEN 2 THEN 'validation' END AS split
+FROM t LEFT JOIN b ON b.task = t.task"""
+SQL["pending_tasks"] = f"""
+WITH t AS ({LISTED}),
+done AS (SELECT task FROM ({AVAIL}) WHERE split = 'test')
+SELECT task FROM t WHERE task NOT IN (SELECT task FROM done)"""
+SQL["prompt_counts_by_task"] = f"""
+WITH {PROMPTS},
+qs AS (SELECT DISTINCT text AS query FROM p WHERE length(text) > 0),
+h AS (SELECT q.query, sum({_overlap('d.text', 'q.query')}) AS n
+      FROM qs q JOIN documents d ON contains(d.text, q.query) GROUP BY q.query)
+SELECT p.task, p.prompt_id, CAST(coalesce(h.n, 0) AS BIGINT) AS n FROM p LEFT JOIN h ON h.query = p.text"""
+
+_EMB = f"""
+et AS (SELECT doc_id, list_transform(list_filter(string_split_regex(text, '{WS}'), lambda x: x <> ''),
+              lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64) AS b FROM documents),
+ec AS (SELECT doc_id, list_transform(range(0, 64), lambda j: len(list_filter(b, lambda x: x = j))) AS c FROM et),
+en AS (SELECT doc_id, c, sqrt(CAST(list_sum(list_transform(c, lambda x: CAST(x AS BIGINT) * x)) AS DOUBLE)) AS nrm
+       FROM ec),
+emb AS (SELECT doc_id, list_transform(c, lambda x: CAST(CASE WHEN nrm > 0 THEN x / nrm ELSE 0.0 END AS FLOAT))
+               AS embedding FROM en)"""
+SUB = "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '1066') LIMIT 100"
+SQL["seeded_subset"] = SUB
+SQL["embed_documents"] = f"WITH {_EMB} SELECT doc_id, embedding FROM emb"
+SQL["embed_subset"] = f"WITH {_EMB} SELECT doc_id, embedding FROM emb WHERE doc_id IN ({SUB})"

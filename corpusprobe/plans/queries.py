@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from corpusprobe.functions.text import power_log, ws_tokens
 from corpusprobe.operators import contamination as con
 from corpusprobe.functions.wordforms import TRANSFORMS
+from corpusprobe.operators import embed as em
 from corpusprobe.operators import minhash as mh
 from corpusprobe.operators import natural as nat
 from corpusprobe.operators import ngrams as ng
 from corpusprobe.operators import probing as pr
 from corpusprobe.operators.occurrences import occurrence_counts
+from corpusprobe.sources import tasks as tk
 from corpusprobe.sources.prompts import benchmark_prompts, corpus, table
 
 # Parameters that suit the short test prompts.
@@ -357,3 +359,90 @@ def q_minhash_estimate(spark, d):
     ds = mh.minhash_signatures(dsets).select("key", F.col("sig").alias("dsig"))
     return (pairs.join(qs, "qkey").join(ds, "key")
             .select("qkey", "key", mh.minhash_estimate("qsig", "dsig").alias("jaccard_est")))
+
+
+# ------------------------------------------------------------ prompt sets and cached tasks
+
+N_TASKS_LISTED = 12   # task list of the split/pending queries: task_<item_id % 12>
+N_TASKS_CACHED = 10   # tasks with cached splits: task_<doc_id % 10> from labels
+
+
+def _listed_tasks(spark, d):
+    b = table(spark, d, "benchmark")
+    return b.select(F.concat(F.lit("task_"), (F.col("item_id") % N_TASKS_LISTED).cast("string"))
+                    .alias("task")).distinct()
+
+
+def _available_splits(spark, d):
+    lab = table(spark, d, "labels")
+    split = (F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "test")
+             .when(F.col("quality") == 0, "validation").otherwise("train"))
+    return lab.select(F.concat(F.lit("task_"), (F.col("doc_id") % N_TASKS_CACHED).cast("string"))
+                      .alias("task"), split.alias("split")).distinct()
+
+
+@register("prompts_by_task")
+def q_prompts_by_task(spark, d):
+    return benchmark_prompts(spark, d)
+
+
+@register("task_list")
+def q_task_list(spark, d):
+    return benchmark_prompts(spark, d).select("task").distinct()
+
+
+@register("typed_projection")
+def q_typed_projection(spark, d):
+    info = {"features": {"doc_id": {"shape": [], "dtype": "int64"},
+                         "quality": {"shape": [], "dtype": "int32"},
+                         "toxic": {"shape": [], "dtype": "bool"}}, "num_shards": 1}
+    stored = table(spark, d, "labels").select(*[F.col(c).cast("bigint").alias(c)
+                                                for c in ("doc_id", "quality", "toxic")])
+    return tk.cast_to_declared(stored, info)
+
+
+@register("decoded_prompts")
+def q_decoded_prompts(spark, d):
+    b = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("prompt_id"), F.encode("text", "UTF-8").alias("inputs_pretokenized"))
+    return b.select("prompt_id", F.decode("inputs_pretokenized", "UTF-8").alias("text"))
+
+
+@register("split_fallback")
+def q_split_fallback(spark, d):
+    return tk.split_fallback(_listed_tasks(spark, d), _available_splits(spark, d))
+
+
+@register("pending_tasks")
+def q_pending_tasks(spark, d):
+    # Done = tasks whose test split was already written.
+    done = _available_splits(spark, d).where(F.col("split") == "test").select("task")
+    return tk.pending_tasks(_listed_tasks(spark, d), done)
+
+
+@register("prompt_counts_by_task")
+def q_prompt_counts_by_task(spark, d):
+    p = benchmark_prompts(spark, d)
+    counts = occurrence_counts(corpus(spark, d), p.select(F.col("text").alias("query")))
+    return (p.join(counts, p["text"] == counts["query"], "left")
+            .select("task", "prompt_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+
+
+# ------------------------------------------------------------ embedding
+
+SUBSET = 100
+
+
+@register("seeded_subset")
+def q_seeded_subset(spark, d):
+    return em.seeded_subset(corpus(spark, d), SUBSET).select("doc_id")
+
+
+@register("embed_documents")
+def q_embed_documents(spark, d):
+    return em.embed_text(corpus(spark, d)).select("doc_id", "embedding")
+
+
+@register("embed_subset")
+def q_embed_subset(spark, d):
+    return em.embed_text(em.seeded_subset(corpus(spark, d), SUBSET)).select("doc_id", "embedding")
