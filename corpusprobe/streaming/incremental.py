@@ -1,0 +1,50 @@
+"""Incremental contamination checks over a growing prompt folder.
+
+The reference rewrites its outputs after every task file and skips tasks whose
+output already exists (SRC11, SNK2/SNK3). With Structured Streaming the file
+source log plays that role: each run (``trigger(availableNow=True)``) picks up
+only the prompt files not seen before, checks them against the corpus in one
+micro-batch job and appends their per-prompt flags. The source log and commit
+log live in the shared checkpoint folder, so a lost executor or driver
+restart resumes without reprocessing or losing a file.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusprobe.operators.contamination import fixed_length_search
+from corpusprobe.session import ensure_checkpoint_dir
+
+
+def _prompts_from_batch(batch: DataFrame) -> DataFrame:
+    arr = F.from_json("value", "array<string>")
+    return (batch.select(F.col("task"), arr.alias("arr"))
+            .where(F.col("arr").isNotNull())
+            .select("task", F.posexplode("arr").alias("prompt_id", "text"))
+            .select("task", F.col("prompt_id").cast("bigint"), "text"))
+
+
+def flag_new_prompt_files(spark: SparkSession, prompt_dir: str, corpus: DataFrame, output_path: str,
+                          length: int = 16, checkpoint: str | None = None,
+                          available_now: bool = True):
+    """Start the stream; returns the ``StreamingQuery``.
+
+    Output rows: ``(task, prompt_id, text, flagged, tiles)`` in Parquet,
+    partitioned by task. JSON prompt files only (a list of strings or null).
+    """
+    ckpt = checkpoint or os.path.join(ensure_checkpoint_dir(spark), "flag_new_prompt_files")
+    files = (spark.readStream.format("text").option("wholetext", "true")
+             .option("pathGlobFilter", "*.json").load(prompt_dir)
+             .select(F.col("_metadata.file_name").alias("task"), "value"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        flags = fixed_length_search(_prompts_from_batch(batch), corpus, length)
+        flags.write.mode("append").partitionBy("task").parquet(output_path)
+
+    writer = files.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    return writer.start()

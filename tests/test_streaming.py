@@ -1,0 +1,23 @@
+import json
+import os
+
+from corpusprobe.streaming.incremental import flag_new_prompt_files
+
+
+def test_incremental_runs_only_new_files(spark, tmp_dir):
+    prompts = os.path.join(tmp_dir, "prompts")
+    os.makedirs(prompts)
+    out = os.path.join(tmp_dir, "out")
+    ckpt = os.path.join(tmp_dir, "ckpt")
+    corpus = spark.createDataFrame([(0, "the quick brown fox jumps")], "doc_id bigint, text string")
+    json.dump(["quick brown", "lazy dog"], open(os.path.join(prompts, "a.json"), "w"))
+    q = flag_new_prompt_files(spark, prompts, corpus, out, length=2, checkpoint=ckpt)
+    q.awaitTermination(120)
+    first = sorted((r["task"], r["prompt_id"], r["flagged"]) for r in spark.read.parquet(out).collect())
+    assert first == [("a.json", 0, True), ("a.json", 1, False)]
+    json.dump(["fox jumps"], open(os.path.join(prompts, "b.json"), "w"))
+    json.dump(None, open(os.path.join(prompts, "c.json"), "w"))
+    q = flag_new_prompt_files(spark, prompts, corpus, out, length=2, checkpoint=ckpt)
+    q.awaitTermination(120)
+    rows = sorted((r["task"], r["prompt_id"], r["flagged"]) for r in spark.read.parquet(out).collect())
+    assert rows == first + [("b.json", 0, True)]
