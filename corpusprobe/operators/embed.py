@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import let, ws_tokens
+from corpusprobe.functions.text import ws_tokens
 
 DIM = 64
 SHUFFLE_SEED = "1066"
@@ -29,21 +29,34 @@ def _bucket(token: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
-def bucket_counts(text, dim: int = DIM) -> Column:
-    """``array<int>`` of ``dim`` token counts per md5 bucket."""
-    def hist(b):
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                           lambda j: F.size(F.filter(b, lambda x: x == j)))
-    buckets = F.transform(ws_tokens(text), lambda t: _bucket(t, dim))
-    return let(buckets, hist)
+def token_buckets(text, dim: int = DIM) -> Column:
+    """``array<bigint>``: the md5 bucket of every whitespace token."""
+    return F.transform(ws_tokens(text), lambda t: _bucket(t, dim))
+
+
+def _histogram_udf(dim: int):
+    import numpy as np
+    import pandas as pd
+
+    def normalised_histogram(buckets):
+        out = []
+        for b in buckets:
+            c = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
+            n = np.sqrt(float((c * c).sum()))
+            out.append((c / n if n > 0 else c).astype(np.float32))
+        return pd.Series(out)
+    # Real (not postponed) hints: the UDF kind is read from them.
+    normalised_histogram.__annotations__ = {"buckets": pd.Series, "return": pd.Series}
+    return F.pandas_udf(normalised_histogram, "array<float>")
 
 
 def hashed_bow_embedding(text, dim: int = DIM) -> Column:
-    """L2-normalised bucket counts as ``array<float>`` (zeros for empty text)."""
-    def norm(c):
-        total = F.sqrt(F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x * x).cast("double"))
-        return F.transform(c, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)).cast("float"))
-    return let(bucket_counts(text, dim), norm)
+    """L2-normalised bucket counts as ``array<float>`` (zeros for empty text).
+
+    Buckets are computed in the JVM; the per-row histogram is a numpy
+    ``bincount`` in an Arrow-batched pandas UDF (map-only, no shuffle).
+    """
+    return _histogram_udf(dim)(token_buckets(text, dim))
 
 
 def embed_text(df: DataFrame, text_col: str = "text", dim: int = DIM,

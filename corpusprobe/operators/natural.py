@@ -45,6 +45,28 @@ def word_pairs(words: DataFrame, transform_fn, n_outputs: int = 5) -> DataFrame:
                         .alias("transformed"))
 
 
+def contains_guard(line, pairs: list[tuple[str, str]]):
+    """Exact necessary condition: some pair has both words in the line.
+
+    Plain substring tests are far cheaper than the alternation; the regex only
+    runs where the guard holds. None above PREFILTER_PAIRS pairs (the
+    expression would outgrow code generation).
+    """
+    if not pairs or len(pairs) > PREFILTER_PAIRS:
+        return None
+    guard = None
+    for w, t in pairs:
+        g = line.contains(F.lit(w)) & line.contains(F.lit(t))
+        guard = g if guard is None else (guard | g)
+    return guard
+
+
+def guarded_count(line, pairs: list[tuple[str, str]]):
+    n = F.regexp_count(line, F.lit(regex_from_pairs(pairs)))
+    guard = contains_guard(line, pairs)
+    return n if guard is None else F.when(guard, n).otherwise(F.lit(0))
+
+
 def _word_runs(line) -> "F.Column":
     return F.filter(F.split(line, NON_WORD + "+"), lambda x: x != F.lit(""))
 
@@ -63,7 +85,6 @@ def natural_prompt_counts(lines: DataFrame, pairs_by_transform: dict[str, list[t
     for name, pairs in pairs_by_transform.items():
         if not pairs:
             continue
-        pattern = regex_from_pairs(pairs)
         src = lines
         plain = all(w.isalnum() and t.isalnum() for w, t in pairs)
         if len(pairs) > PREFILTER_PAIRS and plain and not keep_zeros:
@@ -78,7 +99,7 @@ def natural_prompt_counts(lines: DataFrame, pairs_by_transform: dict[str, list[t
                     .select("doc_id", "line_no").distinct())
             src = lines.join(cand, ["doc_id", "line_no"], "left_semi")
         counted = src.select("doc_id", "line_no", F.lit(name).alias("transform"),
-                             F.regexp_count(F.col("line"), F.lit(pattern)).cast("bigint").alias("n"))
+                             guarded_count(F.col("line"), pairs).cast("bigint").alias("n"))
         if not keep_zeros:
             counted = counted.where(F.col("n") > 0)
         parts.append(counted)
@@ -97,7 +118,7 @@ def natural_prompt_docs(lines: DataFrame,
     spark = lines.sparkSession
     parts = []
     for name, pairs in pairs_by_transform.items():
-        n = (F.regexp_count(F.col("line"), F.lit(regex_from_pairs(pairs))) if pairs else F.lit(0))
+        n = guarded_count(F.col("line"), pairs) if pairs else F.lit(0)
         parts.append(lines.select(n.alias("n")).agg(
             F.count(F.lit(1)).cast("bigint").alias("lines"),
             F.count_if(F.col("n") > 0).cast("bigint").alias("matching_lines"),

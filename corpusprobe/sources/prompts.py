@@ -86,6 +86,18 @@ def benchmark_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("item_id").alias("prompt_id"), "text")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core for per-document CPU work.
+
+    A big corpus has far more file splits than cores and is left as read; a
+    scan with fewer splits than ``defaultParallelism`` (few row groups) is
+    spread round-robin, which Spark sorts first so that a retried task
+    rebuilds the same partitions.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus ``(doc_id, text)`` from ``documents``."""
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
