@@ -91,11 +91,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A big corpus has far more file splits than cores and is left as read; a
     scan with fewer splits than ``defaultParallelism`` (few row groups) is
-    spread round-robin, which Spark sorts first so that a retried task
-    rebuilds the same partitions.
+    hash-partitioned on ``doc_id`` (deterministic on retry, no sort).
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, "doc_id")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
