@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprobe.functions.text import ngram_set, ws_tokens
+from corpusprobe.session import ensure_checkpoint_dir
 
 PRIME = (1 << 31) - 1
 NUM_PERM = 128
@@ -45,11 +46,17 @@ def shingle_hash(col) -> "F.Column":
     return F.pmod(F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint"), F.lit(PRIME))
 
 
-def shingle_sets(df: DataFrame, key_col: str, text_col: str = "text", n: int = 5) -> DataFrame:
-    """``(key, shingle)``: distinct word n-grams of each row's text."""
-    return (df.select(F.col(key_col).alias("key"),
-                      F.explode(ngram_set(ws_tokens(text_col), n)).alias("shingle"))
-            .distinct())
+def shingle_sets(df: DataFrame, key_col: str, text_col: str = "text", n: int = 5,
+                 unique_keys: bool = True) -> DataFrame:
+    """``(key, shingle)``: distinct word n-grams of each row's text.
+
+    Each row's set is de-duplicated inside the row; with ``unique_keys`` (one
+    row per key, e.g. a document id) that already is the set and no shuffle is
+    needed. Otherwise rows of a key are merged by a global ``distinct``.
+    """
+    sets = df.select(F.col(key_col).alias("key"),
+                     F.explode(ngram_set(ws_tokens(text_col), n)).alias("shingle"))
+    return sets if unique_keys else sets.distinct()
 
 
 def set_sizes(shingles: DataFrame) -> DataFrame:
@@ -184,15 +191,24 @@ def band_plan(spark, bounds: list[int], max_q: int, threshold: float,
     return spark.createDataFrame(rows, "part int, qb bigint, b int, r int")
 
 
+def build_lsh_index(index: DataFrame, num_perm: int = NUM_PERM,
+                    num_part: int = 32) -> tuple[list[int], DataFrame]:
+    """MH2: signatures of the indexed sets, written once to the shared
+    checkpoint folder (the index is built once and probed by every query),
+    their size partition bounds, and the band table."""
+    ensure_checkpoint_dir(index.sparkSession)
+    isigs = minhash_signatures(index, num_perm).checkpoint()
+    bounds = size_partitions(isigs.select("size"), num_part)
+    return bounds, lsh_index(isigs, bounds, num_perm)
+
+
 def containment_lsh(queries: DataFrame, index: DataFrame, threshold: float = 0.8,
                     num_perm: int = NUM_PERM, num_part: int = 32,
                     broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """MH3: LSH Ensemble candidates, verified exactly. Same columns as
     :func:`containment_exact`; a subset of its rows (recall < 1 is possible)."""
     spark = queries.sparkSession
-    isigs = minhash_signatures(index, num_perm)
-    bounds = size_partitions(isigs.select("size"), num_part)
-    bands = lsh_index(isigs, bounds, num_perm)
+    bounds, bands = build_lsh_index(index, num_perm, num_part)
     qsigs = minhash_signatures(queries, num_perm).withColumnRenamed("key", "qkey")
     max_q = qsigs.agg(F.max("size")).first()[0] or 1
     plan = F.broadcast(band_plan(spark, bounds, int(max_q), threshold, num_perm))

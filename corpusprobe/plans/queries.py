@@ -341,8 +341,7 @@ def q_containment_lsh(spark, d):
 
 @register("lsh_ensemble_bands")
 def q_lsh_ensemble_bands(spark, d):
-    sigs = mh.minhash_signatures(_doc_sets(spark, d))
-    return mh.lsh_index(sigs, mh.size_partitions(sigs.select("size")))
+    return mh.build_lsh_index(_doc_sets(spark, d))[1]
 
 
 @register("index_membership")
