@@ -209,7 +209,7 @@ def containment_lsh(queries: DataFrame, index: DataFrame, threshold: float = 0.8
     :func:`containment_exact`; a subset of its rows (recall < 1 is possible)."""
     spark = queries.sparkSession
     bounds, bands = build_lsh_index(index, num_perm, num_part)
-    qsigs = minhash_signatures(queries, num_perm).withColumnRenamed("key", "qkey")
+    qsigs = minhash_signatures(queries, num_perm).withColumnRenamed("key", "qkey").checkpoint()
     max_q = qsigs.agg(F.max("size")).first()[0] or 1
     plan = F.broadcast(band_plan(spark, bounds, int(max_q), threshold, num_perm))
     qb = F.pow(F.lit(2.0), F.floor(F.log(2.0, F.col("size").cast("double")))).cast("bigint")

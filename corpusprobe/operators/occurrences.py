@@ -11,9 +11,10 @@ corpus tokens t_j .. t_{j+k-1} iff
 * k = 1: the query lies inside one token. Distinct tokens are counted first
   (map-side partial aggregation absorbs hot words), then each token position is
   anchored on a short character prefix of the query and verified.
-* k = 2: t_j ends with P1 and t_{j+1} starts with P2. Distinct token pairs are
-  counted first, anchored on a few characters on both sides of the space, then
-  verified.
+* k = 2: t_j ends with P1 and t_{j+1} starts with P2. Token pairs are
+  anchored on a few characters on both sides of the space and verified; with a
+  broadcast query side they are filtered map-side before anything is
+  shuffled, otherwise distinct pairs are counted first to shrink the join.
 * k >= 3: the inner pieces P2..P(k-1) equal whole tokens. They are cut into
   chunks of up to ``ANCHOR_WORDS`` tokens (the last chunk overlaps so that all
   have one size); corpus windows of that size are equi-joined on their text,
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprobe.functions.text import let, space_pieces
+from corpusprobe.session import ensure_checkpoint_dir
 
 ANCHOR_WORDS = 6   # max inner tokens per anchor chunk (k >= 3)
 ANCHOR_CHARS = 5   # anchor length inside one token (k = 1)
@@ -136,8 +138,13 @@ def _branch_two(q, toks, classes, per_doc, bcast) -> DataFrame:
         lambda x, i: F.struct(x.alias("t1"), F.element_at(t, i + 2).alias("t2"))))
     pairs = (toks
              .select(*keys, F.explode(adjacent).alias("pr"))
-             .select(*keys, "pr.t1", "pr.t2")
-             .groupBy(*keys, "t1", "t2").agg(F.count(F.lit(1)).alias("freq")))
+             .select(*keys, "pr.t1", "pr.t2"))
+    if bcast:
+        # Broadcast probe: filter map-side first, only matching pairs move.
+        pairs = pairs.withColumn("freq", F.lit(1).cast("bigint"))
+    else:
+        # Shuffle join: shrink its input to distinct pairs (partial aggregation).
+        pairs = pairs.groupBy(*keys, "t1", "t2").agg(F.count(F.lit(1)).alias("freq"))
     cls = F.array(*[F.struct(F.lit(a).alias("a1"), F.lit(b).alias("a2")) for a, b in classes])
     cand = (pairs.select(*keys, "t1", "t2", "freq", F.explode(cls).alias("c"))
             .select(*keys, "t1", "t2", "freq", "c.a1", "c.a2")
@@ -219,9 +226,13 @@ def occurrence_counts(corpus: DataFrame, queries: DataFrame, *, query_col: str =
     ``per_doc=False``: ``(query, n)`` for every distinct non-empty query, zeros
     included. ``per_doc=True``: ``(query, doc_id, n)`` for documents with n > 0.
 
-    Runs one sizing action over the distinct queries.
+    Runs two small actions: the distinct queries are checkpointed, then sized.
     """
-    q = distinct_queries(queries, query_col)
+    # The query side is small but may be costly to derive (word lists, tiles):
+    # it is written once to the shared checkpoint folder, then sized and
+    # joined from that copy.
+    ensure_checkpoint_dir(corpus.sparkSession)
+    q = distinct_queries(queries, query_col).checkpoint()
     plan = _plan(q)
     toks = _tokens(corpus, doc_col, text_col)
     parts = []

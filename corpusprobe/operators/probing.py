@@ -15,6 +15,7 @@ from corpusprobe.functions.text import ws_tokens
 from corpusprobe.functions.wordforms import TRANSFORMS, combine, select_transforms
 from corpusprobe.operators.ngrams import dense_index
 from corpusprobe.operators.occurrences import occurrence_counts
+from corpusprobe.session import ensure_checkpoint_dir
 
 
 def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -96,8 +97,13 @@ def transform_queries(words: DataFrame, transforms=None, n_outputs: int = 5,
 
 def transform_counts(corpus: DataFrame, words: DataFrame, transforms=None, n_outputs: int = 5,
                      combine_with_word: bool = False, **kw) -> DataFrame:
-    """AGG4: ``(transform, word, query, n)``; queries are counted once overall."""
-    q = transform_queries(words, transforms, n_outputs, combine_with_word)
+    """AGG4: ``(transform, word, query, n)``; queries are counted once overall.
+
+    The (transform, word, query) table is written once to the shared checkpoint
+    folder: it feeds both the count and the join back.
+    """
+    ensure_checkpoint_dir(corpus.sparkSession)
+    q = transform_queries(words, transforms, n_outputs, combine_with_word).checkpoint()
     counts = occurrence_counts(corpus, q, **kw)
     return q.join(counts, "query", "left").select(
         "transform", "word", "query", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
