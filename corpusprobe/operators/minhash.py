@@ -191,25 +191,32 @@ def band_plan(spark, bounds: list[int], max_q: int, threshold: float,
     return spark.createDataFrame(rows, "part int, qb bigint, b int, r int")
 
 
-def build_lsh_index(index: DataFrame, num_perm: int = NUM_PERM,
-                    num_part: int = 32) -> tuple[list[int], DataFrame]:
+def build_lsh_index(index: DataFrame, num_perm: int = NUM_PERM, num_part: int = 32,
+                    signatures: DataFrame | None = None) -> tuple[list[int], DataFrame]:
     """MH2: signatures of the indexed sets, written once to the shared
     checkpoint folder (the index is built once and probed by every query),
     their size partition bounds, and the band table."""
     ensure_checkpoint_dir(index.sparkSession)
-    isigs = minhash_signatures(index, num_perm).checkpoint()
+    sigs = signatures if signatures is not None else minhash_signatures(index, num_perm)
+    isigs = sigs.checkpoint()
     bounds = size_partitions(isigs.select("size"), num_part)
     return bounds, lsh_index(isigs, bounds, num_perm)
 
 
 def containment_lsh(queries: DataFrame, index: DataFrame, threshold: float = 0.8,
                     num_perm: int = NUM_PERM, num_part: int = 32,
-                    broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                    broadcast_bytes: int = BROADCAST_BYTES,
+                    index_signatures: DataFrame | None = None,
+                    query_signatures: DataFrame | None = None) -> DataFrame:
     """MH3: LSH Ensemble candidates, verified exactly. Same columns as
-    :func:`containment_exact`; a subset of its rows (recall < 1 is possible)."""
+    :func:`containment_exact`; a subset of its rows (recall < 1 is possible).
+
+    Precomputed signatures may be passed in."""
     spark = queries.sparkSession
-    bounds, bands = build_lsh_index(index, num_perm, num_part)
-    qsigs = minhash_signatures(queries, num_perm).withColumnRenamed("key", "qkey").checkpoint()
+    bounds, bands = build_lsh_index(index, num_perm, num_part, index_signatures)
+    qsigs = (query_signatures if query_signatures is not None
+             else minhash_signatures(queries, num_perm))
+    qsigs = qsigs.withColumnRenamed("key", "qkey").checkpoint()
     max_q = qsigs.agg(F.max("size")).first()[0] or 1
     plan = F.broadcast(band_plan(spark, bounds, int(max_q), threshold, num_perm))
     qb = F.pow(F.lit(2.0), F.floor(F.log(2.0, F.col("size").cast("double")))).cast("bigint")
