@@ -83,3 +83,30 @@ def test_sinks_roundtrip(spark, tmp_dir):
     tl = os.path.join(tmp_dir, "tok")
     sinks.write_token_lines(lines, tl, keep_order=True)
     assert sorted(r["value"] for r in spark.read.text(tl).collect()) == ["3 4", "5 6"]
+
+
+def test_jsonl_lines_and_word_list(spark, tmp_dir):
+    from corpusprobe.sources.corpus import read_corpus_lines, read_jsonl_corpus, read_word_list
+    p = os.path.join(tmp_dir, "c.jsonl")
+    open(p, "w").write('{"text": "a b", "url": "x"}\n{"text": "c", "url": "y"}\n')
+    assert sorted(r["text"] for r in read_jsonl_corpus(spark, p).collect()) == ["a b", "c"]
+    lines = read_corpus_lines(spark, p).collect()
+    assert len(lines) == 2 and len({r["line_no"] for r in lines}) == 2
+    w = os.path.join(tmp_dir, "words.json")
+    json.dump(["alpha", "beta"], open(w, "w"))
+    assert [(r["idx"], r["word"]) for r in read_word_list(spark, w).collect()] == [(0, "alpha"), (1, "beta")]
+
+
+def test_pluggable_tokenizer(spark, tmp_dir):
+    from tokenizers import Tokenizer
+    from tokenizers.models import WordLevel
+    from tokenizers.pre_tokenizers import Whitespace
+
+    from corpusprobe.sources.corpus import tokenizer_udf
+    tok = Tokenizer(WordLevel({"[UNK]": 0, "hello": 1, "world": 2}, unk_token="[UNK]"))
+    tok.pre_tokenizer = Whitespace()
+    path = os.path.join(tmp_dir, "tok.json")
+    tok.save(path)
+    df = spark.createDataFrame([(1, "hello world"), (2, "world foo")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in df.select("doc_id", tokenizer_udf(path)("text").alias("ids")).collect()}
+    assert got == {1: [1, 2], 2: [2, 0]}
