@@ -15,15 +15,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import (fixed_tile, fixed_tile_starts, halving_scales,
+from corpusprobe.functions.text import (WS_CLASS, fixed_tile, fixed_tile_starts, halving_scales,
                                         power_log, ws_tokens)
 from corpusprobe.operators.occurrences import occurrence_counts
 
 PROMPT_KEYS = ["task", "prompt_id"]
 
 
-def _tile_hits(corpus: DataFrame, tiles: DataFrame, **kw) -> DataFrame:
+def normalize_whitespace(corpus: DataFrame, text_col: str = "text") -> DataFrame:
+    """Q7 option: every whitespace run of the corpus becomes one space, so a
+    tile (words joined by one space) also matches across newlines or double
+    spaces."""
+    return corpus.withColumn(text_col, F.regexp_replace(F.col(text_col), WS_CLASS + "+", " "))
+
+
+def _tile_hits(corpus: DataFrame, tiles: DataFrame, normalize_ws: bool = False, **kw) -> DataFrame:
     """Attach ``hit`` (tile occurs in the corpus) to every tile row."""
+    if normalize_ws:
+        corpus = normalize_whitespace(corpus)
     counts = occurrence_counts(corpus, tiles.select(F.col("tile").alias("query")), **kw)
     hits = counts.select(F.col("query").alias("tile"), (F.col("n") > 0).alias("hit"))
     return tiles.join(hits, "tile", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
@@ -124,7 +133,8 @@ def halving_word_tiles(prompts: DataFrame, lower_bound: int = 16) -> DataFrame:
                     score1.cast("bigint").alias("score1"), score2.cast("bigint").alias("score2"))
 
 
-def halving_words(prompts: DataFrame, corpus: DataFrame, lower_bound: int = 16, **kw) -> DataFrame:
+def halving_words(prompts: DataFrame, corpus: DataFrame, lower_bound: int = 16,
+                  rump: str = "truncate", **kw) -> DataFrame:
     """CON3-CON6: ``(task, prompt_id, text, n_words, longest, rump, flagged)``.
 
     Phase 1: the largest scale s1 with a hit gives the max tile score there. If
@@ -132,21 +142,30 @@ def halving_words(prompts: DataFrame, corpus: DataFrame, lower_bound: int = 16,
     prompt is cut to power_log(n)/2 words and the search goes on below s1; no
     tile inside the cut can hit at scales >= s1, so phase 2 is the largest
     scale with a hit among the tiles inside the cut.
+
+    ``rump="ignore"`` (Q9 option) keeps the whole prompt: the answer is the
+    best score at the largest scale that has a tile scoring above the bound.
     """
+    if rump not in ("truncate", "ignore"):
+        raise ValueError("rump must be 'truncate' or 'ignore'")
     tiles = _tile_hits(corpus, halving_word_tiles(prompts, lower_bound), **kw)
+    lb = F.lit(lower_bound).cast("bigint")
     agg = (tiles.where("hit").groupBy(*PROMPT_KEYS)
            .agg(F.max(F.struct("scale", "score1")).alias("top"),
-                F.max(F.when(F.col("score2").isNotNull(), F.struct("scale", "score2"))).alias("low")))
+                F.max(F.when(F.col("score2").isNotNull(), F.struct("scale", "score2"))).alias("low"),
+                F.max(F.when(F.col("score1") > lb, F.struct("scale", "score1"))).alias("real")))
     top = F.col("top.score1")
     low = F.col("low.score2")
-    lb = F.lit(lower_bound).cast("bigint")
-    longest = (F.when(F.col("top").isNull(), lb)
-               .when(top > lb, top)
-               .when(F.col("low").isNull(), lb)
-               .otherwise(low))
-    rump = F.col("top").isNotNull() & (top <= lb)
+    if rump == "ignore":
+        longest = F.coalesce(F.col("real.score1"), lb)
+    else:
+        longest = (F.when(F.col("top").isNull(), lb)
+                   .when(top > lb, top)
+                   .when(F.col("low").isNull(), lb)
+                   .otherwise(low))
+    rump_hit = F.col("top").isNotNull() & (top <= lb)
     return (prompts.select(*PROMPT_KEYS, "text").join(agg, PROMPT_KEYS, "left")
             .select(*PROMPT_KEYS, "text", F.size(ws_tokens("text")).cast("bigint").alias("n_words"),
                     longest.cast("bigint").alias("longest"),
-                    F.coalesce(rump, F.lit(False)).alias("rump"),
+                    F.coalesce(rump_hit, F.lit(False)).alias("rump"),
                     (longest > lb).alias("flagged")))

@@ -450,3 +450,21 @@ SUB = "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR) || '106
 SQL["seeded_subset"] = SUB
 SQL["embed_documents"] = f"WITH {_EMB} SELECT doc_id, embedding FROM emb"
 SQL["embed_subset"] = f"WITH {_EMB} SELECT doc_id, embedding FROM emb WHERE doc_id IN ({SUB})"
+
+# ---------------------------------------------------------------- search options
+SQL["prompt_is_contaminated_normalized"] = f"""
+WITH nd AS (SELECT regexp_replace(text, '{WS}', ' ', 'g') AS text FROM documents),
+{TILES.replace("FROM documents d WHERE contains(d.text, t.tile)", "FROM nd d WHERE contains(d.text, t.tile)")},
+f AS (SELECT task, prompt_id, bool_or(hit) AS flagged FROM tile_hit GROUP BY task, prompt_id)
+SELECT p.task, p.prompt_id, coalesce(f.flagged, false) AS flagged
+FROM p LEFT JOIN f ON f.task = p.task AND f.prompt_id = p.prompt_id"""
+
+SQL["halving_words_ignore_rump"] = f"""
+WITH {WORD_TILES},
+sr AS (SELECT task, prompt_id, max(scale) AS sr FROM whit WHERE hit AND score1 > {_WB} GROUP BY task, prompt_id),
+br AS (SELECT h.task, h.prompt_id, max(h.score1) AS best FROM whit h
+       JOIN sr ON sr.task = h.task AND sr.prompt_id = h.prompt_id AND h.scale = sr.sr
+       WHERE h.hit GROUP BY h.task, h.prompt_id)
+SELECT pw.task, pw.prompt_id, CAST(coalesce(br.best, {_WB}) AS BIGINT) AS longest,
+       coalesce(br.best, {_WB}) > {_WB} AS flagged
+FROM pw LEFT JOIN br ON br.task = pw.task AND br.prompt_id = pw.prompt_id"""

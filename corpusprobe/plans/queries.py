@@ -445,3 +445,18 @@ def q_embed_documents(spark, d):
 @register("embed_subset")
 def q_embed_subset(spark, d):
     return em.embed_text(em.seeded_subset(corpus(spark, d), SUBSET)).select("doc_id", "embedding")
+
+
+# ------------------------------------------------------------ search options
+
+@register("prompt_is_contaminated_normalized")
+def q_prompt_is_contaminated_normalized(spark, d):
+    flags = con.fixed_length_search(benchmark_prompts(spark, d), corpus(spark, d), TILE_WORDS,
+                                    normalize_ws=True)
+    return flags.select("task", "prompt_id", "flagged")
+
+
+@register("halving_words_ignore_rump")
+def q_halving_words_ignore_rump(spark, d):
+    r = con.halving_words(benchmark_prompts(spark, d), corpus(spark, d), WORD_LOWER_BOUND, rump="ignore")
+    return r.select("task", "prompt_id", "longest", "flagged")

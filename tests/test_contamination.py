@@ -63,3 +63,21 @@ def test_fixed_length_search_and_per_task(spark):
         assert flags[i]["flagged"] == bool(hits)
     per_task = con.flagged_per_task(con.fixed_length_search(p, _corpus(spark, docs), 2)).collect()
     assert [(r["task"], r["flagged"]) for r in per_task] == [("t", 1)]
+
+
+def test_rump_ignore_and_normalized_whitespace(spark):
+    rng = random.Random(9)
+    vocab = "a b c d e".split()
+    prompts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    docs = [" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 12))) for _ in range(6)]
+
+    def occurs(q):
+        return any(q in d for d in docs)
+    got = {r["prompt_id"]: r["longest"] for r in
+           con.halving_words(_prompts(spark, prompts), _corpus(spark, docs), 4, rump="ignore").collect()}
+    for i, t in enumerate(prompts):
+        assert got[i] == halving_words(t, occurs, 4, ignore_rump=True), t
+    p = _prompts(spark, ["alpha beta gamma"])
+    c = _corpus(spark, ["x alpha\nbeta  gamma y"])
+    assert not con.fixed_length_search(p, c, 3).first()["flagged"]
+    assert con.fixed_length_search(p, c, 3, normalize_ws=True).first()["flagged"]
