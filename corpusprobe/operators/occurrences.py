@@ -178,13 +178,19 @@ def chunk_queries(q: DataFrame) -> DataFrame:
                     F.array_join(F.slice("inner", F.col("off") + 1, F.col("s")), " ").alias("key")))
 
 
-def token_windows(toks: DataFrame, sizes: list[int], with_edges: bool = True) -> DataFrame:
+def token_windows(toks: DataFrame, sizes: list[int], with_edges: bool = True,
+                  firsts: DataFrame | None = None) -> DataFrame:
     """Every window of ``s`` consecutive tokens for s in sizes, keyed by its text.
 
+    ``firsts`` (a broadcast set of tokens, column ``tok``) keeps only positions
+    whose token can start an anchor, before any window string is built.
     Output: doc_id, p (0-based start), s, key [, prev, nxt].
     """
     n = F.size("toks")
-    w = (toks.select("doc_id", "toks", F.posexplode("toks").alias("p", "tok"))
+    pos = toks.select("doc_id", "toks", F.posexplode("toks").alias("p", "tok"))
+    if firsts is not None:
+        pos = pos.join(firsts, "tok", "left_semi")
+    w = (pos
          .select("doc_id", "toks", "p", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("s"))
          .where(F.col("p") + F.col("s") <= n))
     cols = ["doc_id", "p", "s",
@@ -212,8 +218,12 @@ def match_chunks(windows: DataFrame, chunks: DataFrame, check_edges: bool = True
 
 def _branch_many(q, toks, sizes, per_doc, bcast) -> DataFrame:
     chunks = chunk_queries(q)
-    chunks = F.broadcast(chunks) if bcast else chunks
-    occ = match_chunks(token_windows(toks, sizes), chunks)
+    firsts = None
+    if bcast:
+        chunks = F.broadcast(chunks)
+        # Same size bound as the chunks: at most one token per chunk.
+        firsts = F.broadcast(chunks.select(F.split("key", " ", -1)[0].alias("tok")).distinct())
+    occ = match_chunks(token_windows(toks, sizes, firsts=firsts), chunks)
     keys = ["doc_id"] if per_doc else []
     return occ.groupBy("query", *keys).agg(F.count(F.lit(1)).alias("n"))
 
