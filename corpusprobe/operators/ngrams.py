@@ -178,10 +178,13 @@ def token_occurrence_counts(doc_ids: DataFrame, query_ids: DataFrame,
                        F.collect_set("s").alias("sizes")).first()
     sizes = sorted(stats["sizes"] or [])
     if sizes:
+        firsts = None
         if (stats["b"] or 0) <= broadcast_bytes:
             chunks = F.broadcast(chunks)
+            firsts = F.broadcast(chunks.select(F.split("key", " ", -1)[0].alias("tok")).distinct())
         toks = doc_ids.select("doc_id", F.transform("ids", lambda x: x.cast("string")).alias("toks"))
-        occ = match_chunks(token_windows(toks, sizes, with_edges=False), chunks, check_edges=False)
+        occ = match_chunks(token_windows(toks, sizes, with_edges=False, firsts=firsts), chunks,
+                           check_edges=False)
         found = occ.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     else:
         found = doc_ids.sparkSession.createDataFrame([], "query string, n bigint")
