@@ -161,7 +161,10 @@ def size_partitions(sizes: DataFrame, num_part: int = 32, rel_err: float = 0.001
 
 
 def lsh_index(sigs: DataFrame, bounds: list[int], num_perm: int = NUM_PERM) -> DataFrame:
-    """MH2: ``(part, r, band, hash, key)``; every set is banded for each r."""
+    """MH2: ``(part, r, band, hash, key)``; every set is banded for each r.
+
+    A band hash collision only adds a candidate (verification is exact), so a
+    64-bit hash of the signature slice is enough."""
     part = F.lit(len(bounds) - 1)
     for i in reversed(range(len(bounds))):
         part = F.when(F.col("size") <= bounds[i], F.lit(i)).otherwise(part)
@@ -169,8 +172,8 @@ def lsh_index(sigs: DataFrame, bounds: list[int], num_perm: int = NUM_PERM) -> D
                         for r in BAND_ROWS for j in range(num_perm // r)])
     return (sigs.select("key", "sig", part.alias("part"), F.explode(layouts).alias("l"))
             .select("part", F.col("l.r").alias("r"), F.col("l.band").alias("band"),
-                    F.md5(F.array_join(F.slice("sig", F.col("l.band") * F.col("l.r") + 1, F.col("l.r")),
-                                       ",")).alias("hash"),
+                    F.xxhash64(F.slice("sig", F.col("l.band") * F.col("l.r") + 1, F.col("l.r")))
+                    .alias("hash"),
                     "key"))
 
 
@@ -225,7 +228,7 @@ def containment_lsh(queries: DataFrame, index: DataFrame, threshold: float = 0.8
              .join(plan, ["part", "qb"])
              .select("qkey", "sig", "part", "r", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("band"))
              .select("qkey", "part", "r", "band",
-                     F.md5(F.array_join(F.slice("sig", F.col("band") * F.col("r") + 1, F.col("r")), ","))
+                     F.xxhash64(F.slice("sig", F.col("band") * F.col("r") + 1, F.col("r")))
                      .alias("hash")))
     qrows = _broadcast_if_small(qrows, F.lit(72), broadcast_bytes)
     cand = bands.join(qrows, ["part", "r", "band", "hash"]).select("qkey", "key").distinct()
