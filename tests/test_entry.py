@@ -30,3 +30,17 @@ def duck():
 def test_query_matches_oracle(spark, duck, name):
     ok, detail = lib.compare(spark, duck, SF001, name)
     assert ok, detail
+
+
+JOIN_HEAVY = ["count_occurrences", "fixed_length_matches", "halving_words", "halving_chars",
+              "transform_counts", "prompt_counts_by_task", "count_occurrences_tokens",
+              "containment_exact", "natural_prompt_docs", "minhash_estimate"]
+
+
+def test_no_query_plans_a_nested_loop_or_cartesian_product(spark):
+    bad = {}
+    for name in JOIN_HEAVY:
+        plan = entry_mod.queries()[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "NestedLoopJoin" in plan:
+            bad[name] = plan[:300]
+    assert not bad, bad
