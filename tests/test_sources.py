@@ -110,3 +110,33 @@ def test_pluggable_tokenizer(spark, tmp_dir):
     df = spark.createDataFrame([(1, "hello world"), (2, "world foo")], "doc_id bigint, text string")
     got = {r["doc_id"]: r["ids"] for r in df.select("doc_id", tokenizer_udf(path)("text").alias("ids")).collect()}
     assert got == {1: [1, 2], 2: [2, 0]}
+
+
+def test_all_sinks_roundtrip(spark, tmp_dir):
+    prompts = spark.createDataFrame([("t", "test", 0, "p")], "task string, split string, prompt_id bigint, text string")
+    sinks.write_prompts(prompts, os.path.join(tmp_dir, "p"))
+    assert spark.read.json(os.path.join(tmp_dir, "p")).select("task", "split", "text").collect()[0] == ("t", "test", "p")
+    per_task = spark.createDataFrame([("t", 1)], "task string, flagged bigint")
+    per_prompt = spark.createDataFrame([("t", 0, ["a b"])], "task string, prompt_id bigint, tiles array<string>")
+    sinks.write_flags(per_task, per_prompt, os.path.join(tmp_dir, "f"))
+    assert spark.read.json(os.path.join(tmp_dir, "f", "flagged_queries")).first()["tiles"] == ["a b"]
+    counts = spark.createDataFrame([("reverse", "abc", "cba", 2)], "transform string, word string, query string, n bigint")
+    avgs = spark.createDataFrame([("reverse", 2.0)], "transform string, avg_n double")
+    sinks.write_transform_counts(counts, avgs, os.path.join(tmp_dir, "t"))
+    assert spark.read.json(os.path.join(tmp_dir, "t", "avg_count")).first()["avg_n"] == 2.0
+    idx = spark.createDataFrame([("a b c d e", 0)], "ngram string, ngram_id bigint")
+    sinks.write_table(idx, os.path.join(tmp_dir, "i"))
+    assert spark.read.parquet(os.path.join(tmp_dir, "i")).first() == ("a b c d e", 0)
+    emb = spark.createDataFrame([(1, "x", [0.5, 0.5])], "doc_id bigint, text string, embedding array<float>")
+    sinks.write_embeddings(emb, os.path.join(tmp_dir, "e"))
+    assert spark.read.json(os.path.join(tmp_dir, "e")).first()["embedding"] == [0.5, 0.5]
+    words = spark.createDataFrame([(0, "hello")], "idx bigint, word string")
+    sinks.write_word_list(words, os.path.join(tmp_dir, "w"))
+    assert spark.read.json(os.path.join(tmp_dir, "w")).first()["word"] == "hello"
+
+
+def test_transform_selection_keeps_registry_order():
+    from corpusprobe.functions.wordforms import select_transforms
+    assert list(select_transforms({"cycles": True, "reverse": True, "insertion": False})) == ["reverse", "cycles"]
+    with pytest.raises(KeyError):
+        select_transforms(["nope"])
