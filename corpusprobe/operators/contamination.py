@@ -40,21 +40,28 @@ def _tile_hits(corpus: DataFrame, tiles: DataFrame, normalize_ws: bool = False,
 
 # ---------------------------------------------------------------- fixed length
 
-def word_tiles(prompts: DataFrame, length: int = 16) -> DataFrame:
-    """TIL1: ``(task, prompt_id, tile_idx, tile)``; the last tile backs off."""
+def word_tiles(prompts: DataFrame, length: int = 16, min_words: int = 0) -> DataFrame:
+    """TIL1: ``(task, prompt_id, tile_idx, tile)``; the last tile backs off.
+
+    A prompt shorter than ``length`` is one tile (searched whole); prompts with
+    fewer than ``min_words`` words get no tiles (Q6 option).
+    """
     w = prompts.select(*PROMPT_KEYS, ws_tokens("text").alias("w"))
+    if min_words > 0:
+        w = w.where(F.size("w") >= min_words)
     return (w.select(*PROMPT_KEYS, "w", F.explode(fixed_tile_starts(F.size("w"), length)).alias("s"))
             .select(*PROMPT_KEYS, (F.col("s") / length).cast("int").alias("tile_idx"),
                     fixed_tile("w", "s", length).alias("tile")))
 
 
-def fixed_length_search(prompts: DataFrame, corpus: DataFrame, length: int = 16, **kw) -> DataFrame:
+def fixed_length_search(prompts: DataFrame, corpus: DataFrame, length: int = 16,
+                        min_words: int = 0, **kw) -> DataFrame:
     """CON1 + AGG3: one row per prompt.
 
     ``(task, prompt_id, text, flagged, tiles)`` where ``tiles`` are the matched
     tiles in tile order. Prompts without words are kept, not flagged.
     """
-    tiles = _tile_hits(corpus, word_tiles(prompts, length), **kw)
+    tiles = _tile_hits(corpus, word_tiles(prompts, length, min_words), **kw)
     per_prompt = (tiles.groupBy(*PROMPT_KEYS)
                   .agg(F.bool_or("hit").alias("flagged"),
                        F.array_sort(F.collect_list(

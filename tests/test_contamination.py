@@ -81,3 +81,12 @@ def test_rump_ignore_and_normalized_whitespace(spark):
     c = _corpus(spark, ["x alpha\nbeta  gamma y"])
     assert not con.fixed_length_search(p, c, 3).first()["flagged"]
     assert con.fixed_length_search(p, c, 3, normalize_ws=True).first()["flagged"]
+
+
+def test_min_words_option(spark):
+    p = _prompts(spark, ["short one", "a much longer prompt here"])
+    c = _corpus(spark, ["x short one y", "a much longer prompt here"])
+    got = {r["prompt_id"]: r["flagged"] for r in con.fixed_length_search(p, c, 8).collect()}
+    assert got == {0: True, 1: True}
+    got = {r["prompt_id"]: r["flagged"] for r in con.fixed_length_search(p, c, 8, min_words=3).collect()}
+    assert got == {0: False, 1: True}
