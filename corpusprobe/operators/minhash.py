@@ -94,7 +94,7 @@ def _min_shared(q_size, threshold: float):
 
 
 def containment_exact(queries: DataFrame, index: DataFrame, threshold: float = 0.8,
-                      broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                      broadcast_bytes: int = BROADCAST_BYTES, materialize: bool = True) -> DataFrame:
     """MH4: ``(qkey, key, overlap, q_size, containment)`` with containment >= t.
 
     ``queries`` and ``index`` are ``(key, shingle)`` sets.
@@ -104,6 +104,11 @@ def containment_exact(queries: DataFrame, index: DataFrame, threshold: float = 0
     vocab = _broadcast_if_small(qs.select("shingle").distinct(), F.length("shingle") + 32,
                                 broadcast_bytes)
     ds = index.select("key", "shingle").join(vocab, "shingle", "left_semi")
+    if materialize:
+        # The index side filtered to the query vocabulary feeds three joins;
+        # one corpus pass writes it to the shared checkpoint folder.
+        ensure_checkpoint_dir(index.sparkSession)
+        ds = ds.checkpoint()
     dfreq = ds.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = Window.partitionBy("qkey").orderBy("df0", "shingle")
     prefix = (qs.join(dfreq, "shingle", "left").join(qsize, "qkey")
