@@ -97,7 +97,8 @@ def containment_exact(queries: DataFrame, index: DataFrame, threshold: float = 0
                       broadcast_bytes: int = BROADCAST_BYTES, materialize: bool = True) -> DataFrame:
     """MH4: ``(qkey, key, overlap, q_size, containment)`` with containment >= t.
 
-    ``queries`` and ``index`` are ``(key, shingle)`` sets.
+    ``queries`` and ``index`` are ``(key, shingle)`` sets: distinct pairs, as
+    :func:`shingle_sets` returns them (queries are de-duplicated here).
     """
     qs = queries.select(F.col("key").alias("qkey"), "shingle").distinct()
     qsize = qs.groupBy("qkey").agg(F.count(F.lit(1)).alias("q_size"))

@@ -50,10 +50,6 @@ class _Plan:
     bytes: dict[str, int] = field(default_factory=dict)
 
 
-def _maybe_broadcast(df: DataFrame, nbytes: int, limit: int) -> DataFrame:
-    return F.broadcast(df) if nbytes <= limit else df
-
-
 def distinct_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
     """Distinct non-empty query strings as ``query`` with their space pieces."""
     return (queries.select(F.col(query_col).alias("query"))
