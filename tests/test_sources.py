@@ -140,3 +140,14 @@ def test_transform_selection_keeps_registry_order():
     assert list(select_transforms({"cycles": True, "reverse": True, "insertion": False})) == ["reverse", "cycles"]
     with pytest.raises(KeyError):
         select_transforms(["nope"])
+
+
+def test_frequency_list_file_and_test_words(spark, tmp_dir):
+    from corpusprobe.operators.probing import read_frequency_list, test_words
+    p = os.path.join(tmp_dir, "count_1w.txt")
+    words = ["the", "house", "extraordinarily", "garden", "be", "window", "rooms"]
+    open(p, "w").write("".join(f"{w}\t{1000 - i}\n" for i, w in enumerate(words)))
+    freq = read_frequency_list(spark, p)
+    assert [(r["rank"], r["word"]) for r in freq.orderBy("rank").collect()] == list(enumerate(words))
+    tw = test_words(freq, limit=3)
+    assert [(r["idx"], r["word"]) for r in tw.orderBy("idx").collect()] == [(0, "house"), (1, "garden"), (2, "window")]
