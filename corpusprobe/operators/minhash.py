@@ -228,6 +228,11 @@ def containment_lsh(queries: DataFrame, index: DataFrame, threshold: float = 0.8
     qsigs = qsigs.withColumnRenamed("key", "qkey").checkpoint()
     max_q = qsigs.agg(F.max("size")).first()[0] or 1
     plan = F.broadcast(band_plan(spark, bounds, int(max_q), threshold, num_perm))
+    # Index bands no query layout can probe are dropped before the join (at
+    # most partitions x 240 layout rows, broadcast).
+    used = (plan.groupBy("part", "r").agg(F.max("b").alias("b"))
+            .select("part", "r", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("band")))
+    bands = bands.join(F.broadcast(used), ["part", "r", "band"], "left_semi")
     qb = F.pow(F.lit(2.0), F.floor(F.log(2.0, F.col("size").cast("double")))).cast("bigint")
     parts = F.array(*[F.lit(i) for i in range(len(bounds))])
     qrows = (qsigs.select("qkey", "sig", qb.alias("qb"), F.explode(parts).alias("part"))
