@@ -34,7 +34,7 @@ def get_spark(master: str | None = None, app: str = "corpusprobe",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
-    spark = builder.getOrCreate()
+    spark = builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
