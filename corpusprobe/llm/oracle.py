@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import BASE_PHRASES, needed, template_sets
 from .quality_rules import FENCE, MIN_GROUP, RULES
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -106,8 +107,51 @@ from m left join own using (lang, source) left join bylang using (lang) left joi
 """
 
 
+def _licenses() -> str:
+    places = " union all ".join(
+        f"select doc_id, i - 1 pos, '{label}' label from (select doc_id, w, unnest(range(1, len(w) + 1)) i from d) "
+        f"where list_slice(w, i, i + {len(phrase.split()) - 1}) = {phrase.split()}"
+        for phrase, label in BASE_PHRASES.items())
+    met = []
+    for label, words in template_sets():
+        listed = sorted(w.decode() for w in words)
+        met.append(f"select doc_id, '{label}' label, len(list_intersect(w, {listed})) / {len(listed)} c "
+                   f"from l where len(list_intersect(w, {listed})) >= {needed(len(listed))}")
+    return f"""
+with d as (select doc_id, {_ALNUM_WORDS} w from documents),
+l as (select doc_id, list_distinct({_ALNUM_WORDS}) w
+      from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) text from documents)),
+p as ({places}),
+b as (select doc_id, count(*) n, min(pos) f, max(pos) t, string_agg(distinct label, ',' order by label) s from p group by doc_id),
+m as ({" union all ".join(met)}),
+a as (select doc_id, string_agg(distinct label, ',' order by label) s
+      from (select doc_id, label from p union all select doc_id, label from m) group by doc_id),
+c as (select doc_id, max(c) c from m group by doc_id)
+select d.doc_id, len(w)::bigint n_words, coalesce(b.n, 0)::bigint n_base, b.f::bigint first_word, b.t::bigint last_word,
+       coalesce(b.s, '') base_labels, coalesce(a.s, '') labels,
+       case when b.n > 0 then 1.0 else coalesce(c.c, 0.0) end::double score
+from d left join b using (doc_id) left join a using (doc_id) left join c using (doc_id)
+"""
+
+
+#: Links by counting common shingles of all pairs, components by reachability.
+NEAR_DEDUP = f"""
+with recursive d as (select doc_id, {_SPACE_WORDS} w from documents),
+s as (select distinct doc_id, unnest(case when len(w) < 4 then [w] else
+        list_transform(range(1, len(w) - 2), lambda i: list_slice(w, i, i + 3)) end) x from d where len(w) > 0),
+n as (select doc_id, count(*) n from s group by doc_id),
+common as (select a.doc_id u, b.doc_id v, count(*) c from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+e as (select u, v from common join n nu on nu.doc_id = u join n nv on nv.doc_id = v where 100 * c >= 80 * (nu.n + nv.n - c)),
+r as (select doc_id u, doc_id v from d union select r.u, e.v from r join e on r.v = e.u)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, m.c component_id, d.doc_id = m.c kept
+from d left join n using (doc_id) join (select u, min(v) c from r group by u) m on m.u = d.doc_id
+"""
+
+
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": DECONTAMINATION,
     "op2_line_dedup": LINE_DEDUP,
+    "op8_minhash_near_dedup": NEAR_DEDUP,
+    "op9_license_scan": _licenses(),
     "op10_quality_rules": _quality(),
 }
