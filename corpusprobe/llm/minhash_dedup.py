@@ -5,8 +5,9 @@ minima make 32 bands of four (a pair at similarity 0.8 shares no band with
 probability 5e-8), and only the low four bits of each minimum are kept, packed
 into eight longs. Documents with equal sets fall together first; then
 
-1. each document of a shared band is paired with the band's smallest and
-   largest member, not with all of them;
+1. each document is paired with the smallest member of all its bands, and
+   after a first round of 2 and 3, in bands whose members still lie in several
+   components, with the band's own smallest member;
 2. the packed signatures give the collision-corrected estimate
    ``(m/128 - 1/16) / (1 - 1/16)`` by bit counts, and pairs below
    ``MIN_ESTIMATE`` (over six standard deviations under 0.8) go;
@@ -16,7 +17,7 @@ into eight longs. Documents with equal sets fall together first; then
    members, by signature, and what passes is confirmed as well.
 
 So every link is found that shares a band, while a band that is one component
-after step 3 costs one comparison per member.
+after step 3 costs no further comparison.
 
 Defined results: null and empty texts have the empty set and are linked with
 nothing; rows with a null id are linked with nothing and get a null component;
@@ -195,16 +196,26 @@ def _cross_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(other, pa.int64())], names=["hub", "node"])
 
 
-def cross_pairs(bands: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Unlinked pairs of bands that hold several components (step 4)."""
-    members = bands.join(found, "node", "left").select(
+def close_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (``hub``, ``node``) whose signatures are similar enough (step 2)."""
+    hubs = sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig"))
+    return pairs.join(sigs, "node").join(hubs, "hub").where(
+        estimate(F.col("sig"), F.col("hub_sig")) >= MIN_ESTIMATE).select("hub", "node")
+
+
+def mixed_bands(bands: DataFrame, found: DataFrame) -> DataFrame:
+    """``bucket``, ``node``, ``component`` of the bands that hold several components."""
+    members = bands.select("bucket", "node").join(found, "node", "left").select(
         "bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    return scratch_table(members.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed-bands")
+
+
+def cross_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Unlinked pairs of the bands that hold several components (step 4)."""
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    mixed = (sizes.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"),
-                                         F.max(F.struct("n", "component"))["component"].alias("major"))
-             .where("kinds > 1"))
-    rows = members.join(mixed, "bucket").select("bucket", "node", "component", "all", "major")
-    rows = scratch_table(rows.join(sigs, "node"), "mixed-bands")
+    largest = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component"))["component"].alias("major"))
+    rows = scratch_table(members.join(largest, "bucket").join(sigs, "node"), "mixed-signatures")
     minor = rows.where("component <> major")
     blocks = minor.groupBy("bucket").agg(F.ceil(F.count("*") / CROSS_BLOCK).cast("int").alias("blocks"))
     cut = rows.join(blocks, "bucket").withColumns({
@@ -233,15 +244,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sigs = sets.select("node", "sig")
     every = sets.select(F.explode("bands").alias("bucket"), "node")
     ends = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    bands = scratch_table(every.join(ends, "bucket"), "minhash-bands")
-    # The smallest member is the hub of a band; the largest one is a second hub for the others.
-    pairs = (bands.select(F.col("lo").alias("hub"), "node").where("hub <> node")
-             .unionByName(bands.where("node <> lo and node <> hi").select(F.col("hi").alias("hub"), "node")).distinct())
-    close = (pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-             .where(estimate(F.col("sig"), F.col("hub_sig")) >= MIN_ESTIMATE).select("hub", "node"))
-    links = scratch_table(confirm(close, docs), "links")
+    bands = scratch_table(every.join(ends.drop("hi"), "bucket"), "minhash-bands")
+    # First every document meets the smallest member of all its bands, once.
+    stars = bands.groupBy("node").agg(F.min("lo").alias("hub")).where("hub <> node").select("hub", "node")
+    links = scratch_table(confirm(close_pairs(stars, sigs), docs), "links")
+    found = scratch_table(components(links), "components")
+    # Then, in bands of several components only, the band's own smallest member.
+    apart = mixed_bands(bands, found)
+    heads = apart.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("head"))
+    stars = apart.join(heads, "bucket").where(F.col("head.component") != F.col("component")).select(
+        F.col("head.node").alias("hub"), "node").distinct()
+    links = scratch_table(links.unionByName(confirm(close_pairs(stars, sigs), docs)), "links")
     found = scratch_table(components(links), "components")
-    more = scratch_table(confirm(cross_pairs(bands.select("bucket", "node"), found, sigs), docs), "links")
+    # At last all that is still apart in some band.
+    more = scratch_table(confirm(cross_pairs(mixed_bands(bands, found), sigs), docs), "links")
     if not more.isEmpty():
         found = scratch_table(components(links.unionByName(more)), "components")
     classes = sets.select("digest", "node").join(found, "node", "left").select(

@@ -36,7 +36,7 @@ PERIOD = 1000
 #: The plan lists every source; more are refused rather than collected.
 MAX_SOURCES = 5000
 #: Mean rows of one salted part of a source.
-PART_ROWS = 20_000
+PART_ROWS = 2000
 BROADCAST_PARTS = 100_000
 
 
