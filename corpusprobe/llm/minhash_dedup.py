@@ -10,11 +10,10 @@ into eight longs. Documents with equal sets fall together first; then
    components, with the band's own smallest member;
 2. the packed signatures give the collision-corrected estimate
    ``(m/128 - 1/16) / (1 - 1/16)`` by bit counts, and pairs below
-   ``MIN_ESTIMATE`` (over six standard deviations under 0.8) go;
+   ``MIN_ESTIMATE`` (over five standard deviations under 0.8) go;
 3. the rest is confirmed on the full sets and contracted to components;
-4. bands whose members still lie in several components are gone through
-   in blocks: all members outside the band's largest component against all
-   members, by signature, and what passes is confirmed as well.
+4. documents of bands that still hold several components are compared in
+   blocks, by signature and then on full sets, no pair being written.
 
 So every link is found that shares a band, while a band that is one component
 after step 3 costs no further comparison.
@@ -41,13 +40,13 @@ from .components import components
 SHINGLE = 4
 PERMS, BANDS, BITS = 128, 32, 4
 MIN_SHARED, OF_UNION = 80, 100
-MIN_ESTIMATE = 0.55
+MIN_ESTIMATE = 0.6
 #: Words hashed at once; members compared with one copy of a hub; block of the cross comparison.
 CHUNK_WORDS = 200_000
 HUB_MEMBERS = 200
-CROSS_BLOCK = 256
-CROSS_MEMBERS = 2000
+CROSS_BLOCK = 1000
 BROADCAST_STARS = 1_000_000
+BROADCAST_SIGS = 100_000
 
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -169,31 +168,38 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _cross_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, block, salt), the block's own rows first:
-    pairs of different components whose signatures are close enough."""
+    """Rows sorted by (grp, lo, hi, block): the rows of block ``lo`` are held,
+    those of block ``hi`` compared with them (within one block, each with those
+    before it): links between different components."""
     least = (MIN_ESTIMATE * (1 - 2.0 ** -BITS) + 2.0 ** -BITS) * PERMS
-    key, nodes, comps, sigs = None, [], [], []
-    ones = np.uint64(0x1111111111111111)
+    ones, hashes = np.uint64(0x1111111111111111), WordHashes()
+    key, held, sets = None, 0, []
+    nodes, comps = np.empty(CROSS_BLOCK, dtype=np.int64), np.empty(CROSS_BLOCK, dtype=np.int64)
+    sigs = np.empty((CROSS_BLOCK, PERMS * BITS // 64), dtype=np.uint64)
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("bucket", "block", "salt", "inside", "node", "component")]
-        own = np.asarray(batch.column("sig").flatten()).view(np.uint64).reshape(batch.num_rows, -1)
-        hub, other = [], []
-        for i, (bucket, block, salt, inside, node, comp) in enumerate(zip(*cols, strict=True)):
-            if key != (bucket, block, salt):
-                key, nodes, comps, sigs = (bucket, block, salt), [], [], []
-            if inside:
-                nodes.append(node)
-                comps.append(comp)
-                sigs.append(own[i])
-                continue
-            x = np.asarray(sigs) ^ own[i]
-            x |= x >> np.uint64(1)
-            x |= x >> np.uint64(2)
-            close = PERMS - np.bitwise_count(x & ones).sum(axis=1) >= least
-            for j in np.flatnonzero(close & (np.asarray(comps) != comp)):
-                hub.append(max(nodes[j], node))
-                other.append(min(nodes[j], node))
-        yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(other, pa.int64())], names=["hub", "node"])
+        cols = [batch.column(c).to_pylist() for c in ("grp", "lo", "hi", "block", "node", "component")]
+        own_sigs = np.asarray(batch.column("sig").flatten()).view(np.uint64).reshape(batch.num_rows, -1)
+        u, v = [], []
+        for i, (grp, lo, hi, block, node, comp, raw) in enumerate(zip(*cols, text_bytes(batch), strict=True)):
+            if key != (grp, lo, hi):
+                key, held, sets = (grp, lo, hi), 0, []
+            own = shingle_set(raw, hashes)
+            if block == hi:
+                x = sigs[:held] ^ own_sigs[i]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                close = PERMS - np.bitwise_count(x & ones).sum(axis=1) >= least
+                for j in np.flatnonzero(close & (comps[:held] != comp)):
+                    if similar(sets[j], own):
+                        u.append(int(nodes[j]))
+                        v.append(node)
+            if block == lo:
+                if held == len(nodes):  # hashing may fill a block somewhat over its mean
+                    nodes, comps, sigs = (np.concatenate([x, np.empty_like(x)]) for x in (nodes, comps, sigs))
+                nodes[held], comps[held], sigs[held] = node, comp, own_sigs[i]
+                sets.append(own)
+                held += 1
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
 def close_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -211,26 +217,26 @@ def mixed_bands(bands: DataFrame, found: DataFrame) -> DataFrame:
     return scratch_table(members.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed-bands")
 
 
-def cross_pairs(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Unlinked pairs of the bands that hold several components (step 4)."""
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component"))["component"].alias("major"))
-    rows = scratch_table(members.join(largest, "bucket").join(sigs, "node"), "mixed-signatures")
-    minor = rows.where("component <> major")
-    blocks = minor.groupBy("bucket").agg(F.ceil(F.count("*") / CROSS_BLOCK).cast("int").alias("blocks"))
-    cut = rows.join(blocks, "bucket").withColumns({
-        "own_block": F.pmod(F.xxhash64("node"), "blocks").cast("int"),
-        "salts": F.ceil(F.col("all") / CROSS_MEMBERS).cast("int")})
-    held = cut.where("component <> major").select(
-        "bucket", F.col("own_block").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("inside"), "node", "component", "sig")
-    passing = cut.select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64(F.lit("salt"), "node"), "salts").cast("int").alias("salt"), F.lit(False).alias("inside"),
-        "node", "component", "sig")
-    dealt = held.unionByName(passing).repartition("bucket", "block", "salt").sortWithinPartitions(
-        "bucket", "block", "salt", F.col("inside").desc())
-    return dealt.mapInArrow(_cross_rows, "hub long, node long").distinct()
+def cross_links(members: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of ``members``, bands that hold several components (step 4).
+
+    Documents that share such bands, directly or over others, are one group;
+    it is cut into blocks, and each pair of blocks is a task of its own, which
+    compares signatures and confirms on full sets without making pair rows.
+    """
+    heads = members.groupBy("bucket").agg(F.min("node").alias("v"))
+    groups = components(members.select("bucket", F.col("node").alias("u")).join(heads, "bucket").select("u", "v"))
+    nodes = (members.select("node", "component").distinct().join(sigs, "node")
+             .join(groups.withColumnRenamed("component", "grp"), "node"))
+    nodes = scratch_table(nodes, "apart")
+    sizes = nodes.groupBy("grp").agg(F.ceil(F.count("*") / CROSS_BLOCK).cast("int").alias("blocks"))
+    placed = scratch_table(nodes.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "apart")
+    rows = docs.join(broadcast_if(placed, BROADCAST_SIGS), F.col("doc_id") == F.col("node")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block",
+                        "node", "component", "sig", "text")
+    dealt = dealt.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "block")
+    return dealt.mapInArrow(_cross_rows, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,8 +249,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "minhash-sets")
     sigs = sets.select("node", "sig")
     every = sets.select(F.explode("bands").alias("bucket"), "node")
-    ends = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    bands = scratch_table(every.join(ends.drop("hi"), "bucket"), "minhash-bands")
+    ends = every.groupBy("bucket").agg(F.min("node").alias("lo"), F.count("*").alias("n")).where("n > 1")
+    bands = scratch_table(every.join(ends.drop("n"), "bucket"), "minhash-bands")
     # First every document meets the smallest member of all its bands, once.
     stars = bands.groupBy("node").agg(F.min("lo").alias("hub")).where("hub <> node").select("hub", "node")
     links = scratch_table(confirm(close_pairs(stars, sigs), docs), "links")
@@ -257,7 +263,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     links = scratch_table(links.unionByName(confirm(close_pairs(stars, sigs), docs)), "links")
     found = scratch_table(components(links), "components")
     # At last all that is still apart in some band.
-    more = scratch_table(confirm(cross_pairs(mixed_bands(bands, found), sigs), docs), "links")
+    more = scratch_table(cross_links(mixed_bands(bands, found), sigs, docs), "links")
     if not more.isEmpty():
         found = scratch_table(components(links.unionByName(more)), "components")
     classes = sets.select("digest", "node").join(found, "node", "left").select(
