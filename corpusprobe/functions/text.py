@@ -38,10 +38,6 @@ def space_pieces(text) -> Column:
     return F.split(_c(text), " ", -1)
 
 
-def join_words(words) -> Column:
-    return F.array_join(_c(words), " ")
-
-
 def power_log(x) -> Column:
     """Next power of two >= x, computed as ``2 ** ceil(ln x / ln 2)``.
 

@@ -110,6 +110,10 @@ def vocabulary(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return dense_index(toks, "token", "token_id")
 
 
+#: Id of tokens outside the vocabulary; no query may hold it.
+UNKNOWN_ID = -1
+
+
 def _vocab_side(vocab: DataFrame, max_bytes: int) -> DataFrame:
     size = vocab.agg(F.sum(F.length("token") + 24).alias("b")).first()["b"] or 0
     return F.broadcast(vocab) if size <= max_bytes else vocab
@@ -117,17 +121,20 @@ def _vocab_side(vocab: DataFrame, max_bytes: int) -> DataFrame:
 
 def token_ids(corpus: DataFrame, vocab: DataFrame, doc_col: str = "doc_id",
               text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """TOK1: ``(doc_id, ids array<int>)`` in word order; unknown tokens are dropped.
+    """TOK1: ``(doc_id, ids array<int>)`` in word order, one row per document.
+
+    A token outside the vocabulary keeps its place as ``UNKNOWN_ID``, so words
+    beside it never become neighbours; a document without tokens has no ids.
 
     The vocabulary is broadcast below ``broadcast_bytes`` (one sizing action),
     otherwise joined by shuffle; hot tokens are then split by AQE's skew join.
     """
     pos = corpus.select(F.col(doc_col).alias("doc_id"),
-                        F.posexplode(ws_tokens(text_col)).alias("pos", "token"))
-    ids = pos.join(_vocab_side(vocab, broadcast_bytes), "token")
+                        F.posexplode_outer(ws_tokens(text_col)).alias("pos", "token"))
+    ids = pos.join(_vocab_side(vocab, broadcast_bytes), "token", "left")
+    known = F.coalesce(F.col("token_id").cast("int"), F.lit(UNKNOWN_ID)).alias("id")
     return (ids.groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list(F.struct("pos", F.col("token_id").cast("int").alias("id"))))
-                 .alias("s"))
+            .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known)))).alias("s"))
             .select("doc_id", F.transform("s", lambda x: x["id"]).alias("ids")))
 
 

@@ -265,24 +265,3 @@ def occurrence_counts(corpus: DataFrame, queries: DataFrame, *, query_col: str =
         return found
     return (q.select("query").join(found, "query", "left")
             .select("query", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
-
-
-def occurrence_counts_naive(corpus: DataFrame, queries: DataFrame, *, query_col: str = "query",
-                            doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Reference plan: broadcast nested loop + lookahead regex. Small data only."""
-    q = (queries.select(F.col(query_col).alias("query"))
-         .where(F.col("query").isNotNull() & (F.length("query") > 0)).distinct())
-    pat = F.concat(F.lit("(?=\\Q"), F.replace(F.col("query"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
-                   F.lit("\\E)"))
-    docs = corpus.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    hit = (docs.join(F.broadcast(q), F.col("text").contains(F.col("query")))
-           .select("query", F.regexp_count("text", pat).alias("n")))
-    found = hit.groupBy("query").agg(F.sum("n").alias("n"))
-    return (q.join(found, "query", "left")
-            .select("query", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
-
-
-def contains_any(corpus: DataFrame, queries: DataFrame, **kw) -> DataFrame:
-    """OCC4: ``(query, hit)`` with hit = the query occurs at least once."""
-    return (occurrence_counts(corpus, queries, **kw)
-            .select("query", (F.col("n") > 0).alias("hit")))

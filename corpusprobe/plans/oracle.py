@@ -253,8 +253,8 @@ SQL["token_ids"] = f"WITH {TOKS} SELECT token, token_id FROM vocab"
 
 SQL["token_lines"] = f"""
 WITH {TOKS}
-SELECT d.doc_id, string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY d.pos) AS line
-FROM dtok d JOIN vocab v ON v.token = d.token GROUP BY d.doc_id"""
+SELECT a.doc_id, coalesce(string_agg(CAST(v.token_id AS VARCHAR), ' ' ORDER BY d.pos), '') AS line
+FROM documents a LEFT JOIN dtok d ON d.doc_id = a.doc_id LEFT JOIN vocab v ON v.token = d.token GROUP BY a.doc_id"""
 
 SQL["count_occurrences_tokens"] = f"""
 WITH {TILES},

@@ -218,8 +218,8 @@ def q_token_lines(spark, d):
 @register("count_occurrences_tokens")
 def q_count_occurrences_tokens(spark, d):
     c = corpus(spark, d)
-    vocab = ng.vocabulary(c)
     tiles = con.word_tiles(benchmark_prompts(spark, d), TILE_WORDS).select(F.col("tile").alias("query"))
+    vocab = ng.vocabulary(tiles, "query")  # counting needs the queries' tokens only
     return ng.token_occurrence_counts(ng.token_ids(c, vocab), ng.encode_queries(tiles, vocab))
 
 
@@ -404,7 +404,7 @@ def q_typed_projection(spark, d):
 def q_decoded_prompts(spark, d):
     b = table(spark, d, "benchmark").select(
         F.col("item_id").alias("prompt_id"), F.encode("text", "UTF-8").alias("inputs_pretokenized"))
-    return b.select("prompt_id", F.decode("inputs_pretokenized", "UTF-8").alias("text"))
+    return tk.decode_inputs(b, keep=["prompt_id"])
 
 
 @register("split_fallback")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -13,28 +14,31 @@ def get_spark(master: str | None = None, app: str = "corpusprobe",
               driver_memory: str = "16g") -> SparkSession:
     """A session tuned for this library.
 
-    On a cluster the master and memory come from spark-submit; the settings
-    here are the ones the operators rely on (AQE with skew-join splitting,
-    Arrow for the pandas UDF paths, UTC).
+    Only what is unset is set, so spark-submit's master, memory, partitions
+    and split size hold; without any master it runs locally, on ``BENCH_CPUS``
+    cores with as many shuffle partitions.
     """
+    SparkContext._ensure_initialized()  # makes spark-submit's settings visible below
+    given = SparkConf()
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
-    parts = shuffle_partitions or int(cpus)
-    builder = (
-        builder
-        .config("spark.driver.memory", driver_memory)
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
-    )
-    spark = builder.config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    wanted = {
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+    }
+    chosen = master or given.get("spark.master", os.environ.get("SPARK_MASTER") or f"local[{cpus}]")
+    wanted["spark.master"] = chosen
+    if chosen.startswith("local"):
+        wanted |= {"spark.driver.memory": driver_memory, "spark.sql.shuffle.partitions": cpus,
+                   "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024)}
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    unset = {k: v for k, v in wanted.items() if not given.contains(k)}
+    spark = SparkSession.builder.appName(app).config(map=unset).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -51,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="corpusprobe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

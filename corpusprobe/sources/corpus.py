@@ -1,5 +1,4 @@
-"""Corpus and word-list readers (SRC6, SRC7, SRC15) and the pluggable
-tokeniser (TOK1, UDF3)."""
+"""Corpus and word-list readers (SRC6, SRC7, SRC15)."""
 
 from __future__ import annotations
 
@@ -19,9 +18,10 @@ def read_jsonl_corpus(spark: SparkSession, path: str, text_key: str = "text") ->
 
 def read_corpus_lines(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: raw text lines, ``(doc_id, line_no, line)`` with one pseudo-document
-    per file split; ``line_no`` is a unique increasing id within it."""
+    per file; ``line_no`` is a unique increasing id within it. Neither file
+    ids nor line order depend on the size of the splits."""
     return spark.read.text(path).select(
-        F.spark_partition_id().cast("bigint").alias("doc_id"),
+        F.xxhash64("_metadata.file_path").alias("doc_id"),
         F.monotonically_increasing_id().alias("line_no"),
         F.col("value").alias("line"))
 
@@ -32,25 +32,3 @@ def read_word_list(spark: SparkSession, path: str) -> DataFrame:
     return (raw.select(F.from_json("value", "array<string>").alias("a"))
             .select(F.posexplode("a").alias("idx", "word"))
             .select(F.col("idx").cast("bigint"), "word"))
-
-
-def tokenizer_udf(tokenizer_file: str) -> "callable":
-    """TOK1/UDF3: a pandas UDF ``text -> array<int>`` running a tokenizers
-    JSON file (loaded once per task, applied per Arrow batch).
-
-    The file must be readable from every executor (a shared path).
-    """
-    import pandas as pd
-
-    state = {}
-
-    def encode(texts):
-        tok = state.get("tok")
-        if tok is None:
-            from tokenizers import Tokenizer
-            tok = state["tok"] = Tokenizer.from_file(tokenizer_file)
-        enc = tok.encode_batch([t if t is not None else "" for t in texts.tolist()])
-        return pd.Series([e.ids for e in enc])
-    encode.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(encode, "array<int>")
-

@@ -39,7 +39,7 @@ def read_prompt_folder(spark: SparkSession, folder: str, strip_newline: bool = T
             continue
         ext = name.rsplit(".", 1)[-1]
         if ext not in SUPPORTED:
-            raise NotImplementedError(f"File extension {ext} not supported")
+            raise NotImplementedError(f"prompt files end in {SUPPORTED}, not .{ext}")
         exts.add(ext)
     parts = []
     base = folder.rstrip("/")
@@ -59,13 +59,33 @@ def read_prompt_folder(spark: SparkSession, folder: str, strip_newline: bool = T
             .select("file", F.posexplode("arr").alias("prompt_id", "text"))
             .withColumn("text", F.regexp_replace("text", "\n$", "") if strip_newline else F.col("text")))
     if not parts:
-        return spark.createDataFrame([], PROMPT_SCHEMA)
+        raise FileNotFoundError(f"no prompt files in {folder}; written prompt tables are read by written_prompts")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select(F.col("file").alias("task"), F.col("prompt_id").cast("bigint"), "text")
 
 
+WRITTEN_SCHEMA = "task string, split string, prompt_id bigint, text string"
+
+
+def written_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """What ``sinks.write_prompts`` wrote under ``path`` (nothing yet: no rows).
+
+    A finished task without prompts has one row with a null ``prompt_id``.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], WRITTEN_SCHEMA)
+    return spark.read.schema(WRITTEN_SCHEMA).json(path).select("task", "split", "prompt_id", "text")
+
+
+def read_written_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """``(task, split, prompt_id, text)`` of all written prompts."""
+    return written_prompts(spark, path).where("prompt_id is not null")
+
+
 def read_task_list(spark: SparkSession, path: str) -> DataFrame:
     """SRC12: one task name per line, ``(task)``; blank lines dropped."""
     return (spark.read.text(path)

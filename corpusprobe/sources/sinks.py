@@ -6,16 +6,23 @@ readable; Parquet replaces pickles.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-
+from pyspark.sql import functions as F
 
 
 def _dynamic(df: DataFrame):
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    return df.write.mode("overwrite")
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
 
+def write_prompts(prompts: DataFrame, path: str, tasks: DataFrame | None = None) -> None:
+    """SNK1: prompts of each task and split, partitioned by both.
 
-def write_prompts(prompts: DataFrame, path: str) -> None:
-    """SNK1: prompts of each task and split, partitioned by both."""
+    Tasks of ``tasks(task, split)`` without any prompt get one row of nulls, so
+    that they count as finished. ``prompts.written_prompts`` reads it back.
+    """
+    if tasks is not None:
+        empty = (tasks.select("task", "split").distinct().join(prompts.select("task").distinct(), "task", "left_anti")
+                 .select("task", "split", F.lit(None).cast("bigint").alias("prompt_id"), F.lit(None).cast("string").alias("text")))
+        prompts = prompts.select("task", "split", "prompt_id", "text").unionByName(empty)
     _dynamic(prompts).partitionBy("task", "split").json(path)
 
 
@@ -54,12 +61,8 @@ def write_embeddings(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def write_word_list(words: DataFrame, path: str) -> None:
-    """SNK8: the test-word list as JSON lines ``{idx, word}``."""
-    words.select("idx", "word").write.mode("overwrite").json(path)
-
-
-def read_json_rows(spark, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
-
-
+    """SNK8: the test-word list (a top-k list, so of bounded length) as one
+    JSON array in list order, which ``corpus.read_word_list`` reads back."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"])
+    words.agg(F.to_json(ordered).alias("value")).write.mode("overwrite").text(path)
 

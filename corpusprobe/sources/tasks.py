@@ -65,9 +65,9 @@ def load_cached_task(spark: SparkSession, cache_dir: str, split: str, fmt: str =
     return cast_to_declared(reader.load(pattern), info)
 
 
-def decode_inputs(df: DataFrame, col: str = "inputs_pretokenized") -> DataFrame:
-    """SRC9: the prompt text, UTF-8 decoded from bytes."""
-    return df.select(F.decode(F.col(col), "UTF-8").alias("text"))
+def decode_inputs(df: DataFrame, col: str = "inputs_pretokenized", keep: list[str] | None = None) -> DataFrame:
+    """SRC9: the prompt text, UTF-8 decoded from bytes, beside the columns ``keep``."""
+    return df.select(*(keep or []), F.decode(F.col(col), "UTF-8").alias("text"))
 
 
 def split_fallback(tasks: DataFrame, available: DataFrame) -> DataFrame:
@@ -91,11 +91,21 @@ def pending_tasks(tasks: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def done_from_outputs(spark: SparkSession, output_dir: str) -> DataFrame:
-    """Tasks that already have ``{task}.{split}.json`` under ``output_dir``."""
+    """Tasks that :func:`corpusprobe.sources.sinks.write_prompts` has written
+    under ``output_dir``, those without prompts included."""
+    from corpusprobe.sources.prompts import written_prompts
+    return written_prompts(spark, output_dir).select("task").distinct()
+
+
+def available_splits(spark: SparkSession, cache_root: str) -> DataFrame:
+    """``(task, split)`` of every split that has an info file in the task
+    folders below ``cache_root`` (a listing of names, no data is read)."""
     from corpusprobe.sources.prompts import _list_files
-    names = [n for n, is_dir in _list_files(spark, output_dir) if not is_dir and n.endswith(".json")]
-    rows = [(n[: -len(".json")].rsplit(".", 1)[0],) for n in names]
-    return spark.createDataFrame(rows, "task string")
+    root = cache_root.rstrip("/")
+    rows = [(task, name.split(".", 1)[0].removesuffix("_info").removeprefix("info_"))
+            for task, is_dir in _list_files(spark, root) if is_dir
+            for name, inner in _list_files(spark, f"{root}/{task}") if not inner and name.startswith("info")]
+    return spark.createDataFrame(rows, "task string, split string")
 
 
 def load_dataset(spark: SparkSession, name: str | None = None, path: str | None = None,
@@ -103,11 +113,11 @@ def load_dataset(spark: SparkSession, name: str | None = None, path: str | None
     """SRC13: a table by name, or files by path and format; exactly one of them."""
     if name is not None:
         if path is not None:
-            raise ValueError("Can't pass both a dataset name and a dataset path")
+            raise ValueError("load_dataset takes a table name or a path, not the two together")
         return spark.table(name)
     if path is not None:
         return spark.read.format(fmt).load(path)
-    raise NotImplementedError("You have to pass either a dataset name or a dataset path")
+    raise NotImplementedError("load_dataset needs a table name or a path")
 
 
 __all__ = ["schema_from_info", "load_cached_task", "decode_inputs", "split_fallback",

@@ -32,6 +32,17 @@ def test_token_space_counts(spark):
     assert got == {"a b a": 2, "b a": 3, "zz a": 0}
 
 
+def test_tokens_outside_the_vocabulary_keep_their_place(spark):
+    c = spark.createDataFrame([(0, "a X b"), (1, "a b X"), (2, ""), (3, None), (4, "X")], "doc_id bigint, text string")
+    vocab = spark.createDataFrame([("a", 0), ("b", 1)], "token string, token_id bigint")
+    ids = ng.token_ids(c, vocab)
+    assert {r["doc_id"]: r["line"] for r in ng.token_lines(ids).collect()} == {0: "0 -1 1", 1: "0 1 -1", 2: "", 3: "", 4: "-1"}
+    q = ng.encode_queries(spark.createDataFrame([("a b",), ("X",)], "query string"), vocab)
+    for size in (0, 1 << 20):
+        got = {r["query"]: r["n"] for r in ng.token_occurrence_counts(ids, q, broadcast_bytes=size).collect()}
+        assert got == {"a b": 1, "X": 0}
+
+
 def test_natural_prompt_golden(spark):
     cases = ["abc cba abc", "xx abc, cba. abc cba", "abc_cba", "éabc cba", "cba\tabc\n"]
     lines = spark.createDataFrame([(0, i, t) for i, t in enumerate(cases)],

@@ -3,8 +3,9 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusprobe.operators.occurrences import occurrence_counts, occurrence_counts_naive
+from corpusprobe.operators.occurrences import occurrence_counts
 from naive import overlap_count
+from nested_loop import occurrence_counts_naive
 
 
 def _counts(spark, docs, queries, **kw):

@@ -97,19 +97,26 @@ def test_jsonl_lines_and_word_list(spark, tmp_dir):
     assert [(r["idx"], r["word"]) for r in read_word_list(spark, w).collect()] == [(0, "alpha"), (1, "beta")]
 
 
-def test_pluggable_tokenizer(spark, tmp_dir):
-    from tokenizers import Tokenizer
-    from tokenizers.models import WordLevel
-    from tokenizers.pre_tokenizers import Whitespace
-
-    from corpusprobe.sources.corpus import tokenizer_udf
-    tok = Tokenizer(WordLevel({"[UNK]": 0, "hello": 1, "world": 2}, unk_token="[UNK]"))
-    tok.pre_tokenizer = Whitespace()
-    path = os.path.join(tmp_dir, "tok.json")
-    tok.save(path)
-    df = spark.createDataFrame([(1, "hello world"), (2, "world foo")], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["ids"] for r in df.select("doc_id", tokenizer_udf(path)("text").alias("ids")).collect()}
-    assert got == {1: [1, 2], 2: [2, 0]}
+def test_task_extraction_chain(spark, tmp_dir):
+    from corpusprobe.sources import prompts as pr
+    out = os.path.join(tmp_dir, "prompts")
+    tasks = spark.createDataFrame([("a", "test"), ("b", None), ("c", "train")], "task string, split string")
+    assert tk.pending_tasks(tasks, tk.done_from_outputs(spark, out)).count() == 3
+    first = tasks.where("task <> 'c'")
+    found = spark.createDataFrame([("a", "test", 0, "p q"), ("a", "test", 1, "r")], pr.WRITTEN_SCHEMA)
+    sinks.write_prompts(found, out, first)
+    assert [r["task"] for r in tk.pending_tasks(tasks, tk.done_from_outputs(spark, out)).collect()] == ["c"]
+    sinks.write_prompts(spark.createDataFrame([("c", "train", 0, "s")], pr.WRITTEN_SCHEMA), out)
+    assert tk.pending_tasks(tasks, tk.done_from_outputs(spark, out)).count() == 0
+    rows = sorted(tuple(r) for r in pr.read_written_prompts(spark, out).collect())
+    assert rows == [("a", "test", 0, "p q"), ("a", "test", 1, "r"), ("c", "train", 0, "s")]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_folder_without_prompt_files_is_refused(spark, tmp_dir):
+    from corpusprobe.sources.prompts import read_prompt_folder
+    with pytest.raises(FileNotFoundError):
+        read_prompt_folder(spark, tmp_dir)
 
 
 def test_all_sinks_roundtrip(spark, tmp_dir):
@@ -132,7 +139,8 @@ def test_all_sinks_roundtrip(spark, tmp_dir):
     assert spark.read.json(os.path.join(tmp_dir, "e")).first()["embedding"] == [0.5, 0.5]
     words = spark.createDataFrame([(0, "hello")], "idx bigint, word string")
     sinks.write_word_list(words, os.path.join(tmp_dir, "w"))
-    assert spark.read.json(os.path.join(tmp_dir, "w")).first()["word"] == "hello"
+    from corpusprobe.sources.corpus import read_word_list
+    assert [tuple(r) for r in read_word_list(spark, os.path.join(tmp_dir, "w")).collect()] == [(0, "hello")]
 
 
 def test_transform_selection_keeps_registry_order():
