@@ -80,10 +80,11 @@ def fit_link(rows: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Link
     x = np.zeros((len(rows), len(buckets) + earlier.shape[1]), dtype=np.float32)
     x[of[use], place[flat[use]]] = 1
     x[:, len(buckets):] = earlier
-    w, g2 = np.zeros(x.shape[1]), np.full(x.shape[1], 1e-6)
+    w, g2 = np.zeros(x.shape[1], dtype=np.float32), np.full(x.shape[1], 1e-6, dtype=np.float32)
+    y = y.astype(np.float32)
     bias, b2 = float(np.log((rate + 1e-3) / (1 - rate + 1e-3))), 1e-6
     for _ in range(STEPS):
-        err = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y
+        err = 1 / (1 + np.exp(-np.clip(x @ w + np.float32(bias), -30, 30))) - y
         g = x.T @ err / len(y) + DECAY * w
         g2 += g * g
         w -= RATE * g / np.sqrt(g2)
