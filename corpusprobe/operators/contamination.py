@@ -3,7 +3,7 @@
 Prompts are a DataFrame ``(task, prompt_id, text)``. Every search cuts the
 prompts into tiles, counts the *distinct* tiles once with
 :func:`occurrence_counts` (a tile shared by many prompts or tasks is searched
-once), joins the hits back and aggregates per prompt and per task.
+once; its options such as ``tokens=True`` can be given to every search), joins the hits back and aggregates per prompt and per task.
 
 The halving searches of the reference loop from a coarse scale down until a tile
 hits. Here all scales are tiled at once and the loop result is recovered with
@@ -38,6 +38,13 @@ def _tile_hits(corpus: DataFrame, tiles: DataFrame, normalize_ws: bool = False,
     return tiles.join(hits, "tile", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def prompt_counts(prompts: DataFrame, corpus: DataFrame, **kw) -> DataFrame:
+    """OCC3: ``(task, prompt_id, n)``, occurrences of every whole prompt."""
+    counts = occurrence_counts(corpus, prompts, query_col="text", **kw)
+    return (prompts.select(*PROMPT_KEYS, F.col("text").alias("query")).join(counts, "query", "left")
+            .select(*PROMPT_KEYS, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+
+
 # ---------------------------------------------------------------- fixed length
 
 def word_tiles(prompts: DataFrame, length: int = 16, min_words: int = 0) -> DataFrame:

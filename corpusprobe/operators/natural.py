@@ -4,39 +4,45 @@ Counts, per corpus line, the non-overlapping places where a word and one of
 its transformed forms stand next to each other (either order), separated by
 non-word characters and bounded by non-word characters or the line edges.
 
-The pattern is one alternation built on the driver from the (small, top-k)
-pair list and compiled once per task. With many pairs, lines are first
-narrowed by an equi-join of adjacent word pairs against the broadcast pair
-set, so the regex only runs on lines that can match.
+A match holds the word runs of both forms side by side as whole runs, so lines
+and pairs are first equi-joined on the first two runs (one, where there is one
+only). A line's own pattern is then the alternation of just the pairs found in
+it, in list order; the others could not match. This holds for lists of any
+size, all transforms share one scan, and the pairs stay a DataFrame. Pairs
+without any word character have no run to join on and meet every line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusprobe.functions.text import let
+from corpusprobe.operators.occurrences import BROADCAST_BYTES, query_bytes
 
 # Python's \W for str patterns, and UNIX_LINES so that '$' means
 # end of line or before a final '\n', as in Python.
 NON_WORD = "[^\\p{L}\\p{N}_]"
 FLAGS = "(?d)"
-PREFILTER_PAIRS = 200
 
+Pairs = DataFrame | dict[str, list[tuple[str, str]]]
 
-def quote(word: str) -> str:
-    return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
+def quote(word: str) -> Column:
+    return F.concat(F.lit("\\Q"), F.replace(F.col(word), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
-def unitary_regex(w1: str, w2: str) -> str:
-    """RGX1: w1 and w2 adjacent, in either order."""
-    a, b, nw = quote(w1), quote(w2), NON_WORD
-    return (f"(^|{nw}+){a}{nw}+{b}($|{nw}+)|(^|{nw}+){b}{nw}+{a}($|{nw}+)")
 
+def unitary_regex(w1: str, w2: str) -> Column:
+    """RGX1: the columns w1 and w2 adjacent, in either order."""
+    # Fixed form of the pattern.
+    start, gap, end = F.lit(f"(^|{NON_WORD}+)"), F.lit(f"{NON_WORD}+"), F.lit(f"($|{NON_WORD}+)")
+    a, b = quote(w1), quote(w2)
+    return F.concat(start, a, gap, b, end, F.lit("|"), start, b, gap, a, end)
 
-def regex_from_pairs(pairs: list[tuple[str, str]]) -> str:
-    """RGX2: alternation over all (word, transformed) pairs."""
-    return FLAGS + "|".join(unitary_regex(w, t) for w, t in pairs)
+
+def regex_from_pairs(regexes: Column) -> Column:
+    """RGX2: alternation of an array of unitary patterns."""
+    return F.concat(F.lit(FLAGS), F.array_join(regexes, "|"))
 
 
 def word_pairs(words: DataFrame, transform_fn, n_outputs: int = 5) -> DataFrame:
@@ -45,89 +51,93 @@ def word_pairs(words: DataFrame, transform_fn, n_outputs: int = 5) -> DataFrame:
                         .alias("transformed"))
 
 
-def contains_guard(line, pairs: list[tuple[str, str]]):
-    """Exact necessary condition: some pair has both words in the line.
+def pair_table(lines: DataFrame, pairs: Pairs) -> DataFrame:
+    """``(transform, idx, word, transformed)``; lists keep their order as ``idx``."""
+    if isinstance(pairs, DataFrame):
+        return pairs.select("transform", "idx", "word", "transformed")
+    rows = [(name, i, w, t) for name, listed in pairs.items() for i, (w, t) in enumerate(listed)]
+    return lines.sparkSession.createDataFrame(
+        rows, "transform string, idx bigint, word string, transformed string")
+
+
+def _word_runs(text) -> Column:
+    return F.filter(F.split(text, NON_WORD + "+"), lambda x: x != F.lit(""))
+
+
+def _keyed_patterns(pairs: DataFrame) -> DataFrame:
+    """``(transform, idx, regex, n, key)``: per order of a pair its first runs."""
+    def first_runs(a: str, b: str) -> Column:
+        return F.slice(F.concat(_word_runs(F.col(a)), _word_runs(F.col(b))), 1, 2)
+
+    orders = F.array_distinct(F.array(first_runs("word", "transformed"), first_runs("transformed", "word")))
+    return (pairs.select("transform", "idx", unitary_regex("word", "transformed").alias("regex"),
+                         F.explode(orders).alias("runs"))
+            .select("transform", "idx", "regex", F.size("runs").alias("n"),
+                    F.array_join("runs", " ").alias("key")))
+
+
+def _line_keys(runs: Column, sizes: list[int]) -> Column:
+    """The keys of a line for the run counts in use."""
+    def key(n: int, text: Column) -> Column:
+        return F.struct(F.lit(n).alias("n"), text.alias("key"))
+
+    kinds = {
+        0: F.array(key(0, F.lit(""))),
+        1: F.transform(runs, lambda x: key(1, x)),
+        2: F.transform(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))),
+                       lambda x, i: key(2, F.concat(x, F.lit(" "), F.element_at(runs, i + 2)))),
+    }
+    return F.array_distinct(F.concat(*[kinds[n] for n in sizes]))
+
+
+def _matches(lines: DataFrame, pairs: Pairs, broadcast_bytes: int) -> tuple[DataFrame, list[str]]:
+    """``(doc_id, line_no, transform, n)`` with n > 0, and the transforms' names."""
+    lines = lines.select("doc_id", "line_no", "line")
+    patterns = _keyed_patterns(pair_table(lines, pairs))
+    # One small action: size, run counts (three at most) and the transforms' names.
+    facts = patterns.agg(F.sum(query_bytes(patterns)).alias("bytes"), F.collect_set("n").alias("sizes"),
+                         F.collect_set("transform").alias("names")).first()
+    if not facts["sizes"]:
+        return lines.where(F.lit(False)).select(
+            "doc_id", "line_no", F.lit("").alias("transform"), F.lit(0).cast("bigint").alias("n")), []
+    if facts["bytes"] <= broadcast_bytes:
+        patterns = F.broadcast(patterns)
+    keys = let(_word_runs(F.col("line")), lambda r: _line_keys(r, sorted(facts["sizes"])))
+    found = (lines.select("doc_id", "line_no", F.explode(keys).alias("k"))
+             .select("doc_id", "line_no", "k.n", "k.key").join(patterns, ["n", "key"])
+             .groupBy("doc_id", "line_no", "transform")
+             .agg(F.array_sort(F.collect_set(F.struct("idx", "regex"))).alias("r"))
+             .select("doc_id", "line_no", "transform",
+                     regex_from_pairs(F.transform("r", lambda x: x["regex"])).alias("pattern")))
+    counted = (lines.join(found, ["doc_id", "line_no"])
+               .select("doc_id", "line_no", "transform",
+                       F.regexp_count("line", F.col("pattern")).cast("bigint").alias("n")))
+    return counted.where(F.col("n") > 0), sorted(facts["names"])
+
+
+def natural_prompt_counts(lines: DataFrame, pairs: Pairs, keep_zeros: bool = False,
+                          broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """RGX3/RGX4: ``(doc_id, line_no, transform, n)`` with n = non-overlapping matches.
 
-    Plain substring tests are far cheaper than the alternation; the regex only
-    runs where the guard holds. None above PREFILTER_PAIRS pairs (the
-    expression would outgrow code generation).
+    ``pairs`` is ``(transform, idx, word, transformed)``, or a list of pairs per
+    transform. ``keep_zeros`` adds all other lines for each transform.
     """
-    if not pairs or len(pairs) > PREFILTER_PAIRS:
-        return None
-    guard = None
-    for w, t in pairs:
-        g = line.contains(F.lit(w)) & line.contains(F.lit(t))
-        guard = g if guard is None else (guard | g)
-    return guard
-
-
-def guarded_count(line, pairs: list[tuple[str, str]]):
-    n = F.regexp_count(line, F.lit(regex_from_pairs(pairs)))
-    guard = contains_guard(line, pairs)
-    return n if guard is None else F.when(guard, n).otherwise(F.lit(0))
-
+    counted, names = _matches(lines, pairs, broadcast_bytes)
+    if not keep_zeros or not names:
+        return counted
+    every = lines.select("doc_id", "line_no", F.explode(F.array(*map(F.lit, names))).alias("transform"))
+    return (every.join(counted, ["doc_id", "line_no", "transform"], "left")
+            .select("doc_id", "line_no", "transform", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
-def _word_runs(line) -> "F.Column":
-    return F.filter(F.split(line, NON_WORD + "+"), lambda x: x != F.lit(""))
 
-
-def natural_prompt_counts(lines: DataFrame, pairs_by_transform: dict[str, list[tuple[str, str]]],
-                          keep_zeros: bool = False) -> DataFrame:
-    """RGX3/RGX4: ``(doc_id, line_no, transform, n)`` with n = non-overlapping matches.
-
-    ``pairs_by_transform`` maps a transform name to its (word, transformed)
-    pairs; it is a driver-side list because the reference searches a short
-    top-k word list. Above ``PREFILTER_PAIRS`` pairs of plain words, lines are
-    prefiltered by a broadcast equi-join on adjacent word runs.
-    """
-    spark = lines.sparkSession
-    parts = []
-    for name, pairs in pairs_by_transform.items():
-        if not pairs:
-            continue
-        src = lines
-        plain = all(w.isalnum() and t.isalnum() for w, t in pairs)
-        if len(pairs) > PREFILTER_PAIRS and plain and not keep_zeros:
-            keyset = spark.createDataFrame(
-                sorted({(a, b) for w, t in pairs for a, b in ((w, t), (t, w))}), "a string, b string")
-            adj = let(_word_runs(F.col("line")), lambda r: F.transform(
-                F.slice(r, F.lit(1), F.size(r) - 1),
-                lambda x, i: F.struct(x.alias("a"), F.element_at(r, i + 2).alias("b"))))
-            cand = (lines.select("doc_id", "line_no", F.explode(adj).alias("p"))
-                    .select("doc_id", "line_no", "p.a", "p.b")
-                    .join(F.broadcast(keyset), ["a", "b"], "left_semi")
-                    .select("doc_id", "line_no").distinct())
-            src = lines.join(cand, ["doc_id", "line_no"], "left_semi")
-        counted = src.select("doc_id", "line_no", F.lit(name).alias("transform"),
-                             guarded_count(F.col("line"), pairs).cast("bigint").alias("n"))
-        if not keep_zeros:
-            counted = counted.where(F.col("n") > 0)
-        parts.append(counted)
-    if not parts:
-        return spark.createDataFrame([], "doc_id bigint, line_no bigint, transform string, n bigint")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def natural_prompt_docs(lines: DataFrame,
-                        pairs_by_transform: dict[str, list[tuple[str, str]]]) -> DataFrame:
+def natural_prompt_docs(lines: DataFrame, pairs: Pairs, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """FLT9 + AGG9 (Q13): per transform, lines scanned, lines with a match and
-    the total number of matches, in one aggregation over the lines."""
-    spark = lines.sparkSession
-    parts = []
-    for name, pairs in pairs_by_transform.items():
-        n = guarded_count(F.col("line"), pairs) if pairs else F.lit(0)
-        parts.append(lines.select(n.alias("n")).agg(
-            F.count(F.lit(1)).cast("bigint").alias("lines"),
-            F.count_if(F.col("n") > 0).cast("bigint").alias("matching_lines"),
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("matches"))
-            .select(F.lit(name).alias("transform"), "lines", "matching_lines", "matches"))
-    if not parts:
-        return spark.createDataFrame([], "transform string, lines bigint, matching_lines bigint, "
-                                         "matches bigint")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    the total number of matches."""
+    counted, names = _matches(lines, pairs, broadcast_bytes)
+    per = counted.groupBy("transform").agg(F.count(F.lit(1)).alias("hit"), F.sum("n").alias("sum"))
+    scanned = (lines.agg(F.count(F.lit(1)).alias("lines"))
+               .select(F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("transform"), "lines"))
+    return (scanned.join(per, "transform", "left")
+            .select("transform", F.col("lines").cast("bigint").alias("lines"),
+                    F.coalesce("hit", F.lit(0)).cast("bigint").alias("matching_lines"),
+                    F.coalesce("sum", F.lit(0)).cast("bigint").alias("matches")))

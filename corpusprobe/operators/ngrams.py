@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprobe.functions.text import ngram_set, ngram_strings, ws_tokens
-from corpusprobe.operators.occurrences import BROADCAST_BYTES, match_chunks, token_windows
+from corpusprobe.operators.occurrences import BROADCAST_BYTES, ROW_BYTES, count_matches
 from corpusprobe.session import ensure_checkpoint_dir
 
 # ------------------------------------------------------------------ lines
@@ -115,7 +115,7 @@ UNKNOWN_ID = -1
 
 
 def _vocab_side(vocab: DataFrame, max_bytes: int) -> DataFrame:
-    size = vocab.agg(F.sum(F.length("token") + 24).alias("b")).first()["b"] or 0
+    size = vocab.agg(F.sum(F.octet_length("token") + ROW_BYTES).alias("b")).first()["b"] or 0
     return F.broadcast(vocab) if size <= max_bytes else vocab
 
 
@@ -166,34 +166,13 @@ def token_occurrence_counts(doc_ids: DataFrame, query_ids: DataFrame,
                             broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """OCC2: overlapping occurrences of id sequences, ``(query, n)`` with zeros.
 
-    Same anchored-window equi-join as the text branch (chunks of up to six ids,
-    no partial tokens at the edges).
+    The whole-token plan of the occurrence counts over ids; null ids count 0.
+    Where tokens are plain whitespace words, ``occurrence_counts(tokens=True)``
+    gives the same without turning the corpus into ids.
     """
-    from corpusprobe.operators.occurrences import ANCHOR_WORDS
-    c = ANCHOR_WORDS
-    q = query_ids.where(F.col("ids").isNotNull() & (F.size("ids") > 0))
-    m = F.size("ids")
-    offs = F.when(m <= c, F.array(F.lit(0))).otherwise(
-        F.array_distinct(F.concat(F.sequence(F.lit(0), m - c, F.lit(c)), F.array(m - c))))
-    chunks = (q.select("query", F.transform("ids", lambda x: x.cast("string")).alias("inner"),
-                       F.least(m, F.lit(c)).alias("s"), offs.alias("offs"))
-              .select("query", "inner", "s", F.size("offs").alias("nch"),
-                      F.posexplode("offs").alias("j", "off"))
-              .select("query", "nch", "j", "off", "s",
-                      F.array_join(F.slice("inner", F.col("off") + 1, F.col("s")), " ").alias("key")))
-    stats = chunks.agg(F.sum(F.length("key") + 64).alias("b"),
-                       F.collect_set("s").alias("sizes")).first()
-    sizes = sorted(stats["sizes"] or [])
-    if sizes:
-        firsts = None
-        if (stats["b"] or 0) <= broadcast_bytes:
-            chunks = F.broadcast(chunks)
-            firsts = F.broadcast(chunks.select(F.split("key", " ", -1)[0].alias("tok")).distinct())
-        toks = doc_ids.select("doc_id", F.transform("ids", lambda x: x.cast("string")).alias("toks"))
-        occ = match_chunks(token_windows(toks, sizes, with_edges=False, firsts=firsts), chunks,
-                           check_edges=False)
-        found = occ.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        found = doc_ids.sparkSession.createDataFrame([], "query string, n bigint")
-    return (query_ids.select("query").distinct().join(found, "query", "left")
-            .select("query", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    def words(col: str):
+        return F.transform(col, lambda x: x.cast("string"))
+
+    q = (query_ids.select("query", F.coalesce(words("ids"), F.array().cast("array<string>")).alias("pieces"))
+         .distinct().withColumn("k", F.size("pieces")))
+    return count_matches(doc_ids.select("doc_id", words("ids").alias("toks")), q, True, False, broadcast_bytes)

@@ -19,11 +19,18 @@ corpus tokens t_j .. t_{j+k-1} iff
   chunks of up to ``ANCHOR_WORDS`` tokens (the last chunk overlaps so that all
   have one size); corpus windows of that size are equi-joined on their text,
   the neighbouring tokens checked against P1/Pk, and a position counts when
-  all chunks of the query matched at their offsets.
-
-Each branch is an equi-join. The query side is broadcast only when a sizing
-action over it shows it below ``broadcast_bytes``; otherwise it is a shuffle
-join, where AQE splits a hot anchor.
+  all chunks of the query matched at their offsets. With few inner pieces (they
+  may be one frequent token) the key also holds the last characters of P1 and
+  the first of Pk.
+
+With ``tokens=True`` both sides are whitespace tokens and a query matches runs
+of whole tokens: all its tokens are inner pieces, there are no edges.
+
+Each branch is an equi-join. Query texts stay out of the joins (rows hold a
+numeric id, each edge piece appears once per query), so a query table grows
+with the queries' length. It is broadcast only when a sizing action over the
+very rows to send shows them below ``broadcast_bytes``; otherwise it is a
+shuffle join, where AQE splits a hot anchor.
 """
 
 from __future__ import annotations
@@ -33,102 +40,120 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import let, space_pieces
+from corpusprobe.functions.text import let, space_pieces, ws_tokens
 from corpusprobe.session import ensure_checkpoint_dir
 
 ANCHOR_WORDS = 6   # max inner tokens per anchor chunk (k >= 3)
 ANCHOR_CHARS = 5   # anchor length inside one token (k = 1)
-EDGE_CHARS = 3     # anchor chars on each side of the space (k = 2)
+EDGE_CHARS = 3     # anchor chars on each side of the space (k = 2, few inner pieces)
+FEW_INNER = 2      # up to so many inner pieces, edge characters join the key
 BROADCAST_BYTES = 64 * 1024 * 1024
+ROW_BYTES = 192    # a row's fixed fields, string padding and hash-table entry
 
 
 @dataclass
 class _Plan:
     one: list[int] = field(default_factory=list)            # k = 1 anchor lengths
     two: list[tuple[int, int]] = field(default_factory=list)  # k = 2 edge classes
-    many: list[int] = field(default_factory=list)           # k >= 3 window sizes
+    many: list[tuple[int, int, int]] = field(default_factory=list)  # window size, edge characters
     bytes: dict[str, int] = field(default_factory=dict)
+    longest: int = 0   # characters of the longest k = 1 query
+    chunks: int = 1    # most chunks of a query
+
+
+def _numbered(queries: DataFrame) -> DataFrame:
+    """Distinct queries with an id, written once to the shared checkpoint
+    folder: they may be costly to derive, and ids must not change."""
+    ensure_checkpoint_dir(queries.sparkSession)
+    return queries.withColumn("qid", F.monotonically_increasing_id()).checkpoint()
 
 
-def distinct_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
-    """Distinct non-empty query strings as ``query`` with their space pieces."""
+def distinct_queries(queries: DataFrame, query_col: str = "query", tokens: bool = False) -> DataFrame:
+    """Distinct non-empty query strings as ``query`` with their pieces."""
     return (queries.select(F.col(query_col).alias("query"))
             .where(F.col("query").isNotNull() & (F.length("query") > 0))
             .distinct()
-            .withColumn("pieces", space_pieces("query"))
+            .withColumn("pieces", ws_tokens("query") if tokens else space_pieces("query"))
             .withColumn("k", F.size("pieces")))
 
 
-def _class_col() -> Column:
-    k = F.col("k")
-    p1 = F.element_at("pieces", 1)
-    p2 = F.element_at("pieces", 2)
-    return (F.when(k == 1, F.concat(F.lit("1:"), F.least(F.length("query"), F.lit(ANCHOR_CHARS)).cast("string")))
-            .when(k == 2, F.concat(F.lit("2:"), F.least(F.length(p1), F.lit(EDGE_CHARS)).cast("string"),
-                                   F.lit(","), F.least(F.length(p2), F.lit(EDGE_CHARS)).cast("string")))
-            .otherwise(F.concat(F.lit("3:"), F.least(k - 2, F.lit(ANCHOR_WORDS)).cast("string"))))
+def _text(*values) -> Column:
+    return F.concat(*[v.cast("string") if isinstance(v, Column) else F.lit(v) for v in values])
+
+
+def query_bytes(table: DataFrame) -> Column:
+    """Bytes of a query table's rows, not below what a broadcast of them holds."""
+    strings = [f.name for f in table.schema.fields if f.dataType.simpleString() == "string"]
+    return sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in strings), F.lit(ROW_BYTES)).cast("bigint")
 
 
-def _plan(q: DataFrame) -> _Plan:
+def _plan(tables: dict[str, DataFrame]) -> _Plan:
     """One small action: the anchor classes present and the bytes per branch.
 
-    The result has at most ANCHOR_CHARS + (EDGE_CHARS+1)**2 + ANCHOR_WORDS rows.
+    The result has at most ANCHOR_CHARS rows, one per pair of edge lengths, and
+    one per window size and pair of edge lengths.
     """
-    rows = (q.groupBy(_class_col().alias("cls"))
-            .agg(F.sum(F.length("query") + 48).alias("b")).collect())
+    cls = {"one": _text(F.col("a")), "two": _text(F.col("a1"), ",", F.col("a2")),
+           "many": _text(F.col("s"), ",", F.col("a"), ",", F.col("b"))}
+    extra = {"one": F.max("ql"), "two": F.lit(0), "many": F.max("nch")}
+    parts = [t.groupBy(F.lit(name).alias("branch"), cls[name].alias("cls"))
+             .agg(F.sum(query_bytes(t)).alias("bytes"), extra[name].cast("int").alias("extra"))
+             for name, t in tables.items()]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
     plan = _Plan()
-    for r in rows:
-        branch, spec = r["cls"].split(":")
-        plan.bytes[branch] = plan.bytes.get(branch, 0) + int(r["b"])
-        if branch == "1":
-            plan.one.append(int(spec))
-        elif branch == "2":
-            a, b = spec.split(",")
-            plan.two.append((int(a), int(b)))
-        else:
-            plan.many.append(int(spec))
-    plan.one.sort()
-    plan.two.sort()
-    plan.many.sort()
+    for r in sorted(rows.collect(), key=lambda r: (r["branch"], r["cls"])):
+        spec = tuple(int(x) for x in r["cls"].split(","))
+        getattr(plan, r["branch"]).append(spec[0] if r["branch"] == "one" else spec)
+        plan.bytes[r["branch"]] = plan.bytes.get(r["branch"], 0) + r["bytes"]
+        if r["branch"] == "one":
+            plan.longest = max(plan.longest, r["extra"])
+        elif r["branch"] == "many":
+            plan.chunks = max(plan.chunks, r["extra"])
     return plan
 
 
-def _tokens(corpus: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+def _tokens(corpus: DataFrame, doc_col: str, text_col: str, tokens: bool) -> DataFrame:
     return (corpus.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
             .where(F.col("text").isNotNull())
-            .select("doc_id", space_pieces("text").alias("toks")))
+            .select("doc_id", (ws_tokens("text") if tokens else space_pieces("text")).alias("toks")))
 
 
-def _branch_one(q, toks, lengths, per_doc, bcast) -> DataFrame:
-    keys = ["doc_id"] if per_doc else []
-    qa = (q.where(F.col("k") == 1)
-          .select("query", F.length("query").alias("ql"),
-                  F.least(F.length("query"), F.lit(ANCHOR_CHARS)).alias("a"))
-          .withColumn("key", F.col("query").substr(F.lit(1), F.col("a"))))
-    qa = F.broadcast(qa) if bcast else qa
+def single_queries(q: DataFrame) -> DataFrame:
+    """k = 1 queries by their first characters: qid, query, ql, a, key."""
+    return (q.where(F.col("k") == 1)
+            .select("qid", "query", F.length("query").alias("ql"),
+                    F.least(F.length("query"), F.lit(ANCHOR_CHARS)).alias("a"))
+            .withColumn("key", F.col("query").substr(F.lit(1), F.col("a"))))
+
+
+def _branch_one(table, toks, lengths, longest, keys, bcast) -> DataFrame:
     vocab = (toks.select(*keys, F.explode("toks").alias("tok"))
              .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("freq")))
+    # A position carries no more of its token than the longest query needs.
     pos = (vocab
            .select(*keys, "tok", "freq", F.explode(F.array(*[F.lit(a) for a in lengths])).alias("a"))
            .where(F.length("tok") >= F.col("a"))
            .select(*keys, "tok", "freq", "a",
                    F.explode(F.sequence(F.lit(1), F.length("tok") - F.col("a") + 1)).alias("i"))
-           .withColumn("key", F.col("tok").substr(F.col("i"), F.col("a"))))
-    hit = (pos.join(qa, ["a", "key"])
-           .where(F.col("tok").substr(F.col("i"), F.col("ql")) == F.col("query")))
-    return hit.groupBy("query", *keys).agg(F.sum("freq").alias("n"))
+           .select(*keys, "freq", "a", F.col("tok").substr(F.col("i"), F.lit(longest)).alias("rest"))
+           .withColumn("key", F.col("rest").substr(F.lit(1), F.col("a"))))
+    hit = (pos.join(F.broadcast(table) if bcast else table, ["a", "key"])
+           .where(F.col("rest").startswith(F.col("query"))))
+    return hit.groupBy("qid", *keys).agg(F.sum("freq").alias("n"))
 
 
-def _branch_two(q, toks, classes, per_doc, bcast) -> DataFrame:
-    keys = ["doc_id"] if per_doc else []
-    p1 = F.element_at("pieces", 1)
-    p2 = F.element_at("pieces", 2)
-    qb = (q.where(F.col("k") == 2)
-          .select("query", p1.alias("p1"), p2.alias("p2"))
-          .withColumn("a1", F.least(F.length("p1"), F.lit(EDGE_CHARS)))
-          .withColumn("a2", F.least(F.length("p2"), F.lit(EDGE_CHARS)))
-          .withColumn("key", F.concat(F.expr("right(p1, a1)"), F.lit(" "), F.expr("left(p2, a2)"))))
-    qb = F.broadcast(qb) if bcast else qb
+def pair_queries(q: DataFrame) -> DataFrame:
+    """k = 2 queries by the characters beside the space: qid, p1, p2, a1, a2, key."""
+    return (q.where(F.col("k") == 2)
+            .select("qid", F.element_at("pieces", 1).alias("p1"), F.element_at("pieces", 2).alias("p2"))
+            .withColumn("a1", F.least(F.length("p1"), F.lit(EDGE_CHARS)))
+            .withColumn("a2", F.least(F.length("p2"), F.lit(EDGE_CHARS)))
+            .withColumn("key", F.concat(F.expr("right(p1, a1)"), F.lit(" "), F.expr("left(p2, a2)"))))
+
+
+def _branch_two(table, toks, classes, keys, bcast) -> DataFrame:
     adjacent = let("toks", lambda t: F.transform(
         F.slice(t, F.lit(1), F.size(t) - 1),
         lambda x, i: F.struct(x.alias("t1"), F.element_at(t, i + 2).alias("t2"))))
@@ -146,122 +171,148 @@ def _branch_two(q, toks, classes, per_doc, bcast) -> DataFrame:
             .select(*keys, "t1", "t2", "freq", "c.a1", "c.a2")
             .where((F.length("t1") >= F.col("a1")) & (F.length("t2") >= F.col("a2")))
             .withColumn("key", F.concat(F.expr("right(t1, a1)"), F.lit(" "), F.expr("left(t2, a2)"))))
-    hit = (cand.join(qb, ["a1", "a2", "key"])
+    hit = (cand.join(F.broadcast(table) if bcast else table, ["a1", "a2", "key"])
            .where(F.col("t1").endswith(F.col("p1")) & F.col("t2").startswith(F.col("p2"))))
-    return hit.groupBy("query", *keys).agg(F.sum("freq").alias("n"))
+    return hit.groupBy("qid", *keys).agg(F.sum("freq").alias("n"))
 
 
-def chunk_queries(q: DataFrame) -> DataFrame:
-    """Inner pieces of k >= 3 queries cut into equal-size anchor chunks.
+def chunk_queries(q: DataFrame, tokens: bool = False) -> DataFrame:
+    """Inner pieces cut into equal-size anchor chunks, one row per chunk.
 
-    Output: query, head (P1), tail (Pk), nch, j, off, s, key.
+    Output: qid, nch, j, off, s, a, b, first, key, head, tail. ``head`` (P1) is
+    on the first chunk only and ``tail`` (Pk) on the last; ``a`` and ``b`` are
+    the characters of them in the key.
     """
     c = ANCHOR_WORDS
-    k = F.col("k")
-    m = k - 2
+    if tokens:
+        some = q.where(F.col("k") >= 1)
+        head = tail = F.lit(None).cast("string")
+        inner = F.col("pieces")
+    else:
+        some = q.where(F.col("k") >= 3)
+        head, tail = F.element_at("pieces", 1), F.element_at("pieces", -1)
+        inner = F.slice("pieces", F.lit(2), F.col("k") - 2)
+    m = F.size("inner")
     offs = F.when(m <= c, F.array(F.lit(0))).otherwise(
         F.array_distinct(F.concat(F.sequence(F.lit(0), m - c, F.lit(c)), F.array(m - c))))
-    return (q.where(k >= 3)
-            .select("query",
-                    F.element_at("pieces", 1).alias("head"),
-                    F.element_at("pieces", -1).alias("tail"),
-                    F.slice("pieces", F.lit(2), m).alias("inner"),
-                    F.least(m, F.lit(c)).alias("s"),
-                    offs.alias("offs"))
-            .select("query", "head", "tail", "inner", "s", F.size("offs").alias("nch"),
-                    F.posexplode("offs").alias("j", "off"))
-            .select("query", "head", "tail", "nch", "j", "off", "s",
-                    F.array_join(F.slice("inner", F.col("off") + 1, F.col("s")), " ").alias("key")))
-
-
-def token_windows(toks: DataFrame, sizes: list[int], with_edges: bool = True,
+
+    def edge(piece: str) -> Column:
+        known = F.coalesce(F.least(F.length(piece), F.lit(EDGE_CHARS)), F.lit(0))
+        return F.when(m <= FEW_INNER, known).otherwise(F.lit(0))
+
+    rows = (some.select("qid", head.alias("head"), tail.alias("tail"), inner.alias("inner"))
+            .select("qid", "head", "tail", "inner", F.least(m, F.lit(c)).alias("s"),
+                    edge("head").alias("a"), edge("tail").alias("b"), offs.alias("offs"))
+            .select("*", F.size("offs").alias("nch"), F.posexplode("offs").alias("j", "off")))
+    words = F.array_join(F.slice("inner", F.col("off") + 1, F.col("s")), " ")
+    key = words if tokens else F.concat(F.expr("right(head, a)"), F.lit(" "), words, F.lit(" "),
+                                        F.expr("left(tail, b)"))
+    return rows.select(
+        "qid", "nch", "j", "off", "s", "a", "b", F.element_at("inner", F.col("off") + 1).alias("first"),
+        key.alias("key"), F.when(F.col("j") == 0, F.col("head")).alias("head"),
+        F.when(F.col("j") == F.col("nch") - 1, F.col("tail")).alias("tail"))
+
+
+def token_windows(toks: DataFrame, classes: list[tuple[int, int, int]], tokens: bool = False,
                   firsts: DataFrame | None = None) -> DataFrame:
-    """Every window of ``s`` consecutive tokens for s in sizes, keyed by its text.
+    """Every window of the classes' sizes, keyed as in :func:`chunk_queries`.
 
     ``firsts`` (a broadcast set of tokens, column ``tok``) keeps only positions
     whose token can start an anchor, before any window string is built.
-    Output: doc_id, p (0-based start), s, key [, prev, nxt].
+    Output: doc_id, p (0-based start), s, a, b, key [, prev, nxt].
     """
     n = F.size("toks")
     pos = toks.select("doc_id", "toks", F.posexplode("toks").alias("p", "tok"))
     if firsts is not None:
         pos = pos.join(firsts, "tok", "left_semi")
-    w = (pos
-         .select("doc_id", "toks", "p", F.explode(F.array(*[F.lit(s) for s in sizes])).alias("s"))
+    kinds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+                      for s, a, b in classes])
+    w = (pos.select("doc_id", "toks", "p", F.explode(kinds).alias("c"))
+         .select("doc_id", "toks", "p", "c.s", "c.a", "c.b")
          .where(F.col("p") + F.col("s") <= n))
-    cols = ["doc_id", "p", "s",
-            F.array_join(F.slice("toks", F.col("p") + 1, F.col("s")), " ").alias("key")]
-    if with_edges:
-        cols += [F.when(F.col("p") >= 1, F.element_at("toks", F.col("p"))).alias("prev"),
-                 F.when(F.col("p") + F.col("s") < n,
-                        F.element_at("toks", F.col("p") + F.col("s") + 1)).alias("nxt")]
-    return w.select(*cols)
-
-
-def match_chunks(windows: DataFrame, chunks: DataFrame, check_edges: bool = True) -> DataFrame:
-    """Join windows with query chunks; one row per (query, doc_id, start) match."""
-    hit = windows.join(chunks, ["s", "key"])
-    if check_edges:
+    words = F.array_join(F.slice("toks", F.col("p") + 1, F.col("s")), " ")
+    if tokens:
+        return w.select("doc_id", "p", "s", "a", "b", words.alias("key"))
+    end = F.col("p") + F.col("s")
+    edged = w.select("doc_id", "p", "s", "a", "b", words.alias("words"),
+                     F.when(F.col("p") >= 1, F.element_at("toks", F.col("p"))).alias("prev"),
+                     F.when(end < n, F.element_at("toks", end + 1)).alias("nxt"))
+    key = F.concat(F.expr("right(coalesce(prev, ''), a)"), F.lit(" "), F.col("words"), F.lit(" "),
+                   F.expr("left(coalesce(nxt, ''), b)"))
+    return edged.select("doc_id", "p", "s", "a", "b", key.alias("key"), "prev", "nxt")
+
+
+def match_chunks(windows: DataFrame, chunks: DataFrame, several: bool, tokens: bool = False) -> DataFrame:
+    """Join windows with query chunks; one row (qid, doc_id) per match.
+
+    ``several``: some query has more than one chunk, so the chunks found at a
+    start are counted; otherwise each joined row is a match.
+    """
+    hit = windows.join(chunks, ["s", "a", "b", "key"])
+    if not tokens:
         first_ok = (F.col("j") != 0) | F.col("prev").endswith(F.col("head"))
         last_ok = (F.col("j") != F.col("nch") - 1) | F.col("nxt").startswith(F.col("tail"))
         hit = hit.where(first_ok & last_ok)
-    return (hit.select("query", "doc_id", (F.col("p") - F.col("off")).alias("start"), "nch")
-            .groupBy("query", "doc_id", "start")
+    if not several:
+        return hit.select("qid", "doc_id")
+    return (hit.select("qid", "doc_id", (F.col("p") - F.col("off")).alias("start"), "nch")
+            .groupBy("qid", "doc_id", "start")
             .agg(F.count(F.lit(1)).alias("c"), F.max("nch").alias("nch"))
             .where(F.col("c") == F.col("nch"))
-            .select("query", "doc_id", "start"))
+            .select("qid", "doc_id"))
 
 
-def _branch_many(q, toks, sizes, per_doc, bcast) -> DataFrame:
-    chunks = chunk_queries(q)
+def _branch_many(chunks, toks, plan, keys, bcast, tokens) -> DataFrame:
     firsts = None
     if bcast:
-        chunks = F.broadcast(chunks)
-        # Same size bound as the chunks: at most one token per chunk.
-        firsts = F.broadcast(chunks.select(F.split("key", " ", -1)[0].alias("tok")).distinct())
-    occ = match_chunks(token_windows(toks, sizes, firsts=firsts), chunks)
+        # The first tokens are columns of the chunk table: the same size bound.
+        firsts = F.broadcast(chunks.select(F.col("first").alias("tok")).distinct())
+    chunks = chunks.drop("first")
+    occ = match_chunks(token_windows(toks, plan.many, tokens, firsts),
+                       F.broadcast(chunks) if bcast else chunks, plan.chunks > 1, tokens)
+    return occ.groupBy("qid", *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_matches(toks: DataFrame, q: DataFrame, tokens: bool, per_doc: bool,
+                  broadcast_bytes: int) -> DataFrame:
+    """Counts of prepared queries (query, pieces, k) in prepared documents
+    (doc_id, toks); see :func:`occurrence_counts`."""
+    q = _numbered(q)
+    tables = {"many": chunk_queries(q, tokens)}
+    if not tokens:
+        tables |= {"one": single_queries(q), "two": pair_queries(q)}
+    plan = _plan(tables)
     keys = ["doc_id"] if per_doc else []
-    return occ.groupBy("query", *keys).agg(F.count(F.lit(1)).alias("n"))
+    fits = {name: plan.bytes.get(name, 0) <= broadcast_bytes for name in tables}
+    parts = []
+    if plan.one:
+        parts.append(_branch_one(tables["one"], toks, plan.one, plan.longest, keys, fits["one"]))
+    if plan.two:
+        parts.append(_branch_two(tables["two"], toks, plan.two, keys, fits["two"]))
+    if plan.many:
+        parts.append(_branch_many(tables["many"], toks, plan, keys, fits["many"], tokens))
+    if parts:
+        found = parts[0]
+        for p in parts[1:]:
+            found = found.unionByName(p)
+    else:
+        found = (toks.where(F.lit(False))
+                 .select(F.lit(0).cast("bigint").alias("qid"), *keys, F.lit(0).cast("bigint").alias("n")))
+    found = q.select("qid", "query").join(found, "qid", "inner" if per_doc else "left")
+    return found.select("query", *keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def occurrence_counts(corpus: DataFrame, queries: DataFrame, *, query_col: str = "query",
                       doc_col: str = "doc_id", text_col: str = "text", per_doc: bool = False,
-                      broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                      tokens: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Overlapping occurrence counts of every distinct query in the corpus.
 
     ``per_doc=False``: ``(query, n)`` for every distinct non-empty query, zeros
     included. ``per_doc=True``: ``(query, doc_id, n)`` for documents with n > 0.
+    ``tokens=True``: the query's whitespace tokens as whole tokens of the text,
+    whatever whitespace stands between them.
 
     Runs two small actions: the distinct queries are checkpointed, then sized.
     """
-    # The query side is small but may be costly to derive (word lists, tiles):
-    # it is written once to the shared checkpoint folder, then sized and
-    # joined from that copy.
-    ensure_checkpoint_dir(corpus.sparkSession)
-    q = distinct_queries(queries, query_col).checkpoint()
-    plan = _plan(q)
-    toks = _tokens(corpus, doc_col, text_col)
-    parts = []
-    if plan.one:
-        parts.append(_branch_one(q, toks, plan.one, per_doc,
-                                 plan.bytes.get("1", 0) <= broadcast_bytes))
-    if plan.two:
-        parts.append(_branch_two(q, toks, plan.two, per_doc,
-                                 plan.bytes.get("2", 0) <= broadcast_bytes))
-    if plan.many:
-        parts.append(_branch_many(q, toks, plan.many, per_doc,
-                                  plan.bytes.get("3", 0) * 2 <= broadcast_bytes))
-    keys = ["query", "doc_id"] if per_doc else ["query"]
-    spark = corpus.sparkSession
-    if parts:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-    else:
-        schema = "query string, doc_id bigint, n bigint" if per_doc else "query string, n bigint"
-        found = spark.createDataFrame([], schema)
-    found = found.select(*keys, F.col("n").cast("bigint").alias("n"))
-    if per_doc:
-        return found
-    return (q.select("query").join(found, "query", "left")
-            .select("query", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    return count_matches(_tokens(corpus, doc_col, text_col, tokens),
+                         distinct_queries(queries, query_col, tokens), tokens, per_doc, broadcast_bytes)

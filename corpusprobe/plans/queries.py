@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import power_log, ws_tokens
+from corpusprobe.functions.text import let, power_log, ws_tokens
 from corpusprobe.operators import contamination as con
 from corpusprobe.functions.wordforms import TRANSFORMS
 from corpusprobe.operators import embed as em
@@ -217,10 +217,30 @@ def q_token_lines(spark, d):
 
 @register("count_occurrences_tokens")
 def q_count_occurrences_tokens(spark, d):
+    return occurrence_counts(corpus(spark, d), con.word_tiles(benchmark_prompts(spark, d), TILE_WORDS),
+                             query_col="tile", tokens=True)
+
+
+@register("count_occurrences_vocabulary")
+def q_count_occurrences_vocabulary(spark, d):
+    # Ids of a vocabulary that lacks the words seen once.
     c = corpus(spark, d)
-    tiles = con.word_tiles(benchmark_prompts(spark, d), TILE_WORDS).select(F.col("tile").alias("query"))
-    vocab = ng.vocabulary(tiles, "query")  # counting needs the queries' tokens only
-    return ng.token_occurrence_counts(ng.token_ids(c, vocab), ng.encode_queries(tiles, vocab))
+    known = pr.word_counts(c).where(F.col("n") >= 2)
+    vocab = ng.vocabulary(known, "word")
+    tiles = con.word_tiles(benchmark_prompts(spark, d), TILE_WORDS)
+    return ng.token_occurrence_counts(ng.token_ids(c, vocab), ng.encode_queries(tiles, vocab, "tile"))
+
+
+@register("prompt_is_contaminated_tokens")
+def q_prompt_is_contaminated_tokens(spark, d):
+    flags = con.fixed_length_search(benchmark_prompts(spark, d), corpus(spark, d), TILE_WORDS, tokens=True)
+    return flags.select("task", "prompt_id", "flagged")
+
+
+@register("halving_words_tokens")
+def q_halving_words_tokens(spark, d):
+    r = con.halving_words(benchmark_prompts(spark, d), corpus(spark, d), WORD_LOWER_BOUND, tokens=True)
+    return r.select("task", "prompt_id", "n_words", "longest", "rump", "flagged")
 
 
 # ------------------------------------------------------------ word lists and transforms
@@ -276,6 +296,21 @@ def q_transform_avg_count(spark, d):
         pr.transform_counts(corpus(spark, d), _test_words(spark, d), None, N_OUTPUTS))
 
 
+@register("transform_counts_combined")
+def q_transform_counts_combined(spark, d):
+    return pr.transform_counts(corpus(spark, d), _test_words(spark, d), None, N_OUTPUTS, combine_with_word=True)
+
+
+@register("transform_avg_count_combined")
+def q_transform_avg_count_combined(spark, d):
+    return pr.transform_avg_count(q_transform_counts_combined(spark, d))
+
+
+@register("transform_counts_tokens")
+def q_transform_counts_tokens(spark, d):
+    return pr.transform_counts(corpus(spark, d), _test_words(spark, d), None, N_OUTPUTS, tokens=True)
+
+
 # ------------------------------------------------------------ natural-prompt regex scan
 
 N_REGEX_WORDS = 10   # the reference scans with words[:10]
@@ -287,10 +322,23 @@ def _reverse_pairs(spark, d):
         words.select("idx", "word"), "word")
 
 
-def _pairs_list(spark, d):
-    # A top-k list of N_REGEX_WORDS rows: collected to build one literal pattern.
-    rows = _reverse_pairs(spark, d).orderBy("idx").collect()
-    return {"reverse": [(r["word"], r["transformed"]) for r in rows]}
+def _scan_pairs(spark, d):
+    return _reverse_pairs(spark, d).select(F.lit("reverse").alias("transform"), "idx", "word", "transformed")
+
+
+N_COMMON_PAIRS = 300   # a top-k list, longer than the reversed words
+
+
+def _common_pairs(spark, d):
+    """The commonest neighbours in lines: pairs that do occur."""
+    runs = F.filter(F.split("line", nat.NON_WORD + "+"), lambda x: x != F.lit(""))
+    near = let(runs, lambda r: F.transform(
+        F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))),
+        lambda x, i: F.struct(x.alias("word"), F.element_at(r, i + 2).alias("transformed"))))
+    top = (_lines(spark, d).select(F.explode(near).alias("p")).groupBy("p.word", "p.transformed")
+           .agg(F.count(F.lit(1)).alias("c"))
+           .orderBy(F.desc("c"), "word", "transformed").limit(N_COMMON_PAIRS))
+    return top.select(F.lit("common").alias("transform"), (-F.col("c")).alias("idx"), "word", "transformed")
 
 
 @register("word_pairs")
@@ -300,12 +348,24 @@ def q_word_pairs(spark, d):
 
 @register("natural_prompt_counts")
 def q_natural_prompt_counts(spark, d):
-    return nat.natural_prompt_counts(_lines(spark, d), _pairs_list(spark, d))
+    return nat.natural_prompt_counts(_lines(spark, d), _scan_pairs(spark, d))
 
 
 @register("natural_prompt_docs")
 def q_natural_prompt_docs(spark, d):
-    return nat.natural_prompt_docs(_lines(spark, d), _pairs_list(spark, d))
+    return nat.natural_prompt_docs(_lines(spark, d), _scan_pairs(spark, d))
+
+
+@register("natural_pairs_found")
+def q_natural_pairs_found(spark, d):
+    both = _scan_pairs(spark, d).unionByName(_common_pairs(spark, d))
+    return nat.natural_prompt_counts(_lines(spark, d), both)
+
+
+@register("natural_pairs_report")
+def q_natural_pairs_report(spark, d):
+    both = _scan_pairs(spark, d).unionByName(_common_pairs(spark, d))
+    return nat.natural_prompt_docs(_lines(spark, d), both)
 
 
 # ------------------------------------------------------------ MinHash and containment
@@ -421,10 +481,7 @@ def q_pending_tasks(spark, d):
 
 @register("prompt_counts_by_task")
 def q_prompt_counts_by_task(spark, d):
-    p = benchmark_prompts(spark, d)
-    counts = occurrence_counts(corpus(spark, d), p.select(F.col("text").alias("query")))
-    return (p.join(counts, p["text"] == counts["query"], "left")
-            .select("task", "prompt_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
+    return con.prompt_counts(benchmark_prompts(spark, d), corpus(spark, d))
 
 
 # ------------------------------------------------------------ embedding

@@ -29,6 +29,7 @@ def get_spark(master: str | None = None, app: str = "corpusprobe",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     chosen = master or given.get("spark.master", os.environ.get("SPARK_MASTER") or f"local[{cpus}]")
     wanted["spark.master"] = chosen
