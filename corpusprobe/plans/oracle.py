@@ -265,6 +265,24 @@ h AS (SELECT q.query, dj.t, ' ' || q.query || ' ' AS pq FROM qs q JOIN dj ON con
 SELECT q.query, CAST(coalesce(sum({_overlap('h.t', 'h.pq')}), 0) AS BIGINT) AS n
 FROM qs q LEFT JOIN h ON h.query = q.query GROUP BY q.query"""
 
+_DJ = f"""dj AS (SELECT ' ' || array_to_string(list_filter(string_split_regex(text, '{WS}'), lambda x: x <> ''), ' ')
+              || ' ' AS t FROM documents)"""
+
+SQL["count_occurrences_vocabulary"] = f"""
+WITH {TILES}, {_DJ},
+rare AS (SELECT w FROM (SELECT unnest(string_split(t, ' ')) AS w FROM dj) WHERE w <> '' GROUP BY w HAVING count(*) < 2),
+qs AS (SELECT tile AS query, bool_or(r.w IS NOT NULL) AS unknown
+       FROM (SELECT tile, unnest(string_split(tile, ' ')) AS w FROM (SELECT DISTINCT tile FROM tiles)) q
+       LEFT JOIN rare r ON r.w = q.w GROUP BY tile),
+h AS (SELECT q.query, dj.t, ' ' || q.query || ' ' AS pq FROM qs q JOIN dj
+      ON NOT q.unknown AND contains(dj.t, ' ' || q.query || ' '))
+SELECT q.query, CAST(coalesce(sum({_overlap('h.t', 'h.pq')}), 0) AS BIGINT) AS n
+FROM qs q LEFT JOIN h ON h.query = q.query GROUP BY q.query"""
+
+for _name, _base in (("prompt_is_contaminated_tokens", "prompt_is_contaminated"), ("halving_words_tokens", "halving_words")):
+    SQL[_name] = SQL[_base].replace("WITH ", f"WITH {_DJ}, ", 1).replace(
+        "FROM documents d WHERE contains(d.text, t.tile)", "FROM dj d WHERE contains(d.t, ' ' || t.tile || ' ')")
+
 # ---------------------------------------------------------------- words and transforms
 WORDS = f"""
 fw AS (SELECT unnest(list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '')) AS word
@@ -340,6 +358,34 @@ FROM r"""
 SQL["transform_counts"] = f"WITH {COUNTED} SELECT transform, word, query, n FROM cnt"
 SQL["transform_avg_count"] = f"WITH {COUNTED} SELECT transform, avg(n) AS avg_n FROM cnt GROUP BY transform"
 
+# Every combined query has more than eight characters: positions are looked up by the first eight.
+COMBINED = TRANSFORM_SQL + """,
+cq AS (SELECT DISTINCT transform, word, unnest([word || ', ' || query, word || ' ' || query, word || ' = ' || query,
+              word || '=' || query, query || ', ' || word, query || ' ' || word, query || ' = ' || word,
+              query || '=' || word]) AS query FROM tq),
+dq AS (SELECT query, left(query, 8) AS k FROM (SELECT DISTINCT query FROM cq)),
+pos AS (SELECT text, i, substr(text, i, 8) AS k FROM (SELECT text, unnest(range(1, length(text) - 6)) AS i FROM documents)),
+found AS (SELECT dq.query, count(*) AS n FROM pos JOIN dq ON dq.k = pos.k
+          WHERE substr(pos.text, pos.i, length(dq.query)) = dq.query GROUP BY dq.query),
+cnt AS (SELECT cq.transform, cq.word, cq.query, CAST(coalesce(found.n, 0) AS BIGINT) AS n
+        FROM cq LEFT JOIN found ON found.query = cq.query)"""
+SQL["transform_counts_combined"] = f"WITH {COMBINED} SELECT transform, word, query, n FROM cnt"
+SQL["transform_avg_count_combined"] = f"WITH {COMBINED} SELECT transform, avg(n) AS avg_n FROM cnt GROUP BY transform"
+
+SQL["transform_counts_tokens"] = f"""
+WITH {TRANSFORM_SQL}, {_DJ},
+dq AS (SELECT query, array_to_string(list_filter(string_split_regex(query, '{WS}'), lambda x: x <> ''), ' ') AS nq
+       FROM (SELECT DISTINCT query FROM tq)),
+one AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(t, ' ')) AS w FROM dj) WHERE w <> '' GROUP BY w),
+pairs AS (SELECT query, nq, len(string_split(nq, ' ')) AS k, array_to_string(string_split(nq, ' ')[1:2], ' ') AS start
+          FROM dq WHERE contains(nq, ' ')),
+spots AS (SELECT w, i, w[i] || ' ' || w[i + 1] AS start
+          FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(trim(t, ' '), ' ') AS w FROM dj))),
+more AS (SELECT pairs.query, count(*) AS n FROM pairs JOIN spots ON spots.start = pairs.start
+         WHERE array_to_string(w[i : i + k - 1], ' ') = nq GROUP BY pairs.query)
+SELECT tq.transform, tq.word, tq.query, CAST(coalesce(one.n, more.n, 0) AS BIGINT) AS n
+FROM tq JOIN dq ON dq.query = tq.query LEFT JOIN one ON one.w = dq.nq LEFT JOIN more ON more.query = tq.query"""
+
 # ---------------------------------------------------------------- natural-prompt regex
 _NW = r"[^\p{L}\p{N}_]"
 _UNIT = ("'(^|{nw}+)\\Q' || {a} || '\\E{nw}+\\Q' || {b} || '\\E($|{nw}+)|(^|{nw}+)\\Q' || {b} || "
@@ -363,6 +409,27 @@ SELECT transform, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE
        CAST(sum(n) AS BIGINT) AS matches
 FROM nc GROUP BY transform"""
 
+# Pairs of plain words: a match takes two neighbouring runs and what stands
+# behind them, so the next one starts three runs later at the earliest.
+FOUND = NATURAL + """,
+runs AS (SELECT doc_id, line_no, list_filter(string_split_regex(line, '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS r FROM lines),
+near AS (SELECT doc_id, line_no, i, r[i] AS a, r[i + 1] AS b
+         FROM (SELECT doc_id, line_no, r, unnest(range(1, len(r))) AS i FROM runs)),
+common AS (SELECT a, b FROM near GROUP BY a, b ORDER BY count(*) DESC, a, b LIMIT 300),
+both_ways AS (SELECT a, b FROM common UNION SELECT b, a FROM common),
+places AS (SELECT doc_id, line_no, list(i ORDER BY i) AS spots FROM near SEMI JOIN both_ways USING (a, b) GROUP BY doc_id, line_no),
+found AS (SELECT doc_id, line_no, 'common' AS transform,
+                 list_reduce(list_prepend(0, spots), lambda s, i: CASE WHEN i >= s % 1000000
+                     THEN (s // 1000000 + 1) * 1000000 + i + 3 ELSE s END) // 1000000 AS n FROM places
+          UNION ALL SELECT doc_id, line_no, transform, n FROM nc WHERE n > 0)"""
+SQL["natural_pairs_found"] = f"WITH {FOUND} SELECT doc_id, line_no, transform, CAST(n AS BIGINT) AS n FROM found"
+SQL["natural_pairs_report"] = f"""
+WITH {FOUND}
+SELECT t.transform, CAST((SELECT count(*) FROM lines) AS BIGINT) AS lines, CAST(count(f.n) AS BIGINT) AS matching_lines,
+       CAST(coalesce(sum(f.n), 0) AS BIGINT) AS matches
+FROM (SELECT unnest(['common', 'reverse']) AS transform) t LEFT JOIN found f ON f.transform = t.transform
+GROUP BY t.transform"""
+
 # ---------------------------------------------------------------- MinHash and containment
 from corpusprobe.operators.minhash import PRIME, permutations  # noqa: E402
 

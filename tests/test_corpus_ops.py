@@ -71,6 +71,21 @@ def test_natural_prefilter_path(spark):
     assert got == {i: n for i, n in want.items() if n > 0}
 
 
+def test_natural_pairs_on_both_plans(spark):
+    lines = spark.createDataFrame([(0, 0, "a.b c, a.b"), (0, 1, "-- !! --"), (0, 2, "b c"), (1, 0, ""), (1, 1, None)],
+                                  "doc_id bigint, line_no bigint, line string")
+    pairs = {"dots": [("a.b", "c"), ("zz", "yy")], "signs": [("--", "!!")], "none": [("b", "x")]}
+    for size in (0, 1 << 20):
+        got = {(r["doc_id"], r["line_no"], r["transform"]): r["n"]
+               for r in nat.natural_prompt_counts(lines, pairs, broadcast_bytes=size).collect()}
+        assert got == {(0, 0, "dots"): natural_count("a.b c, a.b", "a.b", "c"),
+                       (0, 1, "signs"): natural_count("-- !! --", "--", "!!")}
+        report = {r["transform"]: tuple(r)[1:] for r in nat.natural_prompt_docs(lines, pairs, size).collect()}
+        assert report == {"dots": (5, 1, 1), "signs": (5, 1, 1), "none": (5, 0, 0)}
+    assert nat.natural_prompt_counts(lines, {}).count() == 0
+    assert nat.natural_prompt_docs(lines, {}).count() == 0
+
+
 def _sets(spark, rows):
     return spark.createDataFrame([(k, s) for k, ss in rows.items() for s in ss], "key bigint, shingle string")
 

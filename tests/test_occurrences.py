@@ -3,6 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from corpusprobe.operators import occurrences as occ
 from corpusprobe.operators.occurrences import occurrence_counts
 from naive import overlap_count
 from nested_loop import occurrence_counts_naive
@@ -37,9 +38,10 @@ def test_all_piece_classes_against_python(spark):
         queries.add(d[i:i + rng.randint(1, 20)])
     queries |= {"a", " ", "  ", "a a a a a a a a a", " a ", "b b", "ab ab ab", ". a"}
     queries.discard("")
-    got = _counts(spark, docs, sorted(queries))
-    for q in queries:
-        assert got[q] == sum(overlap_count(d, q) for d in docs), q
+    for size in (0, occ.BROADCAST_BYTES):
+        got = _counts(spark, docs, sorted(queries), broadcast_bytes=size)
+        for q in queries:
+            assert got[q] == sum(overlap_count(d, q) for d in docs), q
 
 
 def test_long_queries_use_several_chunks(spark):
@@ -86,3 +88,47 @@ def test_property_overlap(spark, docs, queries):
     got = _counts(spark, docs, queries)
     for q in set(queries):
         assert got[q] == sum(overlap_count(d, q) for d in docs)
+
+
+def test_whole_tokens(spark):
+    docs = ["a b\tc a  b", "ab c", None, "", "a\nb c d e f g h i a b"]
+    want = {"a b": 4, "a  b": 4, "b c": 2, "a b c d e f g h i": 1, "c": 3, "zz": 0, " ": 0}
+    for size in (0, occ.BROADCAST_BYTES):
+        assert _counts(spark, docs, list(want), tokens=True, broadcast_bytes=size) == want
+
+
+def test_queries_with_spaces_between_letters(spark):
+    docs = ["say w o,r d now", "w o,r d w o,r d", "word = drow", "xword = drowx"]
+    got = _counts(spark, docs, ["w o,r d", "word = drow", "o,r d w"])
+    assert got == {"w o,r d": 3, "word = drow": 2, "o,r d w": 1}
+
+
+def test_size_covers_the_broadcast_rows(spark):
+    prompts = [" ".join(f"wörd{(i * 7 + j) % 991}" for j in range(500)) for i in range(20)]
+    q = occ.distinct_queries(spark.createDataFrame([(p,) for p in prompts], "query string")).withColumn(
+        "qid", occ.F.monotonically_increasing_id())
+    chunks = occ.chunk_queries(q)
+    real = sum(sum(len(v.encode()) + 16 if isinstance(v, str) else 8 for v in row) for row in chunks.collect())
+    estimate = occ._plan({"many": chunks}).bytes["many"]
+    texts = sum(len(p.encode()) for p in prompts)
+    assert real <= estimate <= 20 * texts  # linear in the texts, though a prompt has 83 chunks
+
+
+def test_one_inner_piece_meets_few_positions(spark):
+    words = [f"word{i:03d}" for i in range(300)]
+    docs = [" = ".join(words)]
+    q = occ.distinct_queries(spark.createDataFrame([(f"{w} = x{w}",) for w in words], "query string")).withColumn(
+        "qid", occ.F.monotonically_increasing_id())
+    chunks = occ.chunk_queries(q)
+    toks = occ._tokens(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), "doc_id", "text", False)
+    classes = occ._plan({"many": chunks}).many
+    joined = occ.token_windows(toks, classes).join(chunks, ["s", "a", "b", "key"]).count()
+    assert joined == 0  # every query has the inner piece, none the edges
+
+
+def test_both_join_plans(spark):
+    docs = spark.createDataFrame([(0, "a b c d e f g h")], "doc_id bigint, text string")
+    q = spark.createDataFrame([("b c d e",), ("c",), ("a b",)], "query string")
+    for size, broadcasts in ((0, False), (occ.BROADCAST_BYTES, True)):
+        plan = occurrence_counts(docs, q, broadcast_bytes=size)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == broadcasts
