@@ -134,10 +134,10 @@ def natural_prompt_docs(lines: DataFrame, pairs: Pairs, broadcast_bytes: int = B
     """FLT9 + AGG9 (Q13): per transform, lines scanned, lines with a match and
     the total number of matches."""
     counted, names = _matches(lines, pairs, broadcast_bytes)
-    per = counted.groupBy("transform").agg(F.count(F.lit(1)).alias("hit"), F.sum("n").alias("sum"))
+    none = F.lit(0).cast("bigint")
     scanned = (lines.agg(F.count(F.lit(1)).alias("lines"))
-               .select(F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("transform"), "lines"))
-    return (scanned.join(per, "transform", "left")
-            .select("transform", F.col("lines").cast("bigint").alias("lines"),
-                    F.coalesce("hit", F.lit(0)).cast("bigint").alias("matching_lines"),
-                    F.coalesce("sum", F.lit(0)).cast("bigint").alias("matches")))
+               .select(F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("transform"), "lines",
+                       none.alias("hit"), none.alias("n")))
+    hits = counted.groupBy("transform").agg(F.count(F.lit(1)).alias("hit"), F.sum("n").alias("n"))
+    return (scanned.unionByName(hits.withColumn("lines", none)).groupBy("transform")
+            .agg(F.sum("lines").alias("lines"), F.sum("hit").alias("matching_lines"), F.sum("n").alias("matches")))
