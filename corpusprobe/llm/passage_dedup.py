@@ -12,7 +12,15 @@
    best predecessor comes from a Fenwick tree of prefix maxima.
 4. Chains are aligned word by word from their seeds outwards; a mismatch is
    bridged when ``ANCHOR`` words agree again within ``BRIDGE`` words. Passages of
-   at least ``MIN_WORDS`` words with ``MIN_IDENTITY`` equal words come out.
+   at least ``MIN_WORDS`` words with ``MIN_IDENTITY`` equal words come out; where
+   the bridged ends bring a passage below that, they are cut back.
+5. The first places of a passage's seeds may lie in several documents, none of
+   which holds the passage. So 2 to 4 run once more with windows of
+   ``MIN_WORDS`` words as seeds, at every place of the stretches whose seeds
+   all occur in a passage that may have been missed that way.
+
+So each word of a ``MIN_WORDS``-word window that an earlier document holds word
+for word is in a passage.
 
 Defined results: null and empty texts and texts below ``MIN_WORDS`` words have no
 passages; rows with a null id are left out, as a passage is named by ids; rows
@@ -26,6 +34,7 @@ import hashlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,22 +54,29 @@ BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(31337)
 _MULT = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LONG_MULT = _rng.integers(0, 2**63, MIN_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PROFILE = "doc_id long, n_words long, digest binary, seeds array<long>, places array<int>"
 _CHAIN = "doc_id long, other_doc_id long, places array<int>, other_places array<int>"
 _PASSAGE = ("doc_id long, other_doc_id long, start_word long, end_word long, other_start long, other_end long, "
             "n_equal long, identity double")
 
 
-def seeds_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the minimizers of a sequence of word hashes."""
-    n = len(ids) - K + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+def kmers(ids: np.ndarray, mult: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of ``len(mult)`` words of a sequence of word hashes."""
+    n = max(0, len(ids) - len(mult) + 1)
     h = np.zeros(n, dtype=np.uint64)
-    for j in range(K):
-        h += ids[j:j + n] * _MULT[j]
+    for j in range(len(mult)):
+        h += ids[j:j + n] * mult[j]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+    return h ^ (h >> np.uint64(29))
+
+
+def seeds_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the minimizers of a sequence of word hashes."""
+    h = kmers(ids, _MULT)
+    n = len(h)
+    if not n:
+        return h, np.empty(0, dtype=np.int64)
     w = min(WINDOW, n)
     at = np.unique(np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(n - w + 1))
     return h[at], at
@@ -131,13 +147,12 @@ def chains(anchors: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
             i = before[i]
         if chain:
             out.append(chain[::-1])
-    # In runs of one word all seeds meet the same place: one of those is enough.
-    alone = {}
+    # In runs of one word all seeds meet the same place: those are aligned in one go.
+    alone = defaultdict(list)
     for c in out:
         if len(c) == 1:
-            alone.setdefault(c[0][1], c)
-            alone[c[0][1]] = min(alone[c[0][1]], c)
-    return [c for c in out if len(c) > 1 or alone[c[0][1]] is c]
+            alone[c[0][1]] += c
+    return [c for c in out if len(c) > 1] + [sorted(c) for c in alone.values()]
 
 
 def _chain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,17 +187,22 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "other_doc_id", "places", "other_places", "part", "part_start"])
 
 
-def extend(x: list, y: list, i: int, j: int, step: int) -> tuple[int, int, int]:
+def extend(x: list, y: list, i: int, j: int, step: int) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
     """Align outwards from (i, j), the first pair not yet aligned, in direction
-    ``step``: the first places beyond the alignment, and the equal words in it."""
-    end_i, end_j, equal, kept = i, j, 0, 0
-    while 0 <= i < len(x) and 0 <= j < len(y):
-        if x[i] == y[j]:
+    ``step``: the first places beyond the alignment, and the equal words in it;
+    then the same for its longest part with ``MIN_IDENTITY`` equal words."""
+    i0, j0, equal = i, j, 0
+    end = safe = i, j, 0
+    while True:
+        while 0 <= i < len(x) and 0 <= j < len(y) and x[i] == y[j]:
             equal += 1
             i += step
             j += step
-            end_i, end_j, kept = i, j, equal
-            continue
+            end = i, j, equal
+        if equal >= MIN_IDENTITY * max(abs(end[0] - i0), abs(end[1] - j0)):
+            safe = end
+        if not (0 <= i < len(x) and 0 <= j < len(y)):
+            break
         jump = None
         for d in range(1, 2 * BRIDGE + 1):
             for di in range(max(0, d - BRIDGE), min(d, BRIDGE) + 1):
@@ -197,23 +217,27 @@ def extend(x: list, y: list, i: int, j: int, step: int) -> tuple[int, int, int]:
         if not jump:
             break
         i, j = jump
-    return end_i, end_j, kept
+    return end, safe
 
 
-def passages(words: list, part: list, places: list[int], other: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, other start, other end, equal words) of the aligned runs of a chain."""
+def passages(words: list, part: list, places: list[int], other: list[int], span: int) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, other start, other end, equal words) of the aligned runs of a
+    chain. An anchor is left out if its first ``span`` words are aligned
+    already, or will be with the next anchor's."""
     out, done = [], -1
-    for b, a in zip(places, other, strict=True):
-        if b < done or words[b:b + K] != part[a:a + K]:
+    for i, (b, a) in enumerate(zip(places, other, strict=True)):
+        if b + span <= done or i + 1 < len(places) and places[i + 1] <= done or words[b:b + K] != part[a:a + K]:
             continue
-        right_b, right_a, right = extend(words, part, b, a, 1)
-        left_b, left_a, left = extend(words, part, b - 1, a - 1, -1)
-        out.append((left_b + 1, right_b, left_a + 1, right_a, left + right))
-        done = right_b
+        for right, left in zip(extend(words, part, b, a, 1), extend(words, part, b - 1, a - 1, -1), strict=True):
+            found = left[0] + 1, right[0], left[1] + 1, right[1], left[2] + right[2]
+            if found[4] >= MIN_IDENTITY * max(found[1] - found[0], found[3] - found[2]):
+                break
+        out.append(found)
+        done = found[1]
     return out
 
 
-def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _align_rows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         cols = [batch.column(c).to_pylist() for c in ("doc_id", "other_doc_id", "places", "other_places", "part", "part_start")]
@@ -221,7 +245,7 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw, doc, other, places, other_places, part, start in zip(text_bytes(batch), *cols, strict=True):
             if raw is not last:
                 last, words = raw, space_words(raw)
-            for b0, b1, a0, a1, equal in passages(words, part.encode().split(), places, [a - start for a in other_places]):
+            for b0, b1, a0, a1, equal in passages(words, part.encode().split(), places, [a - start for a in other_places], span):
                 size = max(b1 - b0, a1 - a0)
                 if min(b1 - b0, a1 - a0) >= MIN_WORDS and equal >= MIN_IDENTITY * size:
                     rows.append((doc, other, b0, b1, a0 + start, a1 + start, equal, equal / size))
@@ -230,12 +254,95 @@ def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=[c.split()[0] for c in _PASSAGE.split(", ")])
 
 
+def _held(n_words: int, places: np.ndarray, hit: np.ndarray, spans: list) -> tuple[np.ndarray, np.ndarray]:
+    """Of the ``MIN_WORDS``-word windows of a text, by first word: whether all
+    seeds that depend on the window alone are hit, and whether the spans cover it."""
+    missed, covered = np.zeros(n_words + 1, dtype=np.int64), np.zeros(n_words + 1, dtype=np.int64)
+    missed[places[~np.isin(places, hit)] + 1] = 1
+    for s in spans:
+        covered[s["start_word"] + 1:s["end_word"] + 1] = 1
+    missed, covered = np.cumsum(missed), np.cumsum(covered)
+    at = np.arange(n_words - MIN_WORDS + 1)
+    inner = missed[at + MIN_WORDS - K - WINDOW + 2] - missed[at + WINDOW - 1]
+    return inner == 0, covered[at + MIN_WORDS] - covered[at] == MIN_WORDS
+
+
+def _ask_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds of the windows whose seeds all have an earlier place but which no passage covers."""
+    for batch in batches:
+        out = [np.empty(0, dtype=np.int64)]
+        cols = [batch.column(c).to_pylist() for c in ("n_words", "seeds", "places", "hit_places", "spans")]
+        for n, seeds, places, hit, spans in zip(*cols, strict=True):
+            places = np.array(places, dtype=np.int64)
+            held, covered = _held(n, places, np.array(hit, dtype=np.int64), spans or [])
+            asked = np.concatenate([[0], np.cumsum(held & ~covered)])
+            lo = np.clip(places - (MIN_WORDS - K - WINDOW + 1), 0, len(asked) - 1)
+            hi = np.clip(places - WINDOW + 2, 0, len(asked) - 1)
+            out.append(np.array(seeds, dtype=np.int64)[asked[np.maximum(lo, hi)] > asked[lo]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["h"])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the windows whose seeds are all asked for; ``open``: no passage covers it."""
+    hashes = WordHashes()
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("doc_id", "asked_places", "spans")]
+        for doc, asked, spans, raw in zip(*cols, text_bytes(batch), strict=True):
+            words = space_words(raw)
+            if len(words) < MIN_WORDS:  # rows that share an id with a longer text
+                continue
+            ids = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+            held, covered = _held(len(ids), seeds_of(ids)[1], np.array(asked, dtype=np.int64), spans or [])
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kmers(ids, _LONG_MULT)[at].view(np.int64)), pa.array(np.full(len(at), doc)),
+                 pa.array(at.astype(np.int32)), pa.array(~covered[at])], names=["h", "doc_id", "place", "open"])
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Documents named in ``ids``, so that no other text is shuffled."""
     named = scratch_table(ids.select(F.col("id")).distinct(), "passage-ids")
     return docs.join(broadcast_if(named, BROADCAST_IDS), F.col("doc_id") == F.col("id"), "left_semi")
 
 
+def first_hits(seeds: DataFrame) -> DataFrame:
+    """Per document with open seeds whose first place is in an earlier document: its ``hits``."""
+    first = (seeds.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last"))
+             .where(F.col("first.doc_id") < F.col("last")).select("h", "first"))
+    hits = seeds.where("open").join(first, "h").where(F.col("doc_id") > F.col("first.doc_id")).select(
+        "doc_id", F.struct(F.col("first.doc_id").alias("other"), "place", F.col("first.place").alias("other_place")).alias("hit"))
+    return hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
+
+
+def aligned_passages(hits: DataFrame, docs: DataFrame, span: int) -> DataFrame:
+    """Steps 3 and 4 for the hits of all documents, stored."""
+    found = scratch_table(hits.mapInArrow(_chain_rows, _CHAIN), "passage-chains")
+    earlier = _only(docs, found.select(F.col("other_doc_id").alias("id"))).withColumnRenamed("doc_id", "id")
+    cut = found.join(earlier, F.col("other_doc_id") == F.col("id")).drop("id").mapInArrow(
+        _cut_rows, _CHAIN + ", part string, part_start int")
+    later = _only(docs, found.select(F.col("doc_id").alias("id"))).withColumnRenamed("doc_id", "id")
+    aligned = cut.join(later, F.col("doc_id") == F.col("id")).drop("id")
+    return scratch_table(aligned.mapInArrow(partial(_align_rows, span=span), _PASSAGE).distinct(), "passages")
+
+
+def missed_passages(texts: DataFrame, seeds: DataFrame, hits: DataFrame, passages: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Step 5; None if nothing can have been missed."""
+    spans = scratch_table(passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans")), "passage-spans")
+    own = hits.select("doc_id", F.col("hits.place").alias("hit_places"))
+    asked = scratch_table(
+        texts.join(own, "doc_id").join(spans, "doc_id", "left").select("n_words", "seeds", "places", "hit_places", "spans")
+        .mapInArrow(_ask_rows, "h long").distinct(), "passage-asked")
+    if asked.isEmpty():
+        return None
+    held = seeds.join(broadcast_if(asked, BROADCAST_IDS), "h", "left_semi").groupBy("doc_id").agg(
+        F.collect_list("place").alias("asked_places")).join(spans, "doc_id", "left").withColumnRenamed("doc_id", "id")
+    held = scratch_table(held, "passage-held")
+    rows = _only(docs, held.select("id")).join(held, F.col("doc_id") == F.col("id"))
+    windows = scratch_table(rows.select("doc_id", "text", "asked_places", "spans").mapInArrow(
+        _window_rows, "h long, doc_id long, place int, open boolean"), "passage-windows")
+    return aligned_passages(first_hits(windows), docs, MIN_WORDS)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per passage of a document that an earlier one holds, see ``_PASSAGE``."""
     docs = docs.where("doc_id is not null").select(
@@ -249,20 +356,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copied = broadcast_if(copies.select(F.col("doc_id").alias("copied")).distinct(), BROADCAST_IDS)
     texts = long_enough.join(copied, F.col("doc_id") == F.col("copied"), "left_anti")
     seeds = texts.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
-        F.col("s.seeds").alias("h"), "doc_id", F.col("s.places").alias("place"))
-    first = (seeds.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last"))
-             .where(F.col("first.doc_id") < F.col("last")).select("h", "first"))
-    hits = seeds.join(first, "h").where(F.col("doc_id") > F.col("first.doc_id")).select(
-        "doc_id", F.struct(F.col("first.doc_id").alias("other"), "place", F.col("first.place").alias("other_place")).alias("hit"))
-    found = scratch_table(
-        hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits")).mapInArrow(_chain_rows, _CHAIN), "passage-chains")
-    earlier = _only(docs, found.select(F.col("other_doc_id").alias("id"))).withColumnRenamed("doc_id", "id")
-    cut = found.join(earlier, F.col("other_doc_id") == F.col("id")).drop("id").mapInArrow(
-        _cut_rows, _CHAIN + ", part string, part_start int")
-    later = _only(docs, found.select(F.col("doc_id").alias("id"))).withColumnRenamed("doc_id", "id")
-    aligned = cut.join(later, F.col("doc_id") == F.col("id")).drop("id").mapInArrow(_align_rows, _PASSAGE)
+        F.col("s.seeds").alias("h"), "doc_id", F.col("s.places").alias("place"), F.lit(True).alias("open"))
+    hits = scratch_table(first_hits(seeds), "passage-hits")
+    found = aligned_passages(hits, docs, 1)
+    more = missed_passages(texts, seeds, hits, found, docs)
+    if more is not None:
+        found = found.unionByName(more).distinct()
     whole = copies.select(
         "doc_id", F.col("head").alias("other_doc_id"), F.lit(0).cast("long").alias("start_word"),
         F.col("n_words").alias("end_word"), F.lit(0).cast("long").alias("other_start"), F.col("n_words").alias("other_end"),
         F.col("n_words").alias("n_equal"), F.lit(1.0).alias("identity"))
-    return aligned.distinct().unionByName(whole.distinct())
+    return found.unionByName(whole.distinct())

@@ -201,6 +201,33 @@ def test_fuzzy_passages(spark):
     assert best == [(0, 5), (10, 15), (20, 25)]
 
 
+def test_every_repeated_window_is_in_a_passage(spark):
+    """Against all 50-word windows, also where no document that holds a first seed holds the passage."""
+    rng = random.Random(12)
+    parts = [words(rng, 18) for _ in range(4)]
+    run = ["same"]
+    texts = [words(rng, 20) + p + words(rng, 20) for p in parts]
+    texts += [words(rng, 30) + sum(parts, []) + words(rng, n) for n in (9, 40)]
+    texts += [words(rng, 9) + run * n + words(rng, 9) for n in (55, 200, 50)]
+    texts += [texts[4][:60] + texts[5][40:], [], words(rng, 49), texts[7][:100]]
+    for _ in range(30):
+        texts.append(sum((rng.choice(texts[:6])[a:a + rng.randrange(20, 90)] for a in (0, 10, 30)), []))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = passage_dedup.repeated_passages(docs).collect()
+    held, least = set(), passage_dedup.MIN_WORDS
+    for i, t in enumerate(texts):
+        windows = [tuple(t[p:p + least]) for p in range(len(t) - least + 1)]
+        want = {p + k for p, w in enumerate(windows) if w in held for k in range(least)}
+        assert want <= {p for r in rows if r["doc_id"] == i for p in range(r["start_word"], r["end_word"])}
+        held.update(windows)
+    assert any(r["doc_id"] == 5 and r["other_doc_id"] == 4 for r in rows)
+    assert not any(r["doc_id"] < 5 for r in rows)
+    for r in rows:
+        own, other = r["end_word"] - r["start_word"], r["other_end"] - r["other_start"]
+        assert r["other_doc_id"] < r["doc_id"] and min(own, other) >= least
+        assert r["n_equal"] >= passage_dedup.MIN_IDENTITY * max(own, other)
+
+
 def test_base_language_model_and_normalisation(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a", "b c", None, "zz zz a", "A\tb"] * 8)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in context_mixing.lm_scores(docs).collect()}
