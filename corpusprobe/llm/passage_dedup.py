@@ -48,6 +48,8 @@ GAP_COST = 0.05
 MIN_WORDS = 50
 MIN_IDENTITY = 0.8
 ANCHOR, BRIDGE = 3, 12
+#: Words compared at once in an alignment, a power of four.
+STRIDE = 64
 #: Words kept around a chain when the earlier text is cut to size.
 MARGIN = 100
 BROADCAST_IDS = 1_000_000
@@ -187,33 +189,41 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "other_doc_id", "places", "other_places", "part", "part_start"])
 
 
+def ahead(x: list, i: int, step: int, size: int) -> list:
+    """At most ``size`` items of ``x`` from place ``i`` on in direction ``step``."""
+    return x[i:i + size] if step > 0 else x[max(0, i - size + 1):i + 1][::-1]
+
+
+def bridge(x: list, y: list, i: int, j: int, step: int) -> tuple[int, int] | None:
+    """The nearest places ahead at which ``ANCHOR`` words agree again."""
+    runs_x, runs_y = (list(zip(*(w[t:] for t in range(ANCHOR)), strict=False))
+                      for w in (ahead(x, i, step, BRIDGE + ANCHOR), ahead(y, j, step, BRIDGE + ANCHOR)))
+    first = {run: dj for dj, run in reversed(list(enumerate(runs_y)))}
+    near = min(((di + first[run], di) for di, run in enumerate(runs_x) if run in first), default=None)
+    return near and (i + step * near[1], j + step * (near[0] - near[1]))
+
+
 def extend(x: list, y: list, i: int, j: int, step: int) -> tuple[tuple[int, int, int], tuple[int, int, int]]:
     """Align outwards from (i, j), the first pair not yet aligned, in direction
     ``step``: the first places beyond the alignment, and the equal words in it;
     then the same for its longest part with ``MIN_IDENTITY`` equal words."""
     i0, j0, equal = i, j, 0
     end = safe = i, j, 0
-    while True:
-        while 0 <= i < len(x) and 0 <= j < len(y) and x[i] == y[j]:
-            equal += 1
-            i += step
-            j += step
+    while 0 <= i < len(x) and 0 <= j < len(y):
+        size = STRIDE  # equal words in large steps first
+        while size:
+            part = ahead(x, i, step, size) if i >= 0 else []
+            if len(part) == size and j >= 0 and part == ahead(y, j, step, size):
+                equal += size
+                i += step * size
+                j += step * size
+            else:
+                size //= 4
+        if equal > end[2]:
             end = i, j, equal
         if equal >= MIN_IDENTITY * max(abs(end[0] - i0), abs(end[1] - j0)):
             safe = end
-        if not (0 <= i < len(x) and 0 <= j < len(y)):
-            break
-        jump = None
-        for d in range(1, 2 * BRIDGE + 1):
-            for di in range(max(0, d - BRIDGE), min(d, BRIDGE) + 1):
-                p, q = i + step * di, j + step * (d - di)
-                ends = p + step * (ANCHOR - 1), q + step * (ANCHOR - 1)
-                if (0 <= min(p, ends[0]) and max(p, ends[0]) < len(x) and 0 <= min(q, ends[1]) and max(q, ends[1]) < len(y)
-                        and all(x[p + step * t] == y[q + step * t] for t in range(ANCHOR))):
-                    jump = p, q
-                    break
-            if jump:
-                break
+        jump = bridge(x, y, i, j, step) if i >= 0 and j >= 0 else None
         if not jump:
             break
         i, j = jump
