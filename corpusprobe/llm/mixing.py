@@ -1,17 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Documents of one source are put in a fixed pseudo-random order and cut into
-blocks. With the weights as integer parts ``a`` of a period of ``D`` slots,
-block k of a source is released at slot floor(k*D/a) and due at
-ceil((k+1)*D/a); in each slot the released block with the earliest deadline
-goes out. Every block then runs inside its window, so at any slot a source is
-less than one block off its share. At each multiple of ``D`` all windows
-close, so the schedule of one period repeats: a document's slot follows from
-its block number alone, and only one period is ever simulated.
-
-When a source has run out, a new phase starts with the weights of the others
-rescaled. The plan (sources x phases, one period each) is all the driver holds;
-ranks within a source are counted over hash-salted parts of bounded size.
+blocks. Were slots divisible, all sources that still have blocks would run at
+once, each at its weight over theirs; block k of a source would run from virtual
+time ``k / w`` to ``(k + 1) / w``, and at virtual time V the blocks of sources
+that are through, plus V times the weights of the others, would be out. Real
+slots are not: block k is released at the slot (rounded down) in which it would
+start and due when (rounded up) it would end; in each slot the released block
+with the earliest deadline goes out. So every block runs inside its window, and
+at any slot a source is less than one block off its share. Weights are taken as
+the exact fractions that they are; a source that has run out leaves its
+share to the others.
+
+Releases and deadlines are columns of a table with one row per block. Slots are
+dealt in one pass over that table in order of release, which holds the released
+blocks only (one of each source, mostly); it is one task, as a slot depends on
+the slots before. The documents themselves, and ranks within a source, are
+counted over hash-salted parts of bounded size.
 
 Defined results: a null source is a source of its own; sources without a
 weight get ``default_weight`` (0 is refused, no row is dropped); ties in id go
@@ -23,8 +28,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterable, Iterator
+from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -33,7 +40,7 @@ from .common import broadcast_if, scratch_table
 
 BLOCK_DOCS = 32
 PERIOD = 1000
-#: The plan lists every source; more are refused rather than collected.
+#: More sources are refused.
 MAX_SOURCES = 5000
 #: Mean rows of one salted part of a source.
 PART_ROWS = 2000
@@ -73,7 +80,8 @@ def one_period(parts: dict[str, int]) -> dict[str, list[int]]:
 
 
 def plan_phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> dict[str, list[tuple]]:
-    """Per source its phases: (first block, slot the phase starts at, period, slots of one period)."""
+    """A periodic schedule with rounded weights, for few sources (``interleave`` deals by exact ones).
+    Per source its phases: (first block, slot the phase starts at, period, slots of one period)."""
     left, given, start = dict(blocks), dict.fromkeys(blocks, 0), 0
     plan: dict[str, list[tuple]] = {s: [] for s in blocks}
     while left:
@@ -93,31 +101,78 @@ def plan_phases(blocks: dict[str, int], weights: dict[str, float], period: int =
     return plan
 
 
-def block_slots(plan: dict[str, list[tuple]]):
-    """A pandas UDF: slot of a (source, block)."""
-    import numpy as np
+def deal_slots(events: Iterable[tuple], total: Fraction) -> Iterator[tuple[str, int, int]]:
+    """(source, block, slot) in order of slots.
 
-    @F.pandas_udf("long")
-    def slot(source: pd.Series, block: pd.Series) -> pd.Series:
-        out = np.zeros(len(block), dtype=np.int64)
-        numbers = block.to_numpy(dtype=np.int64)
-        for s, at in source.groupby(source).indices.items():
-            phases = plan[s]
-            k = numbers[at]
-            which = np.searchsorted([p[0] for p in phases], k, side="right") - 1
-            for i in np.unique(which):
-                first, start, size, slots = phases[i]
-                own = which == i
-                j = k[own] - first
-                out[at[own]] = start + j // len(slots) * size + np.asarray(slots)[j % len(slots)]
-        return pd.Series(out)
-
-    return slot
-
-
-def target_weights(counts: dict[str, int], temperature: float = 0.5) -> dict[str, float]:
-    """Weights in proportion to count ** temperature."""
-    return {s: n ** temperature for s, n in counts.items()}
+    ``events`` are (source, block, blocks of the source, weight) in order of
+    ``block / weight``; one with block = blocks says that the source is through.
+    ``total`` is the sum of all weights.
+    """
+    through, slot = 0, 0
+    waiting: list[tuple[float, str, int]] = []
+
+    def deal() -> tuple[str, int, int]:
+        nonlocal slot
+        _, s, k = heapq.heappop(waiting)
+        slot += 1
+        return s, k, slot - 1
+
+    for s, k, n, weight in events:
+        up, down = weight.as_integer_ratio()
+        if k == n:
+            through, total = through + n, total - Fraction(up, down)
+            continue
+        release = through + k * total.numerator * down // (total.denominator * up)
+        while slot < release and waiting:
+            yield deal()
+        heapq.heappush(waiting, ((k + 1) / weight, s, k))
+    while waiting:
+        yield deal()
+
+
+def total_weight(sources: DataFrame) -> Fraction:
+    """The exact sum of the column ``w``; one row per partition comes to the driver."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((Fraction(w) for batch in batches for w in batch.column("w").to_pylist()), Fraction(0))
+        yield pa.RecordBatch.from_pydict({"up": [str(total.numerator)], "down": [str(total.denominator)]})
+
+    parts = sources.select("w").mapInArrow(add, "up string, down string").collect()
+    return sum((Fraction(int(r["up"]), int(r["down"])) for r in parts), Fraction(0))
+
+
+def block_slots(parts: DataFrame, sources: DataFrame, block_docs: int) -> DataFrame:
+    """``s``, ``block``, ``slot`` of all blocks. ``parts``: ``before`` and ``n`` rows
+    of the parts of each source ``s``; ``sources``: weight ``w`` and number of ``blocks``."""
+    total = total_weight(sources)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches
+                for r in zip(*(batch.column(c).to_pylist() for c in ("s", "k", "blocks", "w")), strict=True))
+        out: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [()] * 3
+            out.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)],
+                names=["s", "block", "slot"])
+
+        for dealt in deal_slots(rows, total):
+            out.append(dealt)
+            if len(out) == 10_000:
+                yield flush()
+        yield flush()
+
+    def first(rows: str) -> str:  # the first block that starts at this row or later
+        return f"cast(ceil(({rows}) / {block_docs}) as long)"
+
+    own = parts.select("s", F.explode(F.expr(
+        f"case when {first('before')} < {first('before + n')} "
+        f"then sequence({first('before')}, {first('before + n')} - 1) end")).alias("k"))
+    events = own.join(sources, "s").select("s", "k", "blocks", "w").unionByName(
+        sources.select("s", F.col("blocks").alias("k"), "blocks", "w"))
+    ordered = events.withColumn("v", F.col("k") / F.col("w")).repartition(1).sortWithinPartitions("v", "s", "k").drop("v")
+    return scratch_table(ordered.mapInArrow(deal, "s string, block long, slot long"), "mix-slots")
 
 
 def interleave(docs: DataFrame, weights: dict[str, float] | None = None, default_weight: float = 1.0,
@@ -128,31 +183,37 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, default
 
     ``weights`` maps source names to positive weights (a null source is named
     ``""``, others ``"=" + name``); None: square root of the document counts.
+    ``period`` has no bearing any more, as weights are exact.
     """
+    spark = docs.sparkSession
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
-    counted = docs.groupBy(name.alias("s")).count().limit(MAX_SOURCES + 1).collect()
-    if len(counted) > MAX_SOURCES:
+    sources = docs.groupBy(name.alias("s")).agg(F.count("*").alias("docs"))
+    if weights is None:
+        sources = sources.withColumn("w", F.sqrt(F.col("docs").cast("double")))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, w double")
+        sources = sources.join(given, "s", "left").withColumn("w", F.coalesce("w", F.lit(float(default_weight))))
+    sources = scratch_table(sources.withColumn("blocks", F.ceil(F.col("docs") / block_docs)), "mix-sources")
+    if sources.count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: group rare ones under one name first")
-    counts = {r["s"]: r["count"] for r in counted}
-    chosen = target_weights(counts) if weights is None else {s: weights.get(s, default_weight) for s in counts}
-    if any(not w > 0 for w in chosen.values()):
+    good = (F.col("w") > 0) & (F.col("w") < float("inf"))
+    if not sources.where(~good).isEmpty():
         raise ValueError("every source needs a weight above 0")
-    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    slot = block_slots(plan_phases(blocks, chosen, period))
 
-    salts = max(1, -(-max(counts.values(), default=0) // PART_ROWS))
+    salts = max(1, -(-(sources.agg(F.max("docs")).first()[0] or 0) // PART_ROWS))
     keyed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), name.alias("s"),
         F.xxhash64(F.lit("order"), F.col(doc_id)).alias("h"), F.xxhash64(text).alias("t")
     ).withColumn("salt", F.pmod("h", F.lit(salts)))
     per_part = keyed.groupBy("s", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("s").orderBy("salt")) - F.col("n")
-    offsets = scratch_table(per_part.select("s", "salt", before.alias("before")), "mix-offsets")
+    parts = scratch_table(per_part.select("s", "salt", "n", before.alias("before")), "mix-offsets")
+    slots = block_slots(parts, sources, block_docs)
     rank = F.row_number().over(W.partitionBy("s", "salt").orderBy("h", "t", f"row.{doc_id}")) - 1
-    ranked = (keyed.withColumn("in_part", rank).join(broadcast_if(offsets, BROADCAST_PARTS), ["s", "salt"])
+    ranked = (keyed.withColumn("in_part", rank).join(broadcast_if(parts.drop("n"), BROADCAST_PARTS), ["s", "salt"])
               .withColumn("r", F.col("before") + F.col("in_part")))
     placed = ranked.select("row", "s", "r", F.floor(F.col("r") / block_docs).alias("block"))
-    slotted = placed.withColumn("slot", slot("s", "block"))
+    slotted = placed.join(broadcast_if(slots, BROADCAST_PARTS), ["s", "block"])
     # Short last blocks leave gaps in slot * block_docs + place; order is what counts.
     return slotted.select("row", "block", "slot",
                           (F.col("slot") * block_docs + F.pmod("r", F.lit(block_docs))).alias("position"))

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -127,6 +128,40 @@ def test_schedule_deviates_less_than_one_block():
                 assert abs(seen[s] - (t + 1 - at) * a / size) < 1
 
 
+def test_mix_stays_within_a_block_of_exact_weights(spark):
+    """A heavy and 200 light sources over a long run, against the target weights themselves."""
+    docs = spark.range(9000).select(
+        F.col("id").alias("doc_id"), F.lit("t").alias("text"),
+        F.expr("case when id < 3000 then 'heavy' else concat('l', id % 200) end").alias("source"))
+    got = mixing.interleave(docs, weights={"=heavy": 100.0}, block_docs=1).select("row.source", "slot").collect()
+    slots = {r["slot"]: r["source"] for r in got}
+    assert sorted(slots) == list(range(9000))
+    seen = Counter()
+    for t in range(9000):  # all run out together, so no source's share changes
+        seen[slots[t]] += 1
+        for s in {"heavy", slots[t], f"l{t % 200}"}:
+            assert abs(seen[s] - Fraction(t + 1, 3 if s == "heavy" else 300)) < 1
+
+
+def test_slots_follow_the_shares_of_the_sources_left():
+    blocks, weights = {"a": 400, "b": 37, "c": 90, "d": 1}, {"a": 0.5, "b": 0.2, "c": 0.29, "d": 0.01}
+    events = sorted((k / weights[s], s, k, n, weights[s]) for s, n in blocks.items() for k in range(n + 1))
+    dealt = list(mixing.deal_slots((e[1:] for e in events), sum(map(Fraction, weights.values()))))
+    assert [x[2] for x in dealt] == list(range(528)) and {x[:2] for x in dealt} == {(s, k) for s, n in blocks.items() for k in range(n)}
+    share, seen, left = dict.fromkeys(blocks, Fraction(0)), Counter(), {s: Fraction(n) for s, n in blocks.items()}
+    for s, _, _ in dealt:
+        seen[s] += 1
+        rest = Fraction(1)
+        while rest and any(left.values()):  # one slot, shared among those that still have blocks
+            total = sum(Fraction(weights[x]) for x in left if left[x])
+            part = min([rest, *(left[x] * total / Fraction(weights[x]) for x in left if left[x])])
+            for x in [x for x in left if left[x]]:
+                out = part * Fraction(weights[x]) / total
+                left[x], share[x] = left[x] - out, share[x] + out
+            rest -= part
+        assert all(abs(seen[x] - share[x]) < 1 for x in blocks)
+
+
 def test_mix_is_a_permutation(spark):
     docs = spark.createDataFrame([(i, f"t{i}", "big" if i % 3 else None) for i in range(500)],
                                  "doc_id long, text string, source string")
