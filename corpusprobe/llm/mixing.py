@@ -14,7 +14,7 @@ share to the others.
 
 Releases and deadlines are columns of a table with one row per block. Slots are
 dealt in one pass over that table in order of release, which holds the released
-blocks only (one of each source, mostly); it is one task, as a slot depends on
+blocks only (one of each source, mostly), so any number of sources will do; it is one task, as a slot depends on
 the slots before. The documents themselves, and ranks within a source, are
 counted over hash-salted parts of bounded size.
 
@@ -40,8 +40,6 @@ from .common import broadcast_if, scratch_table
 
 BLOCK_DOCS = 32
 PERIOD = 1000
-#: More sources are refused.
-MAX_SOURCES = 5000
 #: Mean rows of one salted part of a source.
 PART_ROWS = 2000
 BROADCAST_PARTS = 100_000
@@ -194,8 +192,6 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, default
         given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, w double")
         sources = sources.join(given, "s", "left").withColumn("w", F.coalesce("w", F.lit(float(default_weight))))
     sources = scratch_table(sources.withColumn("blocks", F.ceil(F.col("docs") / block_docs)), "mix-sources")
-    if sources.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group rare ones under one name first")
     good = (F.col("w") > 0) & (F.col("w") < float("inf"))
     if not sources.where(~good).isEmpty():
         raise ValueError("every source needs a weight above 0")

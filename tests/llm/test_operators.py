@@ -143,6 +143,14 @@ def test_mix_stays_within_a_block_of_exact_weights(spark):
             assert abs(seen[s] - Fraction(t + 1, 3 if s == "heavy" else 300)) < 1
 
 
+def test_mix_has_no_bound_on_sources(spark):
+    docs = spark.range(12_400).select(
+        F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.concat(F.lit("site"), F.col("id") % 6200).alias("source"))
+    got = mixing.interleave(docs, block_docs=1).select("row.doc_id", "row.source", "block", "slot").collect()
+    assert {r["doc_id"] for r in got} == set(range(12_400)) and {r["slot"] for r in got} == set(range(12_400))
+    assert all(r["slot"] // 6200 == r["block"] for r in got)
+
+
 def test_slots_follow_the_shares_of_the_sources_left():
     blocks, weights = {"a": 400, "b": 37, "c": 90, "d": 1}, {"a": 0.5, "b": 0.2, "c": 0.29, "d": 0.01}
     events = sorted((k / weights[s], s, k, n, weights[s]) for s, n in blocks.items() for k in range(n + 1))
