@@ -1,17 +1,21 @@
 """License scan by an exact set-similarity join with templates.
 
-Every line of a text is a block; its set are its distinct words. A block
-matches a template T when it holds at least ``need = ceil(CONTAINMENT * |T|)``
-of T's distinct words. The words of all templates are ordered by the number of
-blocks of the whole corpus that hold them, rarest first. Then
-
-* prefix filter: a matching block holds one of T's ``|T| - need + 1`` rarest words;
+A block is any run of consecutive words of a text, whatever its line breaks.
+A block no longer than a template T (its words in sequence) plus ``SLACK`` words
+matches T when it holds at least ``need = ceil(CONTAINMENT * |T|)`` of T's
+distinct words. First the distinct words of the whole text meet the templates;
+where those match, all its blocks are counted exactly. The words of all
+templates are ordered by the number of texts of the whole corpus that hold
+them, rarest first. Then
+
+* prefix filter: a matching text holds one of T's ``|T| - need + 1`` rarest words;
 * length filter: it holds at least ``need`` template words at all;
 * positional filter: at the first common word, place i of T and j of the
-  block's template words, ``1 + min(|T| - i - 1, rest of the block)`` is at least ``need``;
+  text's template words, ``1 + min(|T| - i - 1, rest of the text's)`` is at least ``need``;
 
-and what passes is counted exactly. Templates are a fixed short list, so they
-travel with the tasks; the corpus is read twice and never shuffled.
+and what passes is counted, over the text and then over its blocks. Templates
+are a fixed short list, so they travel with the tasks; the corpus is read twice
+and never shuffled.
 
 Besides, ``BASE_PHRASES`` are looked for word by word, across lines as well.
 
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import alnum_words, text_bytes
 
 CONTAINMENT = 0.9
+#: Words that a block may have besides the template's (comment signs spelled as words, insertions).
+SLACK = 4
 
 #: Base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -57,16 +63,15 @@ def needed(size: int) -> int:
     return -(-size * round(CONTAINMENT * 100) // 100)
 
 
-def block_counts(docs: DataFrame) -> dict[bytes, int]:
-    """Blocks of the corpus that hold each template word (a few dozen words)."""
+def text_counts(docs: DataFrame) -> dict[bytes, int]:
+    """Texts of the corpus that hold each template word (a few dozen words)."""
     vocabulary = frozenset().union(*(words for _, words in template_sets()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
             for raw in text_bytes(batch):
-                for line in raw.split(b"\n"):
-                    seen.update(vocabulary.intersection(alnum_words(line)))
+                seen.update(vocabulary.intersection(alnum_words(raw)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(count, "word binary, n long")
@@ -74,7 +79,7 @@ def block_counts(docs: DataFrame) -> dict[bytes, int]:
 
 
 class TemplateJoin:
-    """The templates ordered by global frequency, ready to meet blocks."""
+    """The templates ordered by global frequency, ready to meet texts."""
 
     def __init__(self, counts: dict[bytes, int]):
         sets = template_sets()
@@ -84,14 +89,16 @@ class TemplateJoin:
         self.labels = [label for label, _ in sets]
         self.sorted = [sorted(self.rank[w] for w in words) for _, words in sets]
         self.needs = [needed(len(words)) for _, words in sets]
+        #: most words of a block
+        self.spans = [len(alnum_words(text.encode())) + SLACK for _, text in TEMPLATES]
         #: rank of a prefix word -> (template, place in it)
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
         for t, ranks in enumerate(self.sorted):
             for place, r in enumerate(ranks[:len(ranks) - self.needs[t] + 1]):
                 self.prefixes.setdefault(r, []).append((t, place))
 
-    def matches(self, words: list[bytes]) -> list[tuple[str, float]]:
-        """Label and containment of every template that a block matches."""
+    def held(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Every template that the distinct words match, and the number of common words."""
         block = sorted(self.rank[w] for w in self.vocabulary.intersection(words))
         seen, out = set(), []
         for j, r in enumerate(block):
@@ -104,7 +111,31 @@ class TemplateJoin:
                     continue
                 both = len(set(block).intersection(self.sorted[t]))
                 if both >= need:
-                    out.append((self.labels[t], both / size))
+                    out.append((t, both))
+        return out
+
+    def matches(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """Label and containment of every template that one block, long or short, matches."""
+        return [(self.labels[t], both / len(self.sorted[t])) for t, both in self.held(words)]
+
+    def block_matches(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """Label and largest containment of every template that some block of a text matches."""
+        out = []
+        for t, _ in self.held(words):
+            own, inside = set(self.sorted[t]), Counter()
+            places = [(i, r) for i, w in enumerate(words) if (r := self.rank.get(w)) in own]
+            best = start = 0
+            for i, r in places:
+                inside[r] += 1
+                while places[start][0] <= i - self.spans[t]:
+                    gone = places[start][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    start += 1
+                best = max(best, len(inside))
+            if best >= self.needs[t]:
+                out.append((self.labels[t], best / len(own)))
         return out
 
 
@@ -128,7 +159,7 @@ _SCAN = ("doc_id long, n_words long, n_base long, first_word long, last_word lon
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document, see ``_SCAN``. ``score`` is 1 with a base phrase,
     else the largest containment of a matching template, else 0."""
-    joined = TemplateJoin(block_counts(docs))
+    joined = TemplateJoin(text_counts(docs))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +169,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
                 base = phrase_places(words)
                 places = sorted(p for at in base.values() for p in at)
                 own = {BASE_PHRASES[p] for p in base}
-                met = [m for line in raw.split(b"\n") for m in joined.matches(alnum_words(line))]
+                met = joined.block_matches(words)
                 rows.append((doc_id, len(words), len(places), places[0] if places else None, places[-1] if places else None,
                              ",".join(sorted(own)), ",".join(sorted(own.union(label for label, _ in met))),
                              1.0 if own else max((c for _, c in met), default=0.0)))

@@ -349,6 +349,39 @@ def test_template_join_equals_plain_containment():
         assert sorted(join.matches(block)) == want
 
 
+def test_licenses_do_not_depend_on_line_breaks(spark):
+    rng = random.Random(8)
+    wrapped = ["Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and",
+               " * Redistribution and use in source and binary forms, with or\n * without modification, are permitted",
+               "This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0.", "licensed under CC\nBY-NC 4.0"]
+    templates = [t for _, t in license_scan.TEMPLATES]
+    scattered = " ".join(w + " " + " ".join(words(rng, 9)) for w in " ".join(templates[i] for i in (1, 4, 5, 6)).split())
+    one_line = " ".join(words(rng, 300) + [w.replace("\n", " ") for w in wrapped] + words(rng, 300))
+    docs = spark.createDataFrame(list(enumerate([*wrapped, scattered, one_line])), "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {0: "mit", 1: "bsd", 2: "mpl", 3: "cc-by-nc", 4: "", 5: "bsd,cc-by-nc,mit,mpl"}
+
+
+def test_license_blocks_against_all_windows():
+    rng = random.Random(10)
+    sets, join = license_scan.template_sets(), license_scan.TemplateJoin({})
+    hits = 0
+    for _ in range(300):
+        t = rng.randrange(len(sets))
+        text = license_scan.TEMPLATES[t][1].encode().split()
+        for _ in range(rng.randrange(8)):
+            text.insert(rng.randrange(len(text)), rng.choice([b"other", rng.choice(text)]))
+        text = [b"x"] * rng.randrange(9) + [w for w in text if rng.random() < 0.97] + rng.sample(text, 5)
+        want = []
+        for (label, own), (_, wording) in zip(sets, license_scan.TEMPLATES, strict=True):
+            span = len(wording.split()) + license_scan.SLACK
+            both = max(len(own.intersection(text[a:a + span])) for a in range(len(text)))
+            want += [(label, both / len(own))] * (both >= license_scan.needed(len(own)))
+        assert sorted(join.block_matches(text)) == sorted(want)
+        hits += len(want)
+    assert 100 < hits
+
+
 def test_quality_rules_use_no_python(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     plan = quality_rules.quality_report(docs)._jdf.queryExecution().executedPlan().toString()
