@@ -11,9 +11,12 @@
    ascending order, ``K`` points a seed minus ``GAP_COST`` per word of distance; the
    best predecessor comes from a Fenwick tree of prefix maxima.
 4. Chains are aligned word by word from their seeds outwards; a mismatch is
-   bridged when ``ANCHOR`` words agree again within ``BRIDGE`` words. Passages of
-   at least ``MIN_WORDS`` words with ``MIN_IDENTITY`` equal words come out; where
-   the bridged ends bring a passage below that, they are cut back.
+   bridged when ``ANCHOR`` words agree again within ``BRIDGE`` words; where the
+   bridged ends bring a run below ``MIN_IDENTITY`` equal words, they are cut back.
+   What lies between the runs of one chain is aligned whatever its length (longest
+   common subsequence), and neighbouring runs are joined as far as the whole
+   keeps ``MIN_IDENTITY``. Runs and joined runs of at least ``MIN_WORDS`` words
+   with ``MIN_IDENTITY`` equal words are the passages.
 5. The first places of a passage's seeds may lie in several documents, none of
    which holds the passage. So 2 to 4 run once more with windows of
    ``MIN_WORDS`` words as seeds, at every place of the stretches whose seeds
@@ -230,11 +233,49 @@ def extend(x: list, y: list, i: int, j: int, step: int) -> tuple[tuple[int, int,
     return end, safe
 
 
+def common_words(x: list, y: list) -> int:
+    """Length of the longest common subsequence, the places of ``x`` as bits of one number."""
+    at: dict = defaultdict(int)
+    for i, w in enumerate(x):
+        at[w] |= 1 << i
+    full = rest = (1 << len(x)) - 1
+    for w in y:
+        hit = rest & at.get(w, 0)
+        rest = (rest + hit | rest - hit) & full
+    return len(x) - rest.bit_count()
+
+
+def joined_runs(words: list, part: list, runs: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """The longest stretches of two and more of the runs that meet ``MIN_WORDS`` and
+    ``MIN_IDENTITY`` as a whole. The runs follow each other in both texts."""
+    if len(runs) < 2:
+        return []
+    whole = max(runs[-1][1] - runs[0][0], runs[-1][3] - runs[0][2])
+    total = [runs[0][4]]  # equal words up to the end of each run
+    for p, q in zip(runs, runs[1:], strict=False):
+        x, y = q[0] - p[1], q[2] - p[3]
+        spare = (1 - MIN_IDENTITY) * (whole - max(x, y))  # what the rest can make up for
+        hopeless = MIN_IDENTITY * max(x, y) - min(x, y) > spare
+        between = 0 if hopeless or not min(x, y) else common_words(words[p[1]:q[0]], part[p[3]:q[2]])
+        total.append(total[-1] + between + q[4])
+    _, b1, _, a1, own = np.array(runs).T
+    total, out, last = np.array(total), [], -1
+    for i, (b0, _, a0, _, _) in enumerate(runs[:-1]):
+        equal, x, y = total - total[i] + own[i], b1 - b0, a1 - a0
+        good = (np.minimum(x, y) >= MIN_WORDS) & (equal >= MIN_IDENTITY * np.maximum(x, y))
+        j = max(np.flatnonzero(good[i + 1:]), default=-1) + i + 1
+        if j > max(i, last):
+            out.append((b0, int(b1[j]), a0, int(a1[j]), int(equal[j])))
+            last = j
+    return out
+
+
 def passages(words: list, part: list, places: list[int], other: list[int], span: int) -> list[tuple[int, int, int, int, int]]:
     """(start, end, other start, other end, equal words) of the aligned runs of a
-    chain. An anchor is left out if its first ``span`` words are aligned
-    already, or will be with the next anchor's."""
+    chain, alone and joined. An anchor is left out if its first ``span`` words are
+    aligned already, or will be with the next anchor's."""
     out, done = [], -1
+    rows: list[list] = [[]]  # runs that follow each other in both texts
     for i, (b, a) in enumerate(zip(places, other, strict=True)):
         if b + span <= done or i + 1 < len(places) and places[i + 1] <= done or words[b:b + K] != part[a:a + K]:
             continue
@@ -244,7 +285,18 @@ def passages(words: list, part: list, places: list[int], other: list[int], span:
                 break
         out.append(found)
         done = found[1]
-    return out
+        own = found
+        if rows[-1]:
+            _, b1, _, a1, _ = rows[-1][-1]
+            if b < b1 or a < a1:
+                rows.append([])
+            elif found[0] < b1 or found[2] < a1:  # what the run before has already is left to it
+                left = extend(words[b1:b], part[a1:a], b - b1 - 1, a - a1 - 1, -1)[0]
+                own = b1 + left[0] + 1, right[0], a1 + left[1] + 1, right[1], left[2] + right[2]
+        rows[-1].append(own)
+    joined = [j for runs in rows for j in joined_runs(words, part, runs)]
+    return joined + [f for f in out if not any(
+        j[0] <= f[0] and f[1] <= j[1] and j[2] <= f[2] and f[3] <= j[3] for j in joined)]
 
 
 def _align_rows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:

@@ -244,6 +244,35 @@ def test_fuzzy_passages(spark):
     assert best == [(0, 5), (10, 15), (20, 25)]
 
 
+def test_passages_span_the_gaps_of_a_chain(spark):
+    """Halves below MIN_WORDS with up to 20 words inserted, deleted or replaced between them."""
+    rng = random.Random(21)
+    texts, want = [], {}
+    for n in (13, 15, 20):
+        for own, other in ((n, 0), (0, n), (n, n)):
+            first, second = ([f"{w}-{len(texts)}" for w in words(rng, k)] for k in (45, 46))
+            for middle in (other, own):
+                texts.append(words(rng, 30) + first + [f"only{len(texts)}"] * middle + second + words(rng, 30))
+            want[len(texts) - 1] = (len(texts) - 2, 30, 30 + 91 + own, 30, 30 + 91 + other, 91)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:7] for r in passage_dedup.repeated_passages(docs).collect()}
+    assert got == want
+
+
+def test_common_words_and_joined_runs():
+    rng = random.Random(3)
+    for _ in range(200):
+        x, y = ([rng.choice("abc") for _ in range(rng.randrange(12))] for _ in range(2))
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, v in enumerate(x):
+            for j, w in enumerate(y):
+                table[i + 1][j + 1] = table[i][j] + 1 if v == w else max(table[i][j + 1], table[i + 1][j])
+        assert passage_dedup.common_words(x, y) == table[-1][-1]
+    texts = list(range(300)), list(range(1000, 1300))
+    runs = [(0, 40, 0, 40, 40), (50, 90, 40, 80, 40), (190, 235, 180, 225, 45), (240, 250, 230, 240, 10)]
+    assert passage_dedup.joined_runs(*texts, runs) == [(0, 90, 0, 80, 80), (190, 250, 180, 240, 55)]
+
+
 def test_every_repeated_window_is_in_a_passage(spark):
     """Against all 50-word windows, also where no document that holds a first seed holds the passage."""
     rng = random.Random(12)
