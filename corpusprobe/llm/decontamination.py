@@ -16,7 +16,8 @@ blocks of bounded size (``BLOCK_WORDS``), each searched against all segments.
 Words are known by 64-bit hashes.
 
 Defined results: null and empty texts have no words; an item of fewer than
-``WINDOW`` words is one window, an item without words or without an id none;
+``WINDOW`` words is one window, an item without words none;
+items without an id are met like others and count as one item, named nowhere;
 repeated rows are reported each; an empty corpus gives no rows, an empty
 benchmark no hits; extra columns are carried along whatever their names.
 """
@@ -55,14 +56,19 @@ def word_ids(raw: bytes, hashes: WordHashes) -> np.ndarray:
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str) -> list[pd.DataFrame]:
     """The items in blocks of about ``BLOCK_WORDS`` words each (at least one item)."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(
+    items = benchmark.select(
         F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // (4 * BLOCK_WORDS)))
     return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).toPandas() for b in range(n)]
 
 
-def windows_of(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+def in_order(items: set) -> list[str | None]:
+    """Sorted ids, the null one last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def windows_of(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[list[str | None]]]:
     """Distinct windows as a (n x WINDOW) matrix of word ids padded with 0,
     their lengths, and the items each belongs to."""
     hashes, items_of = WordHashes(), {}
@@ -70,14 +76,14 @@ def windows_of(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[list[s
         ids = word_ids((text or "").encode(), hashes)
         size = min(WINDOW, len(ids))
         for i in range(len(ids) - size + 1 if size else 0):
-            items_of.setdefault(ids[i:i + size].tobytes(), set()).add(item)
+            items_of.setdefault(ids[i:i + size].tobytes(), set()).add(None if pd.isna(item) else item)
     terms = np.zeros((len(items_of), WINDOW), dtype=np.uint64)
     lens = np.zeros(len(items_of), dtype=np.int64)
     for row, key in enumerate(items_of):
         ids = np.frombuffer(key, dtype=np.uint64)
         terms[row, :len(ids)] = ids
         lens[row] = len(ids)
-    return terms, lens, [sorted(x) for x in items_of.values()]
+    return terms, lens, [in_order(x) for x in items_of.values()]
 
 
 def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
@@ -196,7 +202,7 @@ def search(index: DataFrame, block: pd.DataFrame, slop: int = 0) -> DataFrame:
                 ids, text_hashes, n_words = (batch.column(c)[row].as_py() for c in ("doc_ids", "text_hashes", "n_words"))
                 bases, terms, lens, places = (batch.column(c)[row].values.to_numpy() for c in ("bases", "terms", "lens", "places"))
                 spots: list[list[int]] = [[] for _ in ids]
-                met: list[list[str]] = [[] for _ in ids]
+                met: list[list[str | None]] = [[] for _ in ids]
                 if len(terms) and len(windows):
                     which, found = intersect(terms.view(np.uint64), lens, places, windows, sizes, by_rarity, slop)
                     if len(which):
@@ -205,7 +211,7 @@ def search(index: DataFrame, block: pd.DataFrame, slop: int = 0) -> DataFrame:
                         owner = np.searchsorted(bases, cells, side="right") - 1
                         for d in np.unique(doc):
                             spots[d] = (cells[owner == d] - bases[d]).tolist()
-                            met[d] = sorted({x for w in np.unique(which[doc == d]) for x in items[w]})
+                            met[d] = in_order({x for w in np.unique(which[doc == d]) for x in items[w]})
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column("segment")[row].as_py()] * len(ids)), pa.array(range(len(ids)), pa.int32()),
                     pa.array(ids, pa.int64()), pa.array(text_hashes, pa.int64()), pa.array(n_words, pa.int64()),

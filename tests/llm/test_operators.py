@@ -101,6 +101,25 @@ def test_phrases_and_proximity(spark):
     assert "3" in decontamination.contamination(near, items_df, slop=1).first()["items"]
 
 
+def test_items_without_an_id_contaminate(spark):
+    """As in the query's SQL: their windows are hit, and they count as one item without a name."""
+    rng = random.Random(6)
+    first, second, third = (words(rng, 12) for _ in range(3))
+    docs = spark.createDataFrame([(0, " ".join(first + second)), (1, " ".join(words(rng, 9) + first + third)), (2, "clean")],
+                                 "doc_id long, text string")
+    items = bench(spark, [(None, " ".join(first)), (None, " ".join(second)), (7, " ".join(third)), (None, None)])
+    sha = {k: hashlib.sha256(k.encode()).hexdigest() for k in ("", "7")}
+    want = {0: (24, 24, 1, sha[""], True), 1: (33, 24, 2, sha["7"], True), 2: (1, 0, 0, sha[""], False)}
+    block = decontamination.BLOCK_WORDS
+    try:
+        for size in (block, 5):
+            decontamination.BLOCK_WORDS = size
+            assert {r[0]: tuple(r)[1:] for r in decontamination.contamination_report(docs, items).collect()} == want
+    finally:
+        decontamination.BLOCK_WORDS = block
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(docs, items).collect()] == [2]
+
+
 def test_line_windows_keep_the_first(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc\nd\ne"), (2, "x\nb\nc\nd\ny"), (3, "a\nb\nc\nd\ne"), (4, "\n\n\n"), (5, "\n\n\n")],
                                  "doc_id long, text string")
