@@ -7,6 +7,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from check_oracle import TABLES, digest  # noqa: E402
 
+#: The smallest table set.
+SF001 = "/root/testdata/sf0.001"
+
 
 def duck(sf_dir):
     import duckdb

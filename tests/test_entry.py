@@ -4,9 +4,9 @@ DuckDB oracle on the smallest table set."""
 import pytest
 
 import __spark_entry__ as entry_mod
-from conftest import SF001
 
 import check_oracle_lib as lib
+from check_oracle_lib import SF001
 from corpusprobe.plans.queries import REGISTRY
 
 
