@@ -148,10 +148,29 @@ from d left join n using (doc_id) join (select u, min(v) c from r group by u) m
 """
 
 
+LEXICAL_SEARCH = f"""
+with d as (select row_number() over () k, doc_id, {_ALNUM_WORDS} w from documents),
+c as (select count(*) n_docs, sum(len(w))::bigint n_terms from d where len(w) > 0),
+i as (select row_number() over () item, item_id, {_ALNUM_WORDS} w from (select distinct item_id, text from benchmark)),
+it as (select distinct item, item_id, unnest(w) term from i),
+tf as (select k, doc_id, n, term, count(*) tf from (select k, doc_id, len(w) n, unnest(w) term from d)
+       where term in (select term from it) group by all),
+df as (select term, count(*) df from tf group by term),
+s as (
+  select item, item_id, k, doc_id,
+         sum(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint
+             * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))))::bigint score
+  from it join tf using (term) join df using (term) cross join c group by all),
+r as (select *, row_number() over (partition by item order by score desc, doc_id nulls last)::int rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+"""
+
+
 SQL: dict[str, str] = {
     "op1_benchmark_decontamination": DECONTAMINATION,
     "op2_line_dedup": LINE_DEDUP,
     "op8_minhash_near_dedup": NEAR_DEDUP,
     "op9_license_scan": _licenses(),
     "op10_quality_rules": _quality(),
+    "op12_lexical_search": LEXICAL_SEARCH,
 }

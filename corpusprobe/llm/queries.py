@@ -16,6 +16,7 @@ from .mixing import mix_report
 from .passage_dedup import repeated_passages
 from .quality_classifier import quality_scores
 from .quality_rules import quality_report
+from .reversed_search import search_report
 from .simhash_anchors import simhash_report
 from .toxicity import toxicity_report
 
@@ -68,6 +69,10 @@ def q_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(_table(spark, sf_dir, "documents"))
 
 
+def q_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": q_decontamination,
     "op2_line_dedup": q_line_dedup,
@@ -80,6 +85,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": q_license_scan,
     "op10_quality_rules": q_quality_rules,
     "op11_simhash_near_dedup": q_simhash_near_dedup,
+    "op12_lexical_search": q_lexical_search,
 }
 
 SQL: dict[str, str] = oracle.SQL
