@@ -18,6 +18,7 @@ from .quality_classifier import quality_scores
 from .quality_rules import quality_report
 from .reversed_search import search_report
 from .simhash_anchors import simhash_report
+from .spectrum_slicing import whitening_report
 from .toxicity import toxicity_report
 
 
@@ -73,6 +74,10 @@ def q_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def q_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(_table(spark, sf_dir, "embeddings"))
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": q_decontamination,
     "op2_line_dedup": q_line_dedup,
@@ -86,6 +91,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": q_quality_rules,
     "op11_simhash_near_dedup": q_simhash_near_dedup,
     "op12_lexical_search": q_lexical_search,
+    "op13_embedding_whitening": q_embedding_whitening,
 }
 
 SQL: dict[str, str] = oracle.SQL
