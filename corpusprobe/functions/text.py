@@ -6,7 +6,7 @@ regex split), so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the code points Python's str.split() treats as whitespace,
@@ -28,6 +28,18 @@ def let(value, fn) -> Column:
     return F.element_at(F.transform(F.array(_c(value)), fn), 1)
 
 
+def unnest(df: DataFrame, array, *columns, name: str, at: str | None = None) -> DataFrame:
+    """``columns`` with a row for each element of ``array`` as ``name`` (its place as ``at``), none for empty arrays.
+
+    A plain explode makes the optimizer test ``size(array) > 0`` below it, which
+    evaluates the array (splits a text, builds its n-grams) a second time. An
+    outer explode has no such test; its one row for an empty array goes after.
+    The array must not hold nulls."""
+    array = _c(array)
+    spread = F.explode_outer(array).alias(name) if at is None else F.posexplode_outer(array).alias(at, name)
+    return df.select(*columns, spread).where(F.col(name).isNotNull())
+
+
 def ws_tokens(text) -> Column:
     """``text.split()``: split on any run of Unicode whitespace, no empties."""
     return F.filter(F.split(_c(text), WS_CLASS + "+"), lambda x: x != F.lit(""))

@@ -45,6 +45,41 @@ def prompt_counts(prompts: DataFrame, corpus: DataFrame, **kw) -> DataFrame:
             .select(*PROMPT_KEYS, F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
+# ---------------------------------------------------------------- failed lookups
+
+def checked_prompts(prompts: DataFrame, text_col: str = "text", max_chars: int | None = None) -> DataFrame:
+    """OCC5: ``prompts`` with ``text`` (null where it can't be looked up) and ``error``, the reason.
+
+    ``text_col`` is a string or the raw bytes of one. Reasons: ``null text``, ``invalid utf-8``,
+    ``empty text`` and, with ``max_chars``, ``too long``. No row fails the job.
+    """
+    raw = F.col(text_col)
+    valid = F.try_validate_utf8(raw.cast("string"))
+    error = (F.when(raw.isNull(), "null text").when(valid.isNull(), "invalid utf-8")
+             .when(F.length(valid) == 0, "empty text"))
+    if max_chars is not None:
+        error = error.when(F.length(valid) > max_chars, "too long")
+    marked = prompts.withColumn("error", error)
+    return marked.withColumn("text", F.when(F.col("error").isNull(), valid))
+
+
+def prompt_counts_checked(prompts: DataFrame, corpus: DataFrame, text_col: str = "text",
+                          max_chars: int | None = None, **kw) -> DataFrame:
+    """OCC3 with OCC5: ``(task, prompt_id, n, error)``; a failed lookup has a null count and its reason,
+    never a count of 0."""
+    marked = checked_prompts(prompts, text_col, max_chars).select(*PROMPT_KEYS, "text", "error")
+    counts = occurrence_counts(corpus, marked.where(F.col("error").isNull()), query_col="text", **kw)
+    return (marked.join(counts.withColumnRenamed("query", "text"), "text", "left")
+            .select(*PROMPT_KEYS, F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0))).cast("bigint").alias("n"), "error"))
+
+
+def lookup_report(checked: DataFrame) -> DataFrame:
+    """OCC5: ``(task, prompts, failed, n)``: lookups, those that failed, and the sum of the counts found."""
+    return checked.groupBy("task").agg(
+        F.count(F.lit(1)).cast("bigint").alias("prompts"), F.count("error").cast("bigint").alias("failed"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"))
+
+
 # ---------------------------------------------------------------- fixed length
 
 def word_tiles(prompts: DataFrame, length: int = 16, min_words: int = 0) -> DataFrame:

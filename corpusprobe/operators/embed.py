@@ -1,11 +1,13 @@
 """Document embedding (EMB1-EMB3, FLT7, UDF2).
 
 ``embed_text`` adds an ``embedding array<float>`` column and keeps every other
-column. Two encoders:
+column. Three encoders:
 
 * ``hashed_bow_embedding`` (offline default): whitespace tokens hashed by md5
   into ``dim`` buckets in the JVM, counted and L2-normalised by one numpy
   ``bincount`` per Arrow batch, map-only (no shuffle).
+* ``lsa.lsa_encoder``: weighted term vectors reduced by a factorisation fitted
+  on the corpus (:mod:`corpusprobe.operators.lsa`).
 * ``embed_with_model``: any batch encoder through ``predict_batch_udf``
   (Arrow batches of ``batch_size`` rows; the model is built once per Python
   worker by ``make_predict_fn``). Device placement is Spark's resource
@@ -80,10 +82,30 @@ def embed_with_model(df: DataFrame, make_predict_fn, text_col: str = "text", dim
     return df.withColumn("embedding", udf(F.col(text_col)))
 
 
+def _draw(key_col: str, seed: str) -> Column:
+    return F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("")), F.lit(seed)))
+
+
 def seeded_subset(df: DataFrame, n: int, key_col: str = "doc_id", seed: str = SHUFFLE_SEED) -> DataFrame:
-    """FLT7: a reproducible shuffle (order by md5 of key and seed), first n rows.
+    """FLT7: a reproducible shuffle (order by md5 of key and seed), the first n rows, in no order.
 
-    The limit is the feature (a sample of n); it runs as a top-k, so no task
-    sorts more than its own rows.
+    The limit is the feature (a sample of n). No task sorts the sample: the draws are
+    evenly spread numbers, so a band about the n-th one is known from the number of
+    rows. Rows below the band stay as they are; only the band is sorted and cut. If
+    the band missed the n-th draw (or keys repeat much), it is widened and counted again.
     """
-    return df.orderBy(F.md5(F.concat(F.col(key_col).cast("string"), F.lit(seed)))).limit(n)
+    bits = 52
+    rows = df.withColumn("_draw", _draw(key_col, seed))
+    spot = F.conv(F.substring("_draw", 1, bits // 4), 16, 10).cast("bigint")
+    total = df.count()
+    if n >= total:
+        return df
+    width = 6 * max(n, 1) ** 0.5 + 10
+    while True:
+        low, high = (int(min(max(x / total, 0), 1) * (1 << bits)) for x in (n - width, n + width))
+        below, inside = rows.agg(F.count_if(spot < low), F.count_if((spot >= low) & (spot < high))).first()
+        if below <= n <= below + inside:
+            break
+        width *= 8
+    band = rows.where((spot >= low) & (spot < high)).orderBy(F.col("_draw")).limit(n - below)
+    return rows.where(spot < low).unionByName(band).drop("_draw")

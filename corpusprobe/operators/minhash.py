@@ -1,4 +1,4 @@
-"""Set containment search: MinHash, LSH Ensemble and exact containment (MH1-MH6).
+"""Set containment search: MinHash and exact containment (MH1, MH4-MH6).
 
 Sets are word n-gram shingle sets ``(key, shingle)``. The question is: which
 indexed sets X contain at least a fraction ``t`` of a query set Q,
@@ -10,28 +10,23 @@ indexed sets X contain at least a fraction ``t`` of a query set Q,
   bounds the pairs: X can only reach ``m`` shared shingles if it shares one of
   the ``q - m + 1`` rarest shingles of Q, so candidates come from a join on
   rare shingles and hot shingles never fan out into pairs on their own.
-* :func:`containment_lsh` is the LSH Ensemble: sets are cut into equal-count
-  size partitions; per (partition, query size) a band layout (b, r) is chosen
-  for the Jaccard threshold that containment ``t`` implies; band hashes are
-  equi-joined and every candidate is verified exactly (precision 1).
+* The LSH Ensemble (MH2, MH3) is in :mod:`corpusprobe.operators.lsh_ensemble`.
 """
 
 from __future__ import annotations
 
-import math
 import random
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import ngram_set, ws_tokens
+from corpusprobe.functions.text import ngram_set, unnest, ws_tokens
 from corpusprobe.session import ensure_checkpoint_dir
 
 PRIME = (1 << 31) - 1
 NUM_PERM = 128
 SEED = 1
 BROADCAST_BYTES = 64 * 1024 * 1024
-BAND_ROWS = (1, 2, 4, 8)
 
 
 def permutations(num_perm: int = NUM_PERM, seed: int = SEED) -> list[tuple[int, int]]:
@@ -54,8 +49,7 @@ def shingle_sets(df: DataFrame, key_col: str, text_col: str = "text", n: int = 5
     row per key, e.g. a document id) that already is the set and no shuffle is
     needed. Otherwise rows of a key are merged by a global ``distinct``.
     """
-    sets = df.select(F.col(key_col).alias("key"),
-                     F.explode(ngram_set(ws_tokens(text_col), n)).alias("shingle"))
+    sets = unnest(df, ngram_set(ws_tokens(text_col), n), F.col(key_col).alias("key"), name="shingle")
     return sets if unique_keys else sets.distinct()
 
 
@@ -82,7 +76,7 @@ def minhash_estimate(sig1, sig2) -> "F.Column":
     return F.aggregate(eq, F.lit(0), lambda acc, x: acc + x) / F.size(sig1)
 
 
-def _broadcast_if_small(df: DataFrame, row_bytes, limit: int) -> DataFrame:
+def broadcast_if_small(df: DataFrame, row_bytes, limit: int) -> DataFrame:
     size = df.agg(F.sum(row_bytes).alias("b")).first()["b"] or 0
     return F.broadcast(df) if size <= limit else df
 
@@ -102,7 +96,7 @@ def containment_exact(queries: DataFrame, index: DataFrame, threshold: float = 0
     """
     qs = queries.select(F.col("key").alias("qkey"), "shingle").distinct()
     qsize = qs.groupBy("qkey").agg(F.count(F.lit(1)).alias("q_size"))
-    vocab = _broadcast_if_small(qs.select("shingle").distinct(), F.length("shingle") + 32,
+    vocab = broadcast_if_small(qs.select("shingle").distinct(), F.length("shingle") + 32,
                                 broadcast_bytes)
     ds = index.select("key", "shingle").join(vocab, "shingle", "left_semi")
     if materialize:
@@ -133,122 +127,6 @@ def verify_containment(cand: DataFrame, qs: DataFrame, ds: DataFrame, qsize: Dat
     return out.where(F.col("containment") >= F.lit(threshold))
 
 
-# ------------------------------------------------------------------ LSH Ensemble
-
-def best_bands(s: float, num_perm: int = NUM_PERM, steps: int = 256) -> tuple[int, int]:
-    """(b, r) with r in BAND_ROWS and b*r <= num_perm minimising half the
-    false-positive area below s plus half the false-negative area above it."""
-    import numpy as np
-    lo = (np.arange(steps) + 0.5) * s / steps
-    hi = s + (np.arange(steps) + 0.5) * (1 - s) / steps
-    best = None
-    for r in BAND_ROWS:
-        b = np.arange(1, num_perm // r + 1)[:, None]
-        fp = (1.0 - (1.0 - lo[None, :] ** r) ** b).mean(axis=1) * s
-        fn = ((1.0 - hi[None, :] ** r) ** b).mean(axis=1) * (1 - s)
-        err = 0.5 * fp + 0.5 * fn
-        i = int(np.argmin(err))
-        if best is None or err[i] < best[0]:
-            best = (float(err[i]), i + 1, r)
-    return best[1], best[2]
-
-
-def size_partitions(sizes: DataFrame, num_part: int = 32, rel_err: float = 0.001) -> list[int]:
-    """Upper size bound of each of ``num_part`` equal-count partitions.
-
-    Boundaries come from ``approxQuantile`` (a bounded summary); the last one
-    is the true maximum.
-    """
-    probs = [i / num_part for i in range(1, num_part)]
-    qs = sizes.approxQuantile("size", probs, rel_err) if probs else []
-    top = sizes.agg(F.max("size")).first()[0] or 0
-    bounds = sorted(set(int(math.ceil(x)) for x in qs) | {int(top)})
-    return bounds
-
-
-def lsh_index(sigs: DataFrame, bounds: list[int], num_perm: int = NUM_PERM) -> DataFrame:
-    """MH2: ``(part, r, band, hash, key)``; every set is banded for each r.
-
-    A band hash collision only adds a candidate (verification is exact), so a
-    64-bit hash of the signature slice is enough."""
-    part = F.lit(len(bounds) - 1)
-    for i in reversed(range(len(bounds))):
-        part = F.when(F.col("size") <= bounds[i], F.lit(i)).otherwise(part)
-    layouts = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(j).alias("band"))
-                        for r in BAND_ROWS for j in range(num_perm // r)])
-    return (sigs.select("key", "sig", part.alias("part"), F.explode(layouts).alias("l"))
-            .select("part", F.col("l.r").alias("r"), F.col("l.band").alias("band"),
-                    F.xxhash64(F.slice("sig", F.col("l.band") * F.col("l.r") + 1, F.col("l.r")))
-                    .alias("hash"),
-                    "key"))
-
-
-def band_plan(spark, bounds: list[int], max_q: int, threshold: float,
-              num_perm: int = NUM_PERM) -> DataFrame:
-    """(part, qb, b, r): band layout per size partition and power-of-two query
-    size bucket ``qb`` (query sizes in [qb, 2qb)). Tiny; built on the driver."""
-    rows = []
-    qb = 1
-    while qb <= max(max_q, 1):
-        for part, u in enumerate(bounds):
-            if u < threshold * qb:
-                continue
-            s = threshold / (u / qb + 1.0 - threshold)
-            b, r = best_bands(min(max(s, 1e-6), 1.0), num_perm)
-            rows.append((part, qb, b, r))
-        qb *= 2
-    return spark.createDataFrame(rows, "part int, qb bigint, b int, r int")
-
-
-def build_lsh_index(index: DataFrame, num_perm: int = NUM_PERM, num_part: int = 32,
-                    signatures: DataFrame | None = None) -> tuple[list[int], DataFrame]:
-    """MH2: signatures of the indexed sets, written once to the shared
-    checkpoint folder (the index is built once and probed by every query),
-    their size partition bounds, and the band table."""
-    ensure_checkpoint_dir(index.sparkSession)
-    sigs = signatures if signatures is not None else minhash_signatures(index, num_perm)
-    isigs = sigs.checkpoint()
-    bounds = size_partitions(isigs.select("size"), num_part)
-    return bounds, lsh_index(isigs, bounds, num_perm)
-
-
-def containment_lsh(queries: DataFrame, index: DataFrame, threshold: float = 0.8,
-                    num_perm: int = NUM_PERM, num_part: int = 32,
-                    broadcast_bytes: int = BROADCAST_BYTES,
-                    index_signatures: DataFrame | None = None,
-                    query_signatures: DataFrame | None = None) -> DataFrame:
-    """MH3: LSH Ensemble candidates, verified exactly. Same columns as
-    :func:`containment_exact`; a subset of its rows (recall < 1 is possible).
-
-    Precomputed signatures may be passed in."""
-    spark = queries.sparkSession
-    bounds, bands = build_lsh_index(index, num_perm, num_part, index_signatures)
-    qsigs = (query_signatures if query_signatures is not None
-             else minhash_signatures(queries, num_perm))
-    qsigs = qsigs.withColumnRenamed("key", "qkey").checkpoint()
-    max_q = qsigs.agg(F.max("size")).first()[0] or 1
-    plan = F.broadcast(band_plan(spark, bounds, int(max_q), threshold, num_perm))
-    # Index bands no query layout can probe are dropped before the join (at
-    # most partitions x 240 layout rows, broadcast).
-    used = (plan.groupBy("part", "r").agg(F.max("b").alias("b"))
-            .select("part", "r", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("band")))
-    bands = bands.join(F.broadcast(used), ["part", "r", "band"], "left_semi")
-    qb = F.pow(F.lit(2.0), F.floor(F.log(2.0, F.col("size").cast("double")))).cast("bigint")
-    parts = F.array(*[F.lit(i) for i in range(len(bounds))])
-    qrows = (qsigs.select("qkey", "sig", qb.alias("qb"), F.explode(parts).alias("part"))
-             .join(plan, ["part", "qb"])
-             .select("qkey", "sig", "part", "r", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("band"))
-             .select("qkey", "part", "r", "band",
-                     F.xxhash64(F.slice("sig", F.col("band") * F.col("r") + 1, F.col("r")))
-                     .alias("hash")))
-    qrows = _broadcast_if_small(qrows, F.lit(72), broadcast_bytes)
-    cand = bands.join(qrows, ["part", "r", "band", "hash"]).select("qkey", "key").distinct()
-    qs = queries.select(F.col("key").alias("qkey"), "shingle").distinct()
-    qsize = qs.groupBy("qkey").agg(F.count(F.lit(1)).alias("q_size"))
-    ds = index.select("key", "shingle").join(cand.select("key").distinct(), "key", "left_semi")
-    return verify_containment(cand, qs, ds, qsize, threshold)
-
-
 def index_membership(keys: DataFrame, index_keys: DataFrame, key_col: str = "key") -> DataFrame:
     """MH5: ``(key, member)``: is the key in the index."""
     idx = index_keys.select(F.col(key_col).alias("_k")).distinct().withColumn("_m", F.lit(True))

@@ -10,21 +10,33 @@ only). A line's own pattern is then the alternation of just the pairs found in
 it, in list order; the others could not match. This holds for lists of any
 size, all transforms share one scan, and the pairs stay a DataFrame. Pairs
 without any word character have no run to join on and meet every line.
+
+Before the join, the places of a line are tested against a bitmap of the pairs'
+hashed runs, built by Spark's bitmap aggregates and sent as a constant, so that
+only places where a pair may stand leave the row. The line goes with them:
+there is no second scan to fetch it.
 """
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import let
+from corpusprobe.functions.text import let, unnest
 from corpusprobe.operators.occurrences import BROADCAST_BYTES, query_bytes
+from corpusprobe.session import ensure_checkpoint_dir
 
 # Python's \W for str patterns, and UNIX_LINES so that '$' means
 # end of line or before a final '\n', as in Python.
 NON_WORD = "[^\\p{L}\\p{N}_]"
 FLAGS = "(?d)"
 
+BITMAP_BITS = 32768   # of one of Spark's bitmaps
+MAX_BITMAPS = 64      # sent with the scan: 256 KB
+
 Pairs = DataFrame | dict[str, list[tuple[str, str]]]
 
 
@@ -65,27 +77,50 @@ def _word_runs(text) -> Column:
 
 
 def _keyed_patterns(pairs: DataFrame) -> DataFrame:
-    """``(transform, idx, regex, n, key)``: per order of a pair its first runs."""
+    """``(transform, idx, regex, n, key, bit)``: per order of a pair its first runs."""
     def first_runs(a: str, b: str) -> Column:
         return F.slice(F.concat(_word_runs(F.col(a)), _word_runs(F.col(b))), 1, 2)
 
     orders = F.array_distinct(F.array(first_runs("word", "transformed"), first_runs("transformed", "word")))
     return (pairs.select("transform", "idx", unitary_regex("word", "transformed").alias("regex"),
                          F.explode(orders).alias("runs"))
-            .select("transform", "idx", "regex", F.size("runs").alias("n"),
-                    F.array_join("runs", " ").alias("key")))
+            .select("transform", "idx", "regex", F.size("runs").alias("n"), F.array_join("runs", " ").alias("key"),
+                    F.xxhash64(F.get("runs", F.lit(0)), F.get("runs", F.lit(1))).alias("hash")))
+
 
+def _bitmap(patterns: DataFrame, n_keys: int) -> np.ndarray:
+    """The words of a bitmap of the patterns' hashes, at least eight bits a key up to ``MAX_BITMAPS`` bitmaps."""
+    bitmaps = max(1, min(MAX_BITMAPS, -(-8 * n_keys // BITMAP_BITS)))
+    bit = F.pmod("hash", F.lit(BITMAP_BITS * bitmaps))
+    rows = (patterns.groupBy(F.floor(bit / BITMAP_BITS).cast("int").alias("at"))
+            .agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(BITMAP_BITS))).alias("bits")).collect())
+    words = np.zeros(bitmaps * BITMAP_BITS // 64, dtype=np.int64)
+    for r in rows:  # a bitmap counts from the lowest bit of its first byte
+        words.reshape(bitmaps, -1)[r["at"]] = np.frombuffer(bytes(r["bits"]), dtype="<i8")
+    return words
+
+
+def _line_keys(runs: Column, sizes: list[int], words: np.ndarray) -> Column:
+    """The keys of a line, for the run counts in use, that the bitmap holds."""
+    listed = F.from_json(F.lit(json.dumps(words.tolist())), "array<bigint>")  # folded to a constant
 
-def _line_keys(runs: Column, sizes: list[int]) -> Column:
-    """The keys of a line for the run counts in use."""
     def key(n: int, text: Column) -> Column:
         return F.struct(F.lit(n).alias("n"), text.alias("key"))
 
+    def held(a: Column, b: Column) -> Column:
+        bit = F.pmod(F.xxhash64(a, b), F.lit(len(words) * 64))
+        word = F.get(listed, F.shiftright(bit, 6).cast("int"))
+        return F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    none = F.lit(None).cast("string")
+    follower = lambda i: F.get(runs, i + 1)
+    places = F.sequence(F.lit(0), F.size(runs) - 2)
     kinds = {
         0: F.array(key(0, F.lit(""))),
-        1: F.transform(runs, lambda x: key(1, x)),
-        2: F.transform(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))),
-                       lambda x, i: key(2, F.concat(x, F.lit(" "), F.element_at(runs, i + 2)))),
+        1: F.transform(F.filter(runs, lambda x: held(x, none)), lambda x: key(1, x)),
+        2: F.when(F.size(runs) >= 2, F.transform(F.filter(places, lambda i: held(F.get(runs, i), follower(i))),
+                                                 lambda i: key(2, F.concat(F.get(runs, i), F.lit(" "), follower(i)))))
+            .otherwise(F.array().cast("array<struct<n:int,key:string>>")),
     }
     return F.array_distinct(F.concat(*[kinds[n] for n in sizes]))
 
@@ -93,23 +128,25 @@ def _line_keys(runs: Column, sizes: list[int]) -> Column:
 def _matches(lines: DataFrame, pairs: Pairs, broadcast_bytes: int) -> tuple[DataFrame, list[str]]:
     """``(doc_id, line_no, transform, n)`` with n > 0, and the transforms' names."""
     lines = lines.select("doc_id", "line_no", "line")
-    patterns = _keyed_patterns(pair_table(lines, pairs))
+    ensure_checkpoint_dir(lines.sparkSession)
+    # The list may be costly to derive, and is read three times.
+    patterns = _keyed_patterns(pair_table(lines, pairs)).checkpoint()
     # One small action: size, run counts (three at most) and the transforms' names.
     facts = patterns.agg(F.sum(query_bytes(patterns)).alias("bytes"), F.collect_set("n").alias("sizes"),
-                         F.collect_set("transform").alias("names")).first()
+                         F.collect_set("transform").alias("names"), F.count(F.lit(1)).alias("keys")).first()
     if not facts["sizes"]:
         return lines.where(F.lit(False)).select(
             "doc_id", "line_no", F.lit("").alias("transform"), F.lit(0).cast("bigint").alias("n")), []
+    words = _bitmap(patterns, facts["keys"])
+    patterns = patterns.drop("hash")
     if facts["bytes"] <= broadcast_bytes:
         patterns = F.broadcast(patterns)
-    keys = let(_word_runs(F.col("line")), lambda r: _line_keys(r, sorted(facts["sizes"])))
-    found = (lines.select("doc_id", "line_no", F.explode(keys).alias("k"))
-             .select("doc_id", "line_no", "k.n", "k.key").join(patterns, ["n", "key"])
-             .groupBy("doc_id", "line_no", "transform")
-             .agg(F.array_sort(F.collect_set(F.struct("idx", "regex"))).alias("r"))
-             .select("doc_id", "line_no", "transform",
-                     regex_from_pairs(F.transform("r", lambda x: x["regex"])).alias("pattern")))
-    counted = (lines.join(found, ["doc_id", "line_no"])
+    keys = let(_word_runs(F.col("line")), lambda r: _line_keys(r, sorted(facts["sizes"]), words))
+    counted = (unnest(lines, keys, "doc_id", "line_no", "line", name="k")
+               .select("doc_id", "line_no", "line", "k.n", "k.key").join(patterns, ["n", "key"])
+               .groupBy("doc_id", "line_no", "line", "transform")
+               .agg(F.array_sort(F.collect_set(F.struct("idx", "regex"))).alias("r"))
+               .withColumn("pattern", regex_from_pairs(F.transform("r", lambda x: x["regex"])))
                .select("doc_id", "line_no", "transform",
                        F.regexp_count("line", F.col("pattern")).cast("bigint").alias("n")))
     return counted.where(F.col("n") > 0), sorted(facts["names"])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import ngram_set, ngram_strings, ws_tokens
+from corpusprobe.functions.text import ngram_set, ngram_strings, unnest, ws_tokens
 from corpusprobe.operators.occurrences import BROADCAST_BYTES, ROW_BYTES, count_matches
 from corpusprobe.session import ensure_checkpoint_dir
 
@@ -28,8 +28,7 @@ def corpus_lines(corpus: DataFrame, doc_col: str = "doc_id", text_col: str = "te
     n = F.size(parts)
     trimmed = F.when((n > 1) & (F.element_at(parts, -1) == F.lit("")),
                      F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
-    return (corpus.where(F.col(text_col).isNotNull())
-            .select(F.col(doc_col).alias("doc_id"), F.posexplode(trimmed).alias("line_no", "line"))
+    return (unnest(corpus.where(F.col(text_col).isNotNull()), trimmed, F.col(doc_col).alias("doc_id"), name="line", at="line_no")
             .select("doc_id", F.col("line_no").cast("bigint"), "line"))
 
 
@@ -53,38 +52,44 @@ def line_ngrams(lines: DataFrame, n: int = 5, distinct: bool = False) -> DataFra
     """
     w = ws_tokens("line")
     grams = ngram_set(w, n) if distinct else ngram_strings(w, n)
-    return (lines.select("doc_id", "line_no", F.posexplode(grams).alias("pos", "ngram"))
+    return (unnest(lines, grams, "doc_id", "line_no", name="ngram", at="pos")
             .select("doc_id", "line_no", F.col("pos").cast("bigint"), "ngram"))
 
 
 def distinct_ngrams(lines: DataFrame, n: int = 5) -> DataFrame:
     """AGG6: the union of all per-line n-gram sets, ``(ngram)``."""
-    return (lines.select(F.explode(ngram_strings(ws_tokens("line"), n)).alias("ngram"))
-            .distinct())
+    return unnest(lines, ngram_strings(ws_tokens("line"), n), name="ngram").distinct()
 
 
 def ngram_cardinality(ngrams: DataFrame, approx: bool = False) -> DataFrame:
-    """AGG7: ``(n_ngrams)``; ``approx`` uses HyperLogLog++."""
+    """AGG7: ``(n_ngrams)``; ``approx`` uses HyperLogLog++ (stored sketches: :mod:`corpusprobe.operators.sketches`)."""
     agg = F.approx_count_distinct("ngram") if approx else F.count_distinct("ngram")
     return ngrams.agg(agg.cast("bigint").alias("n_ngrams"))
 
 
+#: Values of a range of dense ids: one sorted partition.
+RANGE_ROWS = 1_000_000
+
+
 def dense_index(values: DataFrame, col: str, id_col: str = "id",
                 num_partitions: int | None = None, order=None) -> DataFrame:
     """AGG8: ``(col, id_col)`` with 0-based ids in ascending order of ``col``.
 
     ``values`` must hold distinct values of ``col`` (other columns are carried);
-    ``order`` optionally gives the sort columns. The range-partitioned, sorted copy is
-    checkpointed into the shared checkpoint folder, so partition boundaries and
-    per-partition positions survive a lost executor; the per-partition counts
-    (one row per partition, a proven bound) are broadcast as offsets.
+    ``order`` optionally gives the sort columns. The values are written once to
+    the shared checkpoint folder and counted there; they are cut into as many
+    ranges as their number asks for (``RANGE_ROWS`` each, whatever the session's
+    shuffle partitions), and the sorted copy is written as well, so boundaries and
+    positions survive a lost executor. The per-range counts (one row per
+    range, a proven bound) are broadcast as offsets.
     """
-    spark = values.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(values.sparkSession)
+    if num_partitions is None:
+        values = values.checkpoint()
+        num_partitions = max(1, -(-values.count() // RANGE_ROWS))
     order = order or [F.col(col)]
     ranged = (values
-              .repartitionByRange(parts, *order)
+              .repartitionByRange(num_partitions, *order)
               .sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
@@ -97,6 +102,18 @@ def dense_index(values: DataFrame, col: str, id_col: str = "id",
             .select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint").alias(id_col)))
 
 
+def extend_index(index: DataFrame, values: DataFrame, col: str, id_col: str = "id") -> DataFrame:
+    """AGG8, kept up: ``index`` with the values it lacks, whose ids follow its largest one in ascending order.
+
+    Ids given before stay, so what was written with them stays right. ``values``
+    need not be distinct, nor new. Only the new values are sorted."""
+    new = values.select(col).where(F.col(col).isNotNull()).distinct().join(index.select(col), col, "left_anti")
+    top = index.agg(F.max(id_col)).first()[0]
+    start = 0 if top is None else top + 1
+    return index.select(col, id_col).unionByName(
+        dense_index(new, col, id_col).select(col, (F.col(id_col) + F.lit(start)).alias(id_col)))
+
+
 def ngram_index(lines: DataFrame, n: int = 5) -> DataFrame:
     """``(ngram, ngram_id)`` over the distinct n-grams of all lines."""
     return dense_index(distinct_ngrams(lines, n), "ngram", "ngram_id")
@@ -106,7 +123,7 @@ def ngram_index(lines: DataFrame, n: int = 5) -> DataFrame:
 
 def vocabulary(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """Offline tokeniser: distinct whitespace tokens -> dense ids, ``(token, token_id)``."""
-    toks = corpus.select(F.explode(ws_tokens(text_col)).alias("token")).distinct()
+    toks = unnest(corpus, ws_tokens(text_col), name="token").distinct()
     return dense_index(toks, "token", "token_id")
 
 

@@ -9,8 +9,10 @@ space character, keeping empty pieces. A query of k pieces P1..Pk then matches
 corpus tokens t_j .. t_{j+k-1} iff
 
 * k = 1: the query lies inside one token. Distinct tokens are counted first
-  (map-side partial aggregation absorbs hot words), then each token position is
-  anchored on a short character prefix of the query and verified.
+  (map-side partial aggregation absorbs hot words). The queries' character
+  grams are counted in the distinct tokens; a query with a gram that is nowhere
+  is nowhere, and every other one is looked up by its rarest gram only and
+  verified there.
 * k = 2: t_j ends with P1 and t_{j+1} starts with P2. Token pairs are
   anchored on a few characters on both sides of the space and verified; with a
   broadcast query side they are filtered map-side before anything is
@@ -40,11 +42,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import let, space_pieces, ws_tokens
+from corpusprobe.functions.text import let, space_pieces, unnest, ws_tokens
 from corpusprobe.session import ensure_checkpoint_dir
 
 ANCHOR_WORDS = 6   # max inner tokens per anchor chunk (k >= 3)
-ANCHOR_CHARS = 5   # anchor length inside one token (k = 1)
+GRAM_CHARS = 4     # characters of a gram inside one token (k = 1)
 EDGE_CHARS = 3     # anchor chars on each side of the space (k = 2, few inner pieces)
 FEW_INNER = 2      # up to so many inner pieces, edge characters join the key
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -53,7 +55,7 @@ ROW_BYTES = 192    # a row's fixed fields, string padding and hash-table entry
 
 @dataclass
 class _Plan:
-    one: list[int] = field(default_factory=list)            # k = 1 anchor lengths
+    one: list[int] = field(default_factory=list)            # k = 1 gram lengths
     two: list[tuple[int, int]] = field(default_factory=list)  # k = 2 edge classes
     many: list[tuple[int, int, int]] = field(default_factory=list)  # window size, edge characters
     bytes: dict[str, int] = field(default_factory=dict)
@@ -90,7 +92,7 @@ def query_bytes(table: DataFrame) -> Column:
 def _plan(tables: dict[str, DataFrame]) -> _Plan:
     """One small action: the anchor classes present and the bytes per branch.
 
-    The result has at most ANCHOR_CHARS rows, one per pair of edge lengths, and
+    The result has at most GRAM_CHARS rows, one per pair of edge lengths, and
     one per window size and pair of edge lengths.
     """
     cls = {"one": _text(F.col("a")), "two": _text(F.col("a1"), ",", F.col("a2")),
@@ -121,26 +123,56 @@ def _tokens(corpus: DataFrame, doc_col: str, text_col: str, tokens: bool) -> Dat
 
 
 def single_queries(q: DataFrame) -> DataFrame:
-    """k = 1 queries by their first characters: qid, query, ql, a, key."""
-    return (q.where(F.col("k") == 1)
-            .select("qid", "query", F.length("query").alias("ql"),
-                    F.least(F.length("query"), F.lit(ANCHOR_CHARS)).alias("a"))
-            .withColumn("key", F.col("query").substr(F.lit(1), F.col("a"))))
-
-
-def _branch_one(table, toks, lengths, longest, keys, bcast) -> DataFrame:
-    vocab = (toks.select(*keys, F.explode("toks").alias("tok"))
-             .groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("freq")))
-    # A position carries no more of its token than the longest query needs.
-    pos = (vocab
-           .select(*keys, "tok", "freq", F.explode(F.array(*[F.lit(a) for a in lengths])).alias("a"))
-           .where(F.length("tok") >= F.col("a"))
-           .select(*keys, "tok", "freq", "a",
-                   F.explode(F.sequence(F.lit(1), F.length("tok") - F.col("a") + 1)).alias("i"))
-           .select(*keys, "freq", "a", F.col("tok").substr(F.col("i"), F.lit(longest)).alias("rest"))
-           .withColumn("key", F.col("rest").substr(F.lit(1), F.col("a"))))
+    """k = 1 queries: qid, query, ql (characters), a (characters of their grams)."""
+    return (q.where(F.col("k") == 1).select("qid", "query", F.length("query").alias("ql"))
+            .withColumn("a", F.least(F.col("ql"), F.lit(GRAM_CHARS))))
+
+
+def query_grams(one: DataFrame) -> DataFrame:
+    """The grams of :func:`single_queries`: qid, a, off, key. A shorter query is its own gram."""
+    return (one.select("qid", "query", "a", F.explode(F.sequence(F.lit(0), F.col("ql") - F.col("a"))).alias("off"))
+            .select("qid", "a", "off", F.col("query").substr(F.col("off") + 1, F.col("a")).alias("key")))
+
+
+def token_grams(vocab: DataFrame, lengths: list[int]) -> DataFrame:
+    """``vocab`` with a row for each place ``i`` (from 1) and gram length ``a`` of its tokens: i, a, key."""
+    kept = vocab.columns
+    return (vocab.select(*kept, F.explode(F.array(*[F.lit(a) for a in lengths])).alias("a"))
+            .where(F.length("tok") >= F.col("a"))
+            .select(*kept, "a", F.explode(F.sequence(F.lit(1), F.length("tok") - F.col("a") + 1)).alias("i"))
+            .withColumn("key", F.col("tok").substr(F.col("i"), F.col("a"))))
+
+
+def rarest_grams(grams: DataFrame, vocab: DataFrame, lengths: list[int], broadcast_bytes: int) -> DataFrame:
+    """(qid, a, off, key): of each query the gram with the fewest places in the distinct tokens.
+
+    Queries with a gram that has none have no row. Queries share grams, so the
+    distinct ones are written and sized on their own."""
+    asked = grams.select("a", "key").distinct().checkpoint()
+    size = asked.agg(F.sum(query_bytes(asked)).alias("b")).first()["b"] or 0
+    places = (token_grams(vocab.select("tok"), lengths)
+              .join(F.broadcast(asked) if size <= broadcast_bytes else asked, ["a", "key"], "left_semi")
+              .groupBy("a", "key").agg(F.count(F.lit(1)).alias("places")))
+    rarest = F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "off", "a", "key"))
+    return (grams.join(places, ["a", "key"], "left").groupBy("qid").agg(rarest.alias("g")).where(F.col("g.places") > 0)
+            .select("qid", "g.a", "g.off", "g.key"))
+
+
+def _branch_one(one, toks, lengths, longest, keys, bcast, broadcast_bytes) -> DataFrame:
+    words = unnest(toks, "toks", *keys, name="tok")
+    vocab = words.groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("freq"))
+    if keys:
+        distinct = words.select("tok").distinct()
+    else:
+        distinct = vocab = vocab.checkpoint()  # read twice
+    table = rarest_grams(query_grams(one), distinct, lengths, broadcast_bytes).join(one.drop("a"), "qid")
+    # A place carries no more of its token than the longest query needs on either side.
+    start = F.greatest(F.col("i") - F.lit(longest), F.lit(1))
+    pos = token_grams(vocab, lengths).select(
+        *keys, "freq", "a", "key", F.col("tok").substr(start, F.lit(2 * longest)).alias("near"), (F.col("i") - start).alias("at"))
     hit = (pos.join(F.broadcast(table) if bcast else table, ["a", "key"])
-           .where(F.col("rest").startswith(F.col("query"))))
+           .where((F.col("at") >= F.col("off"))
+                  & (F.col("near").substr(F.col("at") - F.col("off") + 1, F.col("ql")) == F.col("query"))))
     return hit.groupBy("qid", *keys).agg(F.sum("freq").alias("n"))
 
 
@@ -157,9 +189,7 @@ def _branch_two(table, toks, classes, keys, bcast) -> DataFrame:
     adjacent = let("toks", lambda t: F.transform(
         F.slice(t, F.lit(1), F.size(t) - 1),
         lambda x, i: F.struct(x.alias("t1"), F.element_at(t, i + 2).alias("t2"))))
-    pairs = (toks
-             .select(*keys, F.explode(adjacent).alias("pr"))
-             .select(*keys, "pr.t1", "pr.t2"))
+    pairs = unnest(toks, adjacent, *keys, name="pr").select(*keys, "pr.t1", "pr.t2")
     if bcast:
         # Broadcast probe: filter map-side first, only matching pairs move.
         pairs = pairs.withColumn("freq", F.lit(1).cast("bigint"))
@@ -222,7 +252,7 @@ def token_windows(toks: DataFrame, classes: list[tuple[int, int, int]], tokens:
     Output: doc_id, p (0-based start), s, a, b, key [, prev, nxt].
     """
     n = F.size("toks")
-    pos = toks.select("doc_id", "toks", F.posexplode("toks").alias("p", "tok"))
+    pos = unnest(toks, "toks", "doc_id", "toks", name="tok", at="p")
     if firsts is not None:
         pos = pos.join(firsts, "tok", "left_semi")
     kinds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(a).alias("a"), F.lit(b).alias("b"))
@@ -286,7 +316,7 @@ def count_matches(toks: DataFrame, q: DataFrame, tokens: bool, per_doc: bool,
     fits = {name: plan.bytes.get(name, 0) <= broadcast_bytes for name in tables}
     parts = []
     if plan.one:
-        parts.append(_branch_one(tables["one"], toks, plan.one, plan.longest, keys, fits["one"]))
+        parts.append(_branch_one(tables["one"], toks, plan.one, plan.longest, keys, fits["one"], broadcast_bytes))
     if plan.two:
         parts.append(_branch_two(tables["two"], toks, plan.two, keys, fits["two"]))
     if plan.many:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusprobe.functions.text import ws_tokens
+from corpusprobe.functions.text import unnest, ws_tokens
 from corpusprobe.functions.wordforms import TRANSFORMS, combine, select_transforms
 from corpusprobe.operators.ngrams import dense_index
 from corpusprobe.operators.occurrences import occurrence_counts
@@ -20,7 +20,7 @@ from corpusprobe.session import ensure_checkpoint_dir
 
 def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, n)``: whitespace-token frequencies (partial aggregation per task)."""
-    return (corpus.select(F.explode(ws_tokens(text_col)).alias("word"))
+    return (unnest(corpus, ws_tokens(text_col), name="word")
             .groupBy("word").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
@@ -87,8 +87,7 @@ def transform_queries(words: DataFrame, transforms=None, n_outputs: int = 5,
         outs = F.filter(fn(w, n_outputs), lambda x: x != w)
         if combine_with_word:
             outs = F.flatten(F.transform(outs, lambda t: combine(t, w)))
-        parts.append(words.select(F.lit(name).alias("transform"), "word",
-                                  F.explode(F.array_distinct(outs)).alias("query")))
+        parts.append(unnest(words, F.array_distinct(outs), F.lit(name).alias("transform"), "word", name="query"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -99,11 +98,11 @@ def transform_counts(corpus: DataFrame, words: DataFrame, transforms=None, n_out
                      combine_with_word: bool = False, **kw) -> DataFrame:
     """AGG4: ``(transform, word, query, n)``; queries are counted once overall.
 
-    The (transform, word, query) table is written once to the shared checkpoint
-    folder: it feeds both the count and the join back.
+    The words (read once a transform) and the (transform, word, query) table (read by the
+    count and the join back) are each written once to the shared checkpoint folder.
     """
     ensure_checkpoint_dir(corpus.sparkSession)
-    q = transform_queries(words, transforms, n_outputs, combine_with_word).checkpoint()
+    q = transform_queries(words.select("word").checkpoint(), transforms, n_outputs, combine_with_word).checkpoint()
     counts = occurrence_counts(corpus, q, **kw)
     return q.join(counts, "query", "left").select(
         "transform", "word", "query", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

@@ -6,6 +6,8 @@ a brute-force overlapping count over every start position.
 
 from __future__ import annotations
 
+import re
+
 from corpusprobe.plans.queries import CHAR_LOWER_BOUND, TILE_WORDS, WORD_LOWER_BOUND
 
 L = TILE_WORDS
@@ -164,14 +166,36 @@ WITH {WORD_TILES}
 SELECT task, prompt_id, scale, k, tile, score1, score2 FROM wtiles
 """
 
+# The search as the loop it is defined by, one row a step: halve the scale while no tile hits; a hit that is
+# no longer than the bound is a rump, and the prompt is cut to half its power of two.
+WORD_LOOP = PROMPTS + f""",
+steps(task, prompt_id, n_words, w, scale, rump, found) AS (
+  SELECT task, prompt_id, CAST(len(w) AS BIGINT), w, CAST(2 ** ceil(ln(len(w)) / ln(2)) AS BIGINT), false, CAST(NULL AS BIGINT)
+  FROM pw WHERE len(w) > 0
+  UNION ALL
+  SELECT task, prompt_id, n_words,
+         CASE WHEN best <= {_WB} THEN w[1 : CAST(2 ** ceil(ln(len(w)) / ln(2)) AS BIGINT) // 2] ELSE w END,
+         CASE WHEN best IS NULL THEN scale // 2 ELSE scale END,
+         rump OR coalesce(best <= {_WB}, false), CASE WHEN best > {_WB} THEN best END
+  FROM (SELECT t.task, t.prompt_id, t.n_words, t.w, t.scale, t.rump,
+               CAST(max(CASE WHEN NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, t.tile)) THEN NULL
+                             WHEN i = 0 THEN 2 * scale WHEN i + scale >= len(w) THEN 2 * (len(w) - i)
+                             ELSE 3 * scale END) AS BIGINT) AS best
+        FROM (SELECT *, array_to_string(w[i + 1 : i + scale], ' ') AS tile
+              FROM (SELECT *, unnest(range(0, len(w), scale)) AS i FROM steps WHERE found IS NULL AND scale >= {_WB})) t
+        GROUP BY t.task, t.prompt_id, t.n_words, t.w, t.scale, t.rump)),
+hl AS (SELECT pw.task, pw.prompt_id, CAST(len(pw.w) AS BIGINT) AS n_words, coalesce(max(s.found), {_WB}) AS longest,
+              coalesce(bool_or(s.rump), false) AS rump
+       FROM pw LEFT JOIN steps s ON s.task = pw.task AND s.prompt_id = pw.prompt_id GROUP BY pw.task, pw.prompt_id, pw.w)"""
+
 SQL["halving_words"] = f"""
-WITH {WORD_TILES}
-SELECT task, prompt_id, n_words, longest, rump, longest > {_WB} AS flagged FROM hw
+WITH RECURSIVE {WORD_LOOP}
+SELECT task, prompt_id, n_words, CAST(longest AS BIGINT) AS longest, rump, longest > {_WB} AS flagged FROM hl
 """
 
 SQL["halving_words_rump"] = f"""
-WITH {WORD_TILES}
-SELECT task, prompt_id, n_words, longest FROM hw WHERE rump
+WITH RECURSIVE {WORD_LOOP}
+SELECT task, prompt_id, n_words, CAST(longest AS BIGINT) AS longest FROM hl WHERE rump
 """
 
 SQL["halving_words_flagged"] = f"""
@@ -249,6 +273,12 @@ WITH {GRAMS}
 SELECT ngram, CAST(row_number() OVER (ORDER BY ngram) - 1 AS BIGINT) AS ngram_id
 FROM (SELECT DISTINCT ngram FROM grams)"""
 
+SQL["ngram_index_extended"] = f"""
+WITH {GRAMS},
+seen AS (SELECT g.ngram, bool_or(coalesce(d.lang = 'en', false)) AS early
+         FROM grams g JOIN documents d ON d.doc_id = g.doc_id GROUP BY g.ngram)
+SELECT ngram, CAST(row_number() OVER (ORDER BY early DESC, ngram) - 1 AS BIGINT) AS ngram_id FROM seen"""
+
 SQL["token_ids"] = f"WITH {TOKS} SELECT token, token_id FROM vocab"
 
 SQL["token_lines"] = f"""
@@ -280,7 +310,7 @@ SELECT q.query, CAST(coalesce(sum({_overlap('h.t', 'h.pq')}), 0) AS BIGINT) AS n
 FROM qs q LEFT JOIN h ON h.query = q.query GROUP BY q.query"""
 
 for _name, _base in (("prompt_is_contaminated_tokens", "prompt_is_contaminated"), ("halving_words_tokens", "halving_words")):
-    SQL[_name] = SQL[_base].replace("WITH ", f"WITH {_DJ}, ", 1).replace(
+    SQL[_name] = re.sub("WITH (RECURSIVE )?", lambda m: f"{m[0]}{_DJ}, ", SQL[_base], count=1).replace(
         "FROM documents d WHERE contains(d.text, t.tile)", "FROM dj d WHERE contains(d.t, ' ' || t.tile || ' ')")
 
 # ---------------------------------------------------------------- words and transforms
@@ -430,6 +460,25 @@ SELECT t.transform, CAST((SELECT count(*) FROM lines) AS BIGINT) AS lines, CAST(
 FROM (SELECT unnest(['common', 'reverse']) AS transform) t LEFT JOIN found f ON f.transform = t.transform
 GROUP BY t.transform"""
 
+# ---------------------------------------------------------------- failed lookups
+CHECKED = f"""
+raw AS (SELECT 'task_' || CAST(item_id % 4 AS VARCHAR) AS task, item_id AS prompt_id, encode(text)[1:60] AS raw FROM benchmark
+        UNION ALL SELECT role, conv_id, encode(text)[1:60] FROM conversations),
+ck AS (SELECT task, prompt_id, try(decode(raw)) AS text,
+              CASE WHEN raw IS NULL THEN 'null text' WHEN try(decode(raw)) IS NULL THEN 'invalid utf-8'
+                   WHEN octet_length(raw) = 0 THEN 'empty text' END AS error
+       FROM raw),
+cn AS (SELECT q.query, sum({_overlap('d.text', 'q.query')}) AS n
+       FROM (SELECT DISTINCT text AS query FROM ck WHERE error IS NULL) q JOIN documents d ON contains(d.text, q.query)
+       GROUP BY q.query),
+checked AS (SELECT ck.task, ck.prompt_id, CASE WHEN ck.error IS NULL THEN CAST(coalesce(cn.n, 0) AS BIGINT) END AS n, ck.error
+            FROM ck LEFT JOIN cn ON cn.query = ck.text)"""
+SQL["prompt_counts_checked"] = f"WITH {CHECKED} SELECT task, prompt_id, n, error FROM checked"
+SQL["lookup_report"] = f"""
+WITH {CHECKED}
+SELECT task, CAST(count(*) AS BIGINT) AS prompts, CAST(count(error) AS BIGINT) AS failed, CAST(coalesce(sum(n), 0) AS BIGINT) AS n
+FROM checked GROUP BY task"""
+
 # ---------------------------------------------------------------- MinHash and containment
 from corpusprobe.operators.minhash import PRIME, permutations  # noqa: E402
 
@@ -476,6 +525,50 @@ SELECT cx.qkey, cx.key, count(*) FILTER (WHERE qm.m = dm.m) / 128 AS jaccard_est
 FROM cx JOIN qmin qm ON qm.key = cx.qkey JOIN dmin dm ON dm.key = cx.key AND dm.i = qm.i
 GROUP BY cx.qkey, cx.key"""
 
+# The parts are cut by the same dynamic program, as a recursion over the number of parts (ties go to the
+# left cut), then walked back; a row of the index is a run of eight signature values in hex.
+LSH = f"""
+sz AS (SELECT key, CAST(count(*) AS BIGINT) AS size FROM dsh GROUP BY key),
+cells AS (SELECT CASE WHEN size < 64 THEN size ELSE size - size % (1::BIGINT << (length(bin(size)) - 6)) END AS cell, size FROM sz),
+h AS (SELECT row_number() OVER (ORDER BY cell) AS j, max(size) AS u, sum(count(*)) OVER (ORDER BY cell) AS n,
+             sum(sum(size)) OVER (ORDER BY cell) AS total FROM cells GROUP BY cell),
+cut(p, j, c, i) AS (
+  SELECT 1, j, (u * n - total) * 1000 // u, 0 FROM h
+  UNION ALL
+  SELECT p, j, best.c, best.i FROM (
+    SELECT x.p + 1 AS p, b.j, min({{'c': x.c + (b.u * (b.n - a.n) - (b.total - a.total)) * 1000 // b.u, 'i': a.j}}) AS best
+    FROM cut x JOIN h a ON a.j = x.j JOIN h b ON b.j > a.j WHERE x.p < 32 GROUP BY x.p, b.j)),
+ends(p, j) AS (
+  SELECT max(p), max(j) FROM cut
+  UNION ALL
+  SELECT e.p - 1, cut.i FROM ends e JOIN cut ON cut.p = e.p AND cut.j = e.j WHERE e.p > 1),
+bounds AS (SELECT e.p - 1 AS part, h.u AS hi, coalesce(lag(h.u) OVER (ORDER BY e.p), 0) AS lo FROM ends e JOIN h ON h.j = e.j),
+dx AS (SELECT key, i, printf('%08x', m) AS x FROM dmin),
+ix AS (SELECT CAST(b.part AS INTEGER) AS part, CAST(t.i AS INTEGER) AS tree, t.path, t.key
+       FROM (SELECT key, i, string_agg(x, '') OVER (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS path
+             FROM dx) t
+       JOIN sz ON sz.key = t.key JOIN bounds b ON sz.size > b.lo AND sz.size <= b.hi)"""
+
+SQL["lsh_ensemble_bands"] = f"WITH RECURSIVE {SETS}, {LSH} SELECT part, tree, path, key FROM ix"
+
+SQL["containment_lsh"] = f"""
+WITH RECURSIVE {SETS}, {LSH},
+qt AS (SELECT key AS qkey, i AS tree,
+              string_agg(printf('%08x', m), '') OVER (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS path
+       FROM qmin),
+ps AS (SELECT b.part, q.qkey, 0.8::DOUBLE / (b.hi / (1::BIGINT << (length(bin(q.q_size)) - 1)) + 1.0::DOUBLE - 0.8::DOUBLE) AS s
+       FROM bounds b JOIN qsz q ON b.hi >= 0.8::DOUBLE * (1::BIGINT << (length(bin(q.q_size)) - 1))),
+need AS (SELECT part, qkey, r, CASE WHEN s >= 1 THEN 1 ELSE ceil(ln(1 - 0.98::DOUBLE) / ln(1 - pow(s, r))) END AS trees
+         FROM ps, (SELECT unnest(range(1, 9)) AS r)),
+plan AS (SELECT part, qkey, coalesce(max(r) FILTER (WHERE trees <= 128 // r), 1) AS r,
+                coalesce(arg_max(trees, r) FILTER (WHERE trees <= 128 // r), 128) AS trees
+         FROM need GROUP BY part, qkey),
+cand AS (SELECT DISTINCT qt.qkey, ix.key
+         FROM ix JOIN qt ON qt.tree = ix.tree AND substr(qt.path, 1, 8) = substr(ix.path, 1, 8)
+         JOIN plan ON plan.part = ix.part AND plan.qkey = qt.qkey
+         WHERE ix.tree % r = 0 AND ix.tree < trees * r AND starts_with(ix.path, substr(qt.path, 1, 8 * r)))
+SELECT cx.qkey, cx.key, overlap, q_size, containment FROM cx JOIN cand ON cand.qkey = cx.qkey AND cand.key = cx.key"""
+
 # ---------------------------------------------------------------- prompt sets, tasks, embedding
 LISTED = "SELECT DISTINCT 'task_' || CAST(item_id % 12 AS VARCHAR) AS task FROM benchmark"
 AVAIL = """SELECT DISTINCT 'task_' || CAST(doc_id % 10 AS VARCHAR) AS task,

@@ -16,10 +16,14 @@ from corpusprobe.functions.text import let, power_log, ws_tokens
 from corpusprobe.operators import contamination as con
 from corpusprobe.functions.wordforms import TRANSFORMS
 from corpusprobe.operators import embed as em
+from corpusprobe.operators import lsa
+from corpusprobe.operators import lsh_ensemble as lsh
 from corpusprobe.operators import minhash as mh
 from corpusprobe.operators import natural as nat
 from corpusprobe.operators import ngrams as ng
 from corpusprobe.operators import probing as pr
+from corpusprobe.operators import sketches as sk
+from corpusprobe.operators import subwords as sw
 from corpusprobe.operators.occurrences import occurrence_counts
 from corpusprobe.sources import tasks as tk
 from corpusprobe.sources.prompts import benchmark_prompts, corpus, table
@@ -199,11 +203,48 @@ def q_ngram_cardinality(spark, d):
     return ng.ngram_cardinality(ng.distinct_ngrams(_lines(spark, d), NGRAM_N))
 
 
+@register("ngram_cardinality_sketches")
+def q_ngram_cardinality_sketches(spark, d):
+    # A sketch of each source, as parts of a corpus arrive, then their union.
+    parts = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    grams = ng.line_ngrams(_lines(spark, d), NGRAM_N).join(parts, "doc_id").select("source", "ngram")
+    stored = sk.sketch_values(grams, "ngram", "source")
+    every = sk.merge_sketches(stored).select(F.lit("*").alias("source"), "sketch")
+    return sk.sketched_cardinality(stored.unionByName(every), "n_ngrams")
+
+
+@register("ngram_index_extended")
+def q_ngram_index_extended(spark, d):
+    # The index of the English part of the corpus, kept up when all of it is there.
+    english = table(spark, d, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+    first = ng.ngram_index(ng.corpus_lines(english), NGRAM_N)
+    return ng.extend_index(first, ng.distinct_ngrams(_lines(spark, d), NGRAM_N), "ngram", "ngram_id")
+
+
 @register("ngram_index")
 def q_ngram_index(spark, d):
     return ng.ngram_index(_lines(spark, d), NGRAM_N)
 
 
+FIELD_BYTES = 60   # of a prompt field that cuts its text at bytes, now and then inside a character
+
+
+def _cut_prompts(spark, d):
+    texts = benchmark_prompts(spark, d).unionByName(table(spark, d, "conversations").select(
+        F.col("role").alias("task"), F.col("conv_id").alias("prompt_id"), "text"))
+    return texts.select("task", "prompt_id", F.substring(F.encode("text", "UTF-8"), 1, FIELD_BYTES).alias("raw"))
+
+
+@register("prompt_counts_checked")
+def q_prompt_counts_checked(spark, d):
+    return con.prompt_counts_checked(_cut_prompts(spark, d), corpus(spark, d), "raw")
+
+
+@register("lookup_report")
+def q_lookup_report(spark, d):
+    return con.lookup_report(con.prompt_counts_checked(_cut_prompts(spark, d), corpus(spark, d), "raw"))
+
+
 @register("token_ids")
 def q_token_ids(spark, d):
     return ng.vocabulary(corpus(spark, d))
@@ -231,6 +272,41 @@ def q_count_occurrences_vocabulary(spark, d):
     return ng.token_occurrence_counts(ng.token_ids(c, vocab), ng.encode_queries(tiles, vocab, "tile"))
 
 
+#: Published subword vocabulary of the subword queries, unless the session names another one.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _vocabulary(spark):
+    return sw.read_vocabulary(spark, spark.conf.get("spark.corpusprobe.vocabulary", VOCABULARY))
+
+
+@register("subword_token_ids")
+def q_subword_token_ids(spark, d):
+    return sw.subword_ids(corpus(spark, d), _vocabulary(spark))
+
+
+@register("subword_token_lines")
+def q_subword_token_lines(spark, d):
+    return ng.token_lines(sw.subword_ids(corpus(spark, d), _vocabulary(spark)))
+
+
+@register("subword_queries")
+def q_subword_queries(spark, d):
+    tiles = con.word_tiles(benchmark_prompts(spark, d), TILE_WORDS)
+    ids = sw.subword_queries(tiles, _vocabulary(spark), "tile")
+    return ids.select("query", "ids", F.hex(sw.packed_ids("ids")).alias("packed"))
+
+
+@register("count_occurrences_subwords")
+def q_count_occurrences_subwords(spark, d):
+    # As an index of token ids counts: a tile is found where its own ids stand, so after a space only if it has one.
+    vocabulary = _vocabulary(spark)
+    tiles = con.word_tiles(benchmark_prompts(spark, d), TILE_WORDS).select("tile")
+    spaced = tiles.unionByName(tiles.select(F.concat(F.lit(" "), "tile").alias("tile")))
+    return ng.token_occurrence_counts(sw.subword_ids(corpus(spark, d), vocabulary),
+                                      sw.subword_queries(spaced, vocabulary, "tile"))
+
+
 @register("prompt_is_contaminated_tokens")
 def q_prompt_is_contaminated_tokens(spark, d):
     flags = con.fixed_length_search(benchmark_prompts(spark, d), corpus(spark, d), TILE_WORDS, tokens=True)
@@ -382,9 +458,13 @@ def _prompt_sets(spark, d):
     return mh.shingle_sets(table(spark, d, "benchmark"), "item_id", "text", SHINGLE_N)
 
 
+def _doc_rows(spark, d):
+    return lsh.set_rows(corpus(spark, d), "doc_id", "text", SHINGLE_N)
+
+
 @register("minhash_signatures")
 def q_minhash_signatures(spark, d):
-    sig = mh.minhash_signatures(_doc_sets(spark, d))
+    sig = lsh.set_signatures(_doc_rows(spark, d))
     return sig.select("key", "size", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",")
                       .alias("sig"))
 
@@ -396,18 +476,19 @@ def q_containment_exact(spark, d):
 
 @register("containment_lsh")
 def q_containment_lsh(spark, d):
-    return mh.containment_lsh(_prompt_sets(spark, d), _doc_sets(spark, d), CONTAINMENT)
+    prompts = lsh.text_sets(table(spark, d, "benchmark"), "item_id", "text", SHINGLE_N)
+    return lsh.containment_lsh(prompts, lsh.text_sets(corpus(spark, d), "doc_id", "text", SHINGLE_N), CONTAINMENT)
 
 
 @register("lsh_ensemble_bands")
 def q_lsh_ensemble_bands(spark, d):
-    return mh.build_lsh_index(_doc_sets(spark, d))[1]
+    return lsh.build_lsh_index(_doc_rows(spark, d))[1]
 
 
 @register("index_membership")
 def q_index_membership(spark, d):
     keys = table(spark, d, "labels").select(F.col("doc_id").alias("key"))
-    return mh.index_membership(keys, _doc_sets(spark, d))
+    return mh.index_membership(keys, lsh.indexed_keys(corpus(spark, d), "doc_id", "text", SHINGLE_N))
 
 
 @register("minhash_estimate")
@@ -499,6 +580,12 @@ def q_embed_documents(spark, d):
     return em.embed_text(corpus(spark, d)).select("doc_id", "embedding")
 
 
+@register("embed_documents_lsa")
+def q_embed_documents_lsa(spark, d):
+    c = corpus(spark, d)
+    return em.embed_text(c, encoder=lsa.lsa_encoder(lsa.fit_lsa(c))).select("doc_id", "embedding")
+
+
 @register("embed_subset")
 def q_embed_subset(spark, d):
     return em.embed_text(em.seeded_subset(corpus(spark, d), SUBSET)).select("doc_id", "embedding")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusprobe.sources.corpus import located_lines
+
 SUPPORTED = ("json", "txt")
 PROMPT_SCHEMA = "task string, prompt_id bigint, text string"
 
@@ -51,13 +53,11 @@ def read_prompt_folder(spark: SparkSession, folder: str, strip_newline: bool = T
             .where(F.col("arr").isNotNull())
             .select("file", F.posexplode("arr").alias("prompt_id", "text")))
     if "txt" in exts:
-        raw = spark.read.text(f"{base}/*.txt", wholetext=True)
-        # Lines with their terminator, the last one may have none.
-        lines = F.filter(F.split(F.col("value"), "(?<=\n)"), lambda x: x != F.lit(""))
-        parts.append(
-            raw.select(F.col("_metadata.file_name").alias("file"), lines.alias("arr"))
-            .select("file", F.posexplode("arr").alias("prompt_id", "text"))
-            .withColumn("text", F.regexp_replace("text", "\n$", "") if strip_newline else F.col("text")))
+        # Line by line, so that a long file is many tasks; the last line may have no terminator.
+        lines = located_lines(spark, f"{base}/*.txt")
+        text = F.col("line") if strip_newline else F.concat("line", F.when(F.col("terminated"), F.lit("\n")).otherwise(F.lit("")))
+        parts.append(lines.select(F.url_decode(F.element_at(F.split("file", "/"), -1)).alias("file"),
+                                  F.col("line_no").alias("prompt_id"), text.alias("text")))
     if not parts:
         raise FileNotFoundError(f"no prompt files in {folder}; written prompt tables are read by written_prompts")
     out = parts[0]

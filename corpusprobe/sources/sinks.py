@@ -16,11 +16,13 @@ def _dynamic(df: DataFrame):
 def write_prompts(prompts: DataFrame, path: str, tasks: DataFrame | None = None) -> None:
     """SNK1: prompts of each task and split, partitioned by both.
 
-    Tasks of ``tasks(task, split)`` without any prompt get one row of nulls, so
-    that they count as finished. ``prompts.written_prompts`` reads it back.
+    Splits of ``tasks(task, split)`` without any prompt get one row of nulls, so
+    that they count as finished, also beside another split of the same task.
+    ``prompts.written_prompts`` reads it back.
     """
     if tasks is not None:
-        empty = (tasks.select("task", "split").distinct().join(prompts.select("task").distinct(), "task", "left_anti")
+        empty = (tasks.select("task", "split").distinct()
+                 .join(prompts.select("task", "split").distinct(), ["task", "split"], "left_anti")
                  .select("task", "split", F.lit(None).cast("bigint").alias("prompt_id"), F.lit(None).cast("string").alias("text")))
         prompts = prompts.select("task", "split", "prompt_id", "text").unionByName(empty)
     _dynamic(prompts).partitionBy("task", "split").json(path)

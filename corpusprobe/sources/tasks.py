@@ -108,16 +108,32 @@ def available_splits(spark: SparkSession, cache_root: str) -> DataFrame:
     return spark.createDataFrame(rows, "task string, split string")
 
 
-def load_dataset(spark: SparkSession, name: str | None = None, path: str | None = None,
-                 fmt: str = "json") -> DataFrame:
-    """SRC13: a table by name, or files by path and format; exactly one of them."""
-    if name is not None:
-        if path is not None:
-            raise ValueError("load_dataset takes a table name or a path, not the two together")
-        return spark.table(name)
+def load_dataset(spark: SparkSession, name: str | None = None, config: str | None = None, *, split: str | None = None,
+                 path: str | None = None, fmt: str = "json", root: str | None = None) -> DataFrame:
+    """SRC13: a dataset by name, and optionally its configuration and split, or files by path; exactly one of them.
+
+    With ``root``, the dataset ``name`` is a folder of data files,
+    ``root/name[/config]/split*``. Without, it is a table of the catalog, whose columns
+    ``config`` and ``split`` (partitions, usually) are filtered and dropped.
+    """
+    if (name is None) == (path is None):
+        if name is not None:
+            raise ValueError("load_dataset takes a name or a path, not the two together")
+        raise NotImplementedError("load_dataset needs a name or a path")
     if path is not None:
-        return spark.read.format(fmt).load(path)
-    raise NotImplementedError("load_dataset needs a table name or a path")
+        if config is not None:
+            raise ValueError("a path has no configuration")
+        return spark.read.format(fmt).load(path if split is None else f"{path.rstrip('/')}/{split}*")
+    if root is not None:
+        folder = "/".join([root.rstrip("/"), name, *([config] if config else [])])
+        return spark.read.format(fmt).load(folder if split is None else f"{folder}/{split}*")
+    rows = spark.table(name)
+    for column, wanted in (("config", config), ("split", split)):
+        if wanted is not None:
+            if column not in rows.columns:
+                raise ValueError(f"table {name} has no column {column}")
+            rows = rows.where(F.col(column) == wanted).drop(column)
+    return rows
 
 
 __all__ = ["schema_from_info", "load_cached_task", "decode_inputs", "split_fallback",

@@ -90,3 +90,18 @@ def test_min_words_option(spark):
     assert got == {0: True, 1: True}
     got = {r["prompt_id"]: r["flagged"] for r in con.fixed_length_search(p, c, 8, min_words=3).collect()}
     assert got == {0: False, 1: True}
+
+
+def test_failed_lookups_are_kept_and_counted(spark):
+    rows = [("a", 0, b"x y"), ("a", 1, None), ("a", 2, b""), ("b", 3, b"caf\xc3"), ("b", 4, "café".encode()), ("b", 5, b"z" * 50),
+            ("c", 6, b"\xff\xfe"), ("a", 7, b"nowhere")]
+    prompts = spark.createDataFrame(rows, "task string, prompt_id bigint, raw binary")
+    corpus = spark.createDataFrame([(1, "x y x y café"), (2, None)], "doc_id bigint, text string")
+    checked = con.prompt_counts_checked(prompts, corpus, "raw", max_chars=20)
+    got = {r["prompt_id"]: (r["n"], r["error"]) for r in checked.collect()}
+    assert got == {0: (2, None), 1: (None, "null text"), 2: (None, "empty text"), 3: (None, "invalid utf-8"), 4: (1, None),
+                   5: (None, "too long"), 6: (None, "invalid utf-8"), 7: (0, None)}
+    report = {r["task"]: (r["prompts"], r["failed"], r["n"]) for r in con.lookup_report(checked).collect()}
+    assert report == {"a": (4, 2, 2), "b": (3, 2, 1), "c": (1, 1, 0)}
+    strings = prompts.select("task", "prompt_id", prompts.raw.cast("string").alias("text"))
+    assert {r["prompt_id"]: r["error"] for r in con.prompt_counts_checked(strings, corpus).collect()}[6] == "invalid utf-8"

@@ -1,9 +1,15 @@
 import random
+import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from corpusprobe.operators import lsa
 from corpusprobe.operators import minhash as mh
 from corpusprobe.operators import natural as nat
 from corpusprobe.operators import ngrams as ng
 from corpusprobe.operators import embed as em
+from corpusprobe.operators import sketches as sk
 from naive import natural_count
 
 
@@ -53,6 +59,12 @@ def test_natural_prompt_golden(spark):
     assert [got[i] for i in range(4)] == [1, 1, 0, 0]
 
 
+def natural_list_count(line, pairs):
+    pat = "|".join(rf"(^|\W+){re.escape(a)}\W+{re.escape(b)}($|\W+)|(^|\W+){re.escape(b)}\W+{re.escape(a)}($|\W+)"
+                   for a, b in pairs)
+    return len(re.findall(pat, line)) if pairs else 0
+
+
 def test_natural_prefilter_path(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(150)]
@@ -64,10 +76,7 @@ def test_natural_prefilter_path(spark):
     lines = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)],
                                   "doc_id bigint, line_no bigint, line string")
     got = {r["line_no"]: r["n"] for r in nat.natural_prompt_counts(lines, {"r": pairs}).collect()}
-    import re
-    pat = "|".join(rf"(^|\W+){re.escape(a)}\W+{re.escape(b)}($|\W+)|(^|\W+){re.escape(b)}\W+{re.escape(a)}($|\W+)"
-                   for a, b in pairs)
-    want = {i: len(re.findall(pat, t)) for i, t in enumerate(texts)}
+    want = {i: natural_list_count(t, pairs) for i, t in enumerate(texts)}
     assert got == {i: n for i, n in want.items() if n > 0}
 
 
@@ -97,24 +106,6 @@ def test_containment_golden_and_exact(spark):
     assert got == {(1, 10): 0.8, (1, 12): 1.0}
 
 
-def test_lsh_recall_against_exact(spark):
-    rng = random.Random(11)
-    universe = [f"s{i}" for i in range(3000)]
-    index = {}
-    queries = {}
-    for k in range(120):
-        base = rng.sample(universe, rng.randint(20, 200))
-        index[k] = base
-        if k % 3 == 0:
-            keep = base[: max(1, int(len(base) * rng.uniform(0.5, 1.0)))]
-            queries[1000 + k] = keep[: rng.randint(5, len(keep))]
-    q, x = _sets(spark, queries), _sets(spark, index)
-    exact = {(r["qkey"], r["key"]) for r in mh.containment_exact(q, x, 0.8).collect()}
-    lsh = {(r["qkey"], r["key"]) for r in mh.containment_lsh(q, x, 0.8, num_part=8).collect()}
-    assert lsh <= exact
-    assert len(exact) > 10 and len(lsh) >= 0.8 * len(exact)
-
-
 def test_minhash_estimate_tracks_jaccard(spark):
     a = [f"t{i}" for i in range(400)]
     b = a[:200] + [f"u{i}" for i in range(200)]
@@ -134,9 +125,12 @@ def test_embedding_keeps_columns_and_normalises(spark):
 
 def test_seeded_subset_is_stable(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
-    a = [r["doc_id"] for r in em.seeded_subset(df, 10).collect()]
-    b = [r["doc_id"] for r in em.seeded_subset(df.repartition(5), 10).collect()]
-    assert a == b and len(a) == 10
+    first = [r["doc_id"] for r in df.orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("1066")))).collect()]
+    for n in (0, 1, 10, 100, 199, 200, 300):
+        for frame in (df, df.repartition(5)):
+            assert sorted(r["doc_id"] for r in em.seeded_subset(frame, n).collect()) == sorted(first[:n])
+    odd = spark.createDataFrame([(None,)] * 5 + [(7,)] * 50 + [(i,) for i in range(20)], "doc_id bigint")
+    assert [em.seeded_subset(odd, n).count() for n in (1, 30, 60, 75, 80)] == [1, 30, 60, 75, 75]
 
 
 def test_predict_batch_encoder(spark):
@@ -149,3 +143,94 @@ def test_predict_batch_encoder(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "hello")], "doc_id bigint, text string")
     out = {r["doc_id"]: r["embedding"] for r in em.embed_with_model(df, make, dim=4, batch_size=1).collect()}
     assert out == {1: [3.0] * 4, 2: [5.0] * 4}
+
+
+def test_index_is_extended_without_moving_ids(spark):
+    rng = random.Random(3)
+    first = sorted({str(rng.randrange(5000)) for _ in range(300)})
+    more = [str(rng.randrange(5000)) for _ in range(600)] + [None]
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "v string")
+    start = ng.dense_index(frame(first), "v")
+    assert sorted((r["id"], r["v"]) for r in start.collect()) == list(enumerate(first))
+    rows = ng.RANGE_ROWS
+    try:
+        ng.RANGE_ROWS = 50  # several ranges
+        got = {r["v"]: r["id"] for r in ng.extend_index(start, frame(more), "v").collect()}
+    finally:
+        ng.RANGE_ROWS = rows
+    new = sorted(set(more) - set(first) - {None})
+    assert [got[v] for v in first + new] == list(range(len(first) + len(new))) and len(got) == len(first) + len(new)
+    assert ng.extend_index(start, frame(first), "v").count() == len(first)
+    empty = ng.dense_index(frame([]), "v")
+    assert empty.count() == 0 and ng.extend_index(empty, frame(["b", "a"]), "v").orderBy("id").first()["v"] == "a"
+
+
+def test_ranges_follow_the_rows_not_the_session(spark):
+    values = spark.range(3000).selectExpr("cast(id AS string) AS v")
+    rows = ng.RANGE_ROWS
+    try:
+        ng.RANGE_ROWS = 500
+        assert ng.dense_index(values, "v").rdd.getNumPartitions() == 6
+    finally:
+        ng.RANGE_ROWS = rows
+
+
+def test_united_sketches_equal_the_sketch_of_all(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(f"p{i % 7}", f"g{rng.randrange(40_000)}") for i in range(60_000)], "part string, v string")
+    exact = rows.select("v").distinct().count()
+    early, late = rows.where("part < 'p4'"), rows.where("part >= 'p3'")  # p3 comes twice
+    stored = sk.add_part(sk.sketch_values(early, "v", "part"), late, "v", "part")
+    assert stored.count() == 7
+    united = sk.sketched_cardinality(sk.merge_sketches(stored)).first()["n"]
+    whole = sk.sketched_cardinality(sk.merge_sketches(sk.sketch_values(rows, "v"))).first()["n"]
+    assert united == whole and abs(united - exact) < 4 * sk.ERROR / 2 ** (sk.LG_K / 2) * exact
+
+
+def test_lsa_against_full_factorisation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = lsa.fit_lsa(docs, dim=16, buckets=512)
+    rows = em.embed_text(docs, encoder=lsa.lsa_encoder(model)).orderBy("doc_id").collect()
+    got = np.array([r["embedding"] for r in rows])
+    buckets = [np.array(r["b"], dtype=np.int64) for r in
+               docs.select("doc_id", em.token_buckets("text", 512).alias("b")).orderBy("doc_id").collect()]
+    counts = np.array([np.bincount(b, minlength=512) for b in buckets], dtype=float)
+    some = counts.sum(axis=1) > 0
+    idf = np.log((1 + some.sum()) / (1 + (counts > 0).sum(axis=0))) + 1
+    a = counts * idf
+    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+    _, singular, right = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(model.weights, idf) and np.abs(model.singular / singular[:16] - 1).max() < 0.01
+    want = a @ right[:16].T
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-300)
+    # Nearest neighbours agree, but for ties of copies: compare their similarities.
+    near, true = (np.sort(x @ x.T - 2 * np.eye(len(x)), axis=1)[some, -5:] for x in (got, want))
+    assert np.abs(near - true).mean() < 0.01
+    same = ((got @ got.T > 0.8) == (want @ want.T > 0.8))[np.ix_(some, some)].mean()
+    assert same > 0.98
+
+
+def test_lsa_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "c " * 5000), (None, "a b a")], "doc_id bigint, text string")
+    model = lsa.fit_lsa(docs, dim=4, buckets=32, extra=4)
+    out = {r["doc_id"]: r["embedding"] for r in em.embed_text(docs.withColumn("other", F.lit(1)), encoder=lsa.lsa_encoder(model)).collect()}
+    assert out[2] == out[3] == [0.0] * 4 and out[1] == out[None] and abs(sum(x * x for x in out[1]) - 1) < 1e-5
+    assert em.embed_text(docs.limit(0), encoder=lsa.lsa_encoder(lsa.fit_lsa(docs.limit(0), dim=4, buckets=32))).count() == 0
+
+
+def test_pair_bitmap_keeps_all_matches(spark):
+    """Many pairs, several bitmaps, both joins: the same counts as the plain pattern."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(200)] + ["x-y", "é", "a.b.c"]
+    text = [(0, i, rng.choice([" ", ", ", " - "]).join(rng.choices(vocabulary, k=12))) for i in range(150)]
+    lines = spark.createDataFrame(text, "doc_id bigint, line_no bigint, line string")
+    pairs = {"p": [tuple(rng.sample(vocabulary, 2)) for _ in range(4500)], "q": [("w1", "--"), ("x-y", "é")]}
+    want = {}
+    for _, i, line in text:
+        for name, listed in pairs.items():
+            n = natural_list_count(line, [x for x in listed if x[0] in line and x[1] in line])
+            if n:
+                want[i, name] = n
+    for limit in (nat.BROADCAST_BYTES, 0):
+        got = {(r["line_no"], r["transform"]): r["n"] for r in nat.natural_prompt_counts(lines, pairs, broadcast_bytes=limit).collect()}
+        assert got == want and len(want) > 100

@@ -1,4 +1,5 @@
 import json
+import random
 import os
 
 import pytest
@@ -91,7 +92,7 @@ def test_jsonl_lines_and_word_list(spark, tmp_dir):
     open(p, "w").write('{"text": "a b", "url": "x"}\n{"text": "c", "url": "y"}\n')
     assert sorted(r["text"] for r in read_jsonl_corpus(spark, p).collect()) == ["a b", "c"]
     lines = read_corpus_lines(spark, p).collect()
-    assert len(lines) == 2 and len({r["line_no"] for r in lines}) == 2
+    assert sorted(r["line_no"] for r in lines) == [0, 1]
     w = os.path.join(tmp_dir, "words.json")
     json.dump(["alpha", "beta"], open(w, "w"))
     assert [(r["idx"], r["word"]) for r in read_word_list(spark, w).collect()] == [(0, "alpha"), (1, "beta")]
@@ -159,3 +160,72 @@ def test_frequency_list_file_and_test_words(spark, tmp_dir):
     assert [(r["rank"], r["word"]) for r in freq.orderBy("rank").collect()] == list(enumerate(words))
     tw = test_words(freq, limit=3)
     assert [(r["idx"], r["word"]) for r in tw.orderBy("idx").collect()] == [(0, "house"), (1, "garden"), (2, "window")]
+
+
+def test_line_keys_do_not_depend_on_splits(spark, tmp_dir):
+    from corpusprobe.sources.corpus import located_lines, read_corpus_lines, read_jsonl_corpus
+    rng = random.Random(2)
+    texts = {"a b.txt": [], "c.txt": ["", "x", ""], "d.txt": ["only"], "e.txt": ["y" * 9000, "z"]}
+    texts["a b.txt"] = ["é" * rng.randrange(0, 90) + rng.choice(["", "\r"]) for _ in range(700)]
+    want = {}
+    position = 0
+    for name, lines in sorted(texts.items()):
+        ended = name != "d.txt"
+        open(os.path.join(tmp_dir, name), "w", newline="").write("\n".join(lines) + ("\n" if ended else ""))
+        for i, line in enumerate(lines):
+            want[position] = (name, i, ended or i + 1 < len(lines), line.removesuffix("\r"))
+            position += len(line.encode()) + 1
+    keys = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"
+    kept = [spark.conf.get(k, None) for k in keys]
+    try:
+        for size, few in (("1m", "1"), ("500b", "40"), ("77b", "1000")):
+            for key, value in zip(keys, (size, "0b", few), strict=True):
+                spark.conf.set(key, value)
+            rows = located_lines(spark, f"{tmp_dir}/*.txt").collect()
+            got = {r["position"]: (os.path.basename(r["file"]).replace("%20", " "), r["line_no"], r["terminated"], r["line"]) for r in rows}
+            assert len(rows) == len(want) and got == want
+            assert len({(r["doc_id"], r["line_no"]) for r in read_corpus_lines(spark, f"{tmp_dir}/*.txt").collect()}) == len(want)
+            open(os.path.join(tmp_dir, "c.jsonl"), "w").write("".join(json.dumps({"text": f"t{i}", "u": 1}) + "\n" for i in range(60)) + "no json\n\n")
+            docs = [tuple(r) for r in read_jsonl_corpus(spark, f"{tmp_dir}/c.jsonl").orderBy("doc_id").collect()]
+            assert [t for _, t in docs] == [f"t{i}" for i in range(60)] + [None]
+            assert docs[:2] == [(0, "t0"), (len('{"text": "t0", "u": 1}') + 1, "t1")]
+    finally:
+        for key, value in zip(keys, kept, strict=True):
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_text_prompts_are_read_line_by_line(spark, tmp_dir):
+    from corpusprobe.sources.prompts import read_prompt_folder
+    open(os.path.join(tmp_dir, "my task.txt"), "w").write("one\n\ntwo \nlast")
+    open(os.path.join(tmp_dir, "empty.txt"), "w").write("")
+    rows = [tuple(r) for r in read_prompt_folder(spark, tmp_dir).orderBy("prompt_id").collect()]
+    assert rows == [("my task.txt", 0, "one"), ("my task.txt", 1, ""), ("my task.txt", 2, "two "), ("my task.txt", 3, "last")]
+    kept = [r["text"] for r in read_prompt_folder(spark, tmp_dir, strip_newline=False).orderBy("prompt_id").collect()]
+    assert kept == ["one\n", "\n", "two \n", "last"]
+
+
+def test_every_split_without_prompts_counts_as_finished(spark, tmp_dir):
+    from corpusprobe.sources import prompts as pr
+    out = os.path.join(tmp_dir, "p")
+    found = spark.createDataFrame([("a", "test", 0, "p")], pr.WRITTEN_SCHEMA)
+    sinks.write_prompts(found, out, spark.createDataFrame([("a", "test"), ("a", "train"), ("b", "test")], "task string, split string"))
+    assert sorted((r["task"], r["split"], r["prompt_id"]) for r in pr.written_prompts(spark, out).collect()) == [
+        ("a", "test", 0), ("a", "train", None), ("b", "test", None)]
+
+
+def test_dataset_by_name_config_and_split(spark, tmp_dir):
+    for config, split, text in (("en", "train", "a"), ("en", "test", "b"), ("de", "test", "c")):
+        os.makedirs(os.path.join(tmp_dir, "web", config), exist_ok=True)
+        open(os.path.join(tmp_dir, "web", config, f"{split}-00000.json"), "w").write(json.dumps({"text": text}) + "\n")
+    load = lambda **kw: sorted(r["text"] for r in tk.load_dataset(spark, "web", root=tmp_dir, **kw).collect())
+    assert load(config="en") == ["a", "b"] and load(config="en", split="test") == ["b"] and load(config="de", split="test") == ["c"]
+    by_path = os.path.join(tmp_dir, "web", "en")
+    assert [r["text"] for r in tk.load_dataset(spark, path=by_path, split="train").collect()] == ["a"]
+    spark.createDataFrame([("x", "en", "test"), ("y", "de", "test")], "text string, config string, split string"
+                          ).createOrReplaceTempView("web_table")
+    assert [tuple(r) for r in tk.load_dataset(spark, "web_table", "en", split="test").collect()] == [("x",)]
+    with pytest.raises(ValueError):
+        tk.load_dataset(spark, "web_table", "en", split="test", path="p")
+    spark.createDataFrame([("x",)], "text string").createOrReplaceTempView("plain_table")
+    with pytest.raises(ValueError):
+        tk.load_dataset(spark, "plain_table", split="test")
