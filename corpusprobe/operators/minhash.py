@@ -26,7 +26,7 @@ from corpusprobe.session import ensure_checkpoint_dir
 PRIME = (1 << 31) - 1
 NUM_PERM = 128
 SEED = 1
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def permutations(num_perm: int = NUM_PERM, seed: int = SEED) -> list[tuple[int, int]]:

@@ -49,7 +49,7 @@ ANCHOR_WORDS = 6   # max inner tokens per anchor chunk (k >= 3)
 GRAM_CHARS = 4     # characters of a gram inside one token (k = 1)
 EDGE_CHARS = 3     # anchor chars on each side of the space (k = 2, few inner pieces)
 FEW_INNER = 2      # up to so many inner pieces, edge characters join the key
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
 ROW_BYTES = 192    # a row's fixed fields, string padding and hash-table entry
 
 
@@ -209,8 +209,8 @@ def _branch_two(table, toks, classes, keys, bcast) -> DataFrame:
 def chunk_queries(q: DataFrame, tokens: bool = False) -> DataFrame:
     """Inner pieces cut into equal-size anchor chunks, one row per chunk.
 
-    Output: qid, nch, j, off, s, a, b, first, key, head, tail. ``head`` (P1) is
-    on the first chunk only and ``tail`` (Pk) on the last; ``a`` and ``b`` are
+    Output: qid, nch, j, off, s, a, b, first, second, key, head, tail. ``first``
+    and ``second`` are the chunk's first tokens, ``head`` (P1) is on the first chunk only and ``tail`` (Pk) on the last; ``a`` and ``b`` are
     the characters of them in the key.
     """
     c = ANCHOR_WORDS
@@ -239,6 +239,7 @@ def chunk_queries(q: DataFrame, tokens: bool = False) -> DataFrame:
                                         F.expr("left(tail, b)"))
     return rows.select(
         "qid", "nch", "j", "off", "s", "a", "b", F.element_at("inner", F.col("off") + 1).alias("first"),
+        F.when(F.col("s") > 1, F.element_at("inner", F.col("off") + 2)).alias("second"),
         key.alias("key"), F.when(F.col("j") == 0, F.col("head")).alias("head"),
         F.when(F.col("j") == F.col("nch") - 1, F.col("tail")).alias("tail"))
 
@@ -247,14 +248,17 @@ def token_windows(toks: DataFrame, classes: list[tuple[int, int, int]], tokens:
                   firsts: DataFrame | None = None) -> DataFrame:
     """Every window of the classes' sizes, keyed as in :func:`chunk_queries`.
 
-    ``firsts`` (a broadcast set of tokens, column ``tok``) keeps only positions
-    whose token can start an anchor, before any window string is built.
+    ``firsts`` (a broadcast set, columns ``tok`` and, for classes of two tokens and more,
+    ``second``) keeps only positions whose tokens can start an anchor, before any
+    window string is built.
     Output: doc_id, p (0-based start), s, a, b, key [, prev, nxt].
     """
     n = F.size("toks")
     pos = unnest(toks, "toks", "doc_id", "toks", name="tok", at="p")
     if firsts is not None:
-        pos = pos.join(firsts, "tok", "left_semi")
+        if "second" in firsts.columns:
+            pos = pos.withColumn("second", F.get("toks", F.col("p") + 1))
+        pos = pos.join(firsts, firsts.columns, "left_semi")
     kinds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(a).alias("a"), F.lit(b).alias("b"))
                       for s, a, b in classes])
     w = (pos.select("doc_id", "toks", "p", F.explode(kinds).alias("c"))
@@ -293,13 +297,21 @@ def match_chunks(windows: DataFrame, chunks: DataFrame, several: bool, tokens: b
 
 
 def _branch_many(chunks, toks, plan, keys, bcast, tokens) -> DataFrame:
-    firsts = None
+    found = F.broadcast(chunks.drop("first", "second")) if bcast else chunks.drop("first", "second")
     if bcast:
-        # The first tokens are columns of the chunk table: the same size bound.
-        firsts = F.broadcast(chunks.select(F.col("first").alias("tok")).distinct())
-    chunks = chunks.drop("first")
-    occ = match_chunks(token_windows(toks, plan.many, tokens, firsts),
-                       F.broadcast(chunks) if bcast else chunks, plan.chunks > 1, tokens)
+        # The first tokens are columns of the chunk table: the same size bound. A pair of
+        # them is rare where a single one may be on every line.
+        windows = None
+        for columns, classes in ((["tok"], [c for c in plan.many if c[0] == 1]),
+                                 (["tok", "second"], [c for c in plan.many if c[0] > 1])):
+            if classes:
+                firsts = (chunks.where(F.col("s") == 1 if len(columns) == 1 else F.col("s") > 1)
+                          .select(F.col("first").alias("tok"), "second").select(*columns).distinct())
+                some = token_windows(toks, classes, tokens, F.broadcast(firsts))
+                windows = some if windows is None else windows.unionByName(some)
+    else:
+        windows = token_windows(toks, plan.many, tokens)
+    occ = match_chunks(windows, found, plan.chunks > 1, tokens)
     return occ.groupBy("qid", *keys).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -16,8 +16,11 @@ def get_spark(master: str | None = None, app: str = "corpusprobe",
 
     Only what is unset is set, so spark-submit's master, memory, partitions
     and split size hold; without any master it runs locally, on ``BENCH_CPUS``
-    cores with as many shuffle partitions.
+    cores with as many shuffle partitions. ``driver_memory`` counts if this starts
+    the JVM, whose heap can't be changed later.
     """
+    if SparkContext._gateway is None and "PYSPARK_SUBMIT_ARGS" not in os.environ:
+        os.environ["PYSPARK_SUBMIT_ARGS"] = f"--driver-memory {driver_memory} pyspark-shell"
     SparkContext._ensure_initialized()  # makes spark-submit's settings visible below
     given = SparkConf()
     cpus = os.environ.get("BENCH_CPUS", "8")
