@@ -333,34 +333,6 @@ def test_base_language_model_and_normalisation(spark):
     assert rows[0]["bits_per_byte"] < 8
 
 
-def test_bits_of_a_byte_share_one_unit_of_probability():
-    table = np.random.default_rng(0).integers(0, 50, (2, context_mixing.SLOTS)).astype(np.float32)
-    weights = np.full((context_mixing.GATES, context_mixing.ORDERS), 0.3)
-    refined = np.full(256 * context_mixing.MAP_CELLS, 0.4)
-    ends = [bytes([b]) for b in range(256) if bytes([b]) != context_mixing.END]
-    # First byte of a word: over all 256 values the probabilities sum to 1.
-    total = 0.0
-    for w in [*ends, context_mixing.END]:
-        for unit, bit, slots, gate, node in context_mixing.bit_contexts([w], np.zeros(1, dtype=np.int64)):
-            x, g = context_mixing.inputs(table, slots[:, :8], gate[:8])
-            mixed = (weights[g].T * x).sum(axis=0)
-            p = (context_mixing.squash(mixed) + refined[context_mixing.refine_cell(node[:8], mixed)]) / 2
-            total += float(np.prod(np.where(bit[:8] == 1, p, 1 - p)))
-    assert math.isclose(total, 1.0, rel_tol=1e-6)
-
-
-def test_rare_words_come_by_the_join(spark):
-    docs = spark.createDataFrame([(i, f"a b c{i % 7} d{i}") for i in range(60)], "doc_id long, text string")
-    want = {r["doc_id"]: (r["base_score"], r["n_known"]) for r in context_mixing.lm_scores(docs).collect()}
-    old = context_mixing.TOP_WORDS
-    try:
-        context_mixing.TOP_WORDS = 2
-        got = {r["doc_id"]: (r["base_score"], r["n_known"]) for r in context_mixing.lm_scores(docs).collect()}
-    finally:
-        context_mixing.TOP_WORDS = old
-    assert all(math.isclose(got[i][0], want[i][0]) and got[i][1] == want[i][1] for i in want)
-
-
 def test_quality_classifier_on_held_out_labels(spark):
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality_classifier.quality_scores(docs, marks).join(marks, "doc_id").where("held_out").collect()
