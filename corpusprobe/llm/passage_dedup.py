@@ -76,14 +76,23 @@ def kmers(ids: np.ndarray, mult: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def window_least(h: np.ndarray, w: int) -> np.ndarray:
+    """For each run of ``w`` values the place of its smallest, the first one if several are equal."""
+    at, size = np.arange(len(h)), 1
+    while size < w:  # runs of twice the size, then of w, from two that overlap or touch
+        step = min(size, w - size)
+        left, right = at[:-step], at[step:]
+        at, size = np.where(h[left] <= h[right], left, right), size + step
+    return at
+
+
 def seeds_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the minimizers of a sequence of word hashes."""
     h = kmers(ids, _MULT)
-    n = len(h)
-    if not n:
+    if not len(h):
         return h, np.empty(0, dtype=np.int64)
-    w = min(WINDOW, n)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1) + np.arange(n - w + 1))
+    at = window_least(h, min(WINDOW, len(h)))
+    at = at[np.concatenate([[True], at[1:] != at[:-1]])]  # the places never go back
     return h[at], at
 
 
@@ -367,12 +376,28 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(broadcast_if(named, BROADCAST_IDS), F.col("doc_id") == F.col("id"), "left_semi")
 
 
-def first_hits(seeds: DataFrame) -> DataFrame:
-    """Per document with open seeds whose first place is in an earlier document: its ``hits``."""
-    first = (seeds.groupBy("h").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last"))
-             .where(F.col("first.doc_id") < F.col("last")).select("h", "first"))
-    hits = seeds.where("open").join(first, "h").where(F.col("doc_id") > F.col("first.doc_id")).select(
-        "doc_id", F.struct(F.col("first.doc_id").alias("other"), "place", F.col("first.place").alias("other_place")).alias("hit"))
+def place_bits(texts: DataFrame) -> int | None:
+    """Bits for the places if an id and a place fit one long together."""
+    r = texts.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top"), F.max("n_words").alias("words")).first()
+    if r["words"] is None or r["low"] < 0:
+        return None
+    bits = r["words"].bit_length()
+    return bits if r["top"].bit_length() + bits < 63 else None
+
+
+def first_hits(seeds: DataFrame, bits: int | None) -> DataFrame:
+    """Per document with open seeds whose first place is in an earlier document: its ``hits``.
+
+    With ``bits``, the first place is found as one long: such a minimum is hashed, one of a struct sorts all seeds."""
+    if bits is None:
+        first, doc, place = F.min(F.struct("doc_id", "place")), F.col("first.doc_id"), F.col("first.place")
+    else:
+        first = F.min(F.shiftleft("doc_id", bits).bitwiseOR(F.col("place").cast("long")))
+        doc, place = F.shiftright("first", bits), F.col("first").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    first = (seeds.groupBy("h").agg(first.alias("first"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("last"))
+             .select("h", doc.alias("first_doc"), place.alias("first_place"), "last").where(F.col("first_doc") < F.col("last")).drop("last"))
+    hits = seeds.where("open").join(first, "h").where(F.col("doc_id") > F.col("first_doc")).select(
+        "doc_id", F.struct(F.col("first_doc").alias("other"), "place", F.col("first_place").alias("other_place")).alias("hit"))
     return hits.groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
 
 
@@ -387,7 +412,8 @@ def aligned_passages(hits: DataFrame, docs: DataFrame, span: int) -> DataFrame:
     return scratch_table(aligned.mapInArrow(partial(_align_rows, span=span), _PASSAGE).distinct(), "passages")
 
 
-def missed_passages(texts: DataFrame, seeds: DataFrame, hits: DataFrame, passages: DataFrame, docs: DataFrame) -> DataFrame | None:
+def missed_passages(texts: DataFrame, seeds: DataFrame, hits: DataFrame, passages: DataFrame, docs: DataFrame,
+                    bits: int | None) -> DataFrame | None:
     """Step 5; None if nothing can have been missed."""
     spans = scratch_table(passages.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans")), "passage-spans")
     own = hits.select("doc_id", F.col("hits.place").alias("hit_places"))
@@ -402,7 +428,7 @@ def missed_passages(texts: DataFrame, seeds: DataFrame, hits: DataFrame, passage
     rows = _only(docs, held.select("id")).join(held, F.col("doc_id") == F.col("id"))
     windows = scratch_table(rows.select("doc_id", "text", "asked_places", "spans").mapInArrow(
         _window_rows, "h long, doc_id long, place int, open boolean"), "passage-windows")
-    return aligned_passages(first_hits(windows), docs, MIN_WORDS)
+    return aligned_passages(first_hits(windows, bits), docs, MIN_WORDS)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -419,9 +445,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = long_enough.join(copied, F.col("doc_id") == F.col("copied"), "left_anti")
     seeds = texts.select("doc_id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(
         F.col("s.seeds").alias("h"), "doc_id", F.col("s.places").alias("place"), F.lit(True).alias("open"))
-    hits = scratch_table(first_hits(seeds), "passage-hits")
+    bits = place_bits(long_enough)
+    hits = scratch_table(first_hits(seeds, bits), "passage-hits")
     found = aligned_passages(hits, docs, 1)
-    more = missed_passages(texts, seeds, hits, found, docs)
+    more = missed_passages(texts, seeds, hits, found, docs, bits)
     if more is not None:
         found = found.unionByName(more).distinct()
     whole = copies.select(

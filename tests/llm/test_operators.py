@@ -414,3 +414,23 @@ def test_quality_stage_keeps_clean_documents(spark):
     clean = docs.join(marks.where("quality = 1"), "doc_id").where(F.size(F.split("text", r"\s+")) >= 20).count()
     assert kept.where("quality = 1").count() >= 0.97 * clean
     assert kept.where("quality = 0").count() <= 0.1 * marks.where("quality = 0").count()
+
+
+def test_minimizers_by_definition():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 9, 10, 11, 40, 300):
+        for values in (2, 3, 1 << 60):
+            h = rng.integers(0, values, n).astype(np.uint64)
+            w = min(10, n)
+            want = [i + int(np.argmin(h[i:i + w])) for i in range(n - w + 1)]
+            assert passage_dedup.window_least(h, w).tolist() == want
+
+
+def test_first_places_packed_or_not(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    want = sorted(map(tuple, passage_dedup.repeated_passages(docs).collect()))
+    assert passage_dedup.place_bits(docs.selectExpr("doc_id", "n_chars AS n_words"))
+    assert passage_dedup.place_bits(docs.selectExpr("-doc_id AS doc_id", "n_chars AS n_words")) is None
+    assert passage_dedup.place_bits(docs.selectExpr("doc_id + (1L << 50) AS doc_id", "n_chars AS n_words")) is None
+    monkeypatch.setattr(passage_dedup, "place_bits", lambda texts: None)
+    assert sorted(map(tuple, passage_dedup.repeated_passages(docs).collect())) == want and want
