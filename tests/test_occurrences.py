@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusprobe.operators import occurrences as occ
 from corpusprobe.operators.occurrences import occurrence_counts
@@ -132,3 +133,29 @@ def test_both_join_plans(spark):
     for size, broadcasts in ((0, False), (occ.BROADCAST_BYTES, True)):
         plan = occurrence_counts(docs, q, broadcast_bytes=size)._jdf.queryExecution().optimizedPlan().toString()
         assert ("strategy=broadcast" in plan) == broadcasts
+
+
+def test_sieves_drop_rows_before_a_shuffle(spark):
+    """Windows and pairs without a partner stay where they are, also when the queries are too many to send."""
+    docs = [(i, " ".join(f"w{i * 40 + k}x" for k in range(40))) for i in range(50)] + [(99, "say hello there, my friend now")]
+    toks = occ._tokens(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", False)
+    q = occ.distinct_queries(spark.createDataFrame([("lo there, my fr",), ("o there, m",), ("ere, my",)], "query string")).withColumn(
+        "qid", F.monotonically_increasing_id()).localCheckpoint()
+    chunks, pairs = occ.chunk_queries(q), occ.pair_queries(q)
+    classes = [tuple(r) for r in chunks.select("s", "a", "b").distinct().collect()]
+    assert occ.token_windows(toks, classes).count() > 2000
+    kept = occ.token_windows(toks, classes, sieve=occ.Sieve(occ.chunk_hashes(chunks), 6))
+    assert 2 <= kept.count() <= 20
+    near = occ.token_pairs(toks, [tuple(r) for r in pairs.select("a1", "a2").distinct().collect()], ["doc_id"], occ.Sieve(occ.pair_hashes(pairs), 3))
+    assert 1 <= near.count() <= 10
+
+
+def test_large_query_tables_count_the_same(spark):
+    docs = [(1, "a b c a b c  a b"), (2, "xa bc a b"), (3, None), (4, "längere Wörter, längere Wörterbücher")]
+    asked = ["a b", "a b c", "b c a", " a", "", "b ", "  ", "c  a", "längere Wörter", "ere Wörterb", "a b c a b c  a b", "zz y"]
+    asked += [f"{x}{i}{y}" for i in range(30) for x, y in (("u", " v"), ("u v", " w x"))]  # too large to send with one block allowed
+    corpus = spark.createDataFrame(docs, "doc_id bigint, text string")
+    queries = spark.createDataFrame([(x,) for x in asked], "query string")
+    for bound in (0, 4096, occ.BROADCAST_BYTES):
+        got = {r["query"]: r["n"] for r in occ.occurrence_counts(corpus, queries, broadcast_bytes=bound).collect()}
+        assert got == {x: sum(t.startswith(x, i) for _, t in docs if t for i in range(len(t))) for x in asked if x}
