@@ -55,8 +55,8 @@ from .common import WordHashes, bucket_of, scratch_table, space_words, text_byte
 HELD_OUT_MOD = 10
 ADD = 0.1
 END = b"\n"
-#: Words whose company tells the class of a text, documents they are chosen from, and groups of them.
-TRACKED, TRACK_DOCS, CLASSES = 256, 2000, 6
+#: Words whose company tells the class of a text, and groups of them.
+TRACKED, CLASSES = 256, 6
 #: Codes of units: the class; a piece that goes on with a long word; a long word (for the base alone).
 GOES_ON, LONG = 8, 24
 PIECE = 64
@@ -76,7 +76,7 @@ RIDGE = 100.0
 MIX_CHUNK, MIX_STEP = 65_536, 0.5
 TOP_UNITS = 1_000_000
 #: Bytes of text whose units are counted, and scored, at once.
-COUNT_CHUNK, TEXT_CHUNK = 16_000_000, 8_000_000
+COUNT_CHUNK, TEXT_CHUNK = 4_000_000, 4_000_000
 
 _U = np.uint64
 _SEEDS = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -185,17 +185,17 @@ def _trained(docs: DataFrame) -> DataFrame:
 
 
 def tracked_words(docs: DataFrame) -> list[bytes]:
-    """The words of most documents, in a bounded sample of training documents."""
+    """The words that stand in most training documents, all of them counted."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for texts, _ in text_chunks(batches, COUNT_CHUNK):
             seen = Counter()
-            for raw in text_bytes(batch):
+            for raw in texts:
                 seen.update(set(space_words(raw)))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())],
                                              names=["word", "n"])
 
-    some = _trained(docs).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(TRACK_DOCS).select("text")
-    top = some.mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = _trained(docs).select("text").mapInArrow(rows, "word binary, n long")
+    top = counts.groupBy("word").agg(F.sum("n").alias("n"))
     return [bytes(r["word"]) for r in top.orderBy(F.desc("n"), "word").limit(TRACKED).collect()]
 
 

@@ -186,3 +186,14 @@ def test_better_than_the_unigrams_on_held_out_texts(spark):
     rows = cm.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
     assert 1 < sum(r["bits_per_byte"] for r in rows) / len(rows) < 2.5
+
+
+def test_tracked_words_come_from_all_training_documents(spark):
+    rng = random.Random(11)
+    names = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join(rng.choices(names, k=8))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    import zlib
+    seen = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in set(t.split()))
+    want = [w.encode() for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0].encode()))[:cm.TRACKED]]
+    assert cm.tracked_words(df) == want
