@@ -22,7 +22,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 MAX_VOCABULARY_BYTES = 32 * 1024 * 1024
 #: Characters handed to an encoder at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 500_000
 
 #: Fixed value: the published split of byte-level vocabularies into words, numbers, signs and spaces.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,11 +67,12 @@ class Codec:
             self.decode = pieces.decode
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
+def _chunks(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column, about ``CHUNK_CHARS`` together; only these become Python strings."""
     some, size = [], 0
     for text in texts:
-        some.append(text)
-        size += len(text or "")
+        some.append(text.as_py())
+        size += len(some[-1] or "")
         if size > CHUNK_CHARS:
             yield some
             some, size = [], 0
@@ -88,7 +89,7 @@ def encode(df: DataFrame, vocabulary: tuple[str, bytes], text_col: str, ids_col:
         own = Codec(*vocabulary)
         for batch in batches:
             at = 0
-            for some in _chunks(batch.column(text_col).to_pylist()):
+            for some in _chunks(batch.column(text_col)):
                 found = iter(own.encode_all([t for t in some if t is not None]))
                 ids = pa.array([None if t is None else next(found) for t in some], pa.list_(pa.int32()))
                 part = batch.slice(at, len(some))

@@ -92,3 +92,11 @@ def test_vocabulary_files_are_checked(spark, tmp_dir):
     table = spark.createDataFrame([("x", 1)], "text string, ids int")
     with pytest.raises(ValueError):
         sw.encode(table, ("tiktoken", b""), "text")
+
+
+def test_chunks_of_an_arrow_column_are_bounded(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(sw, "CHUNK_CHARS", 10)
+    texts = ["abcdef", None, "ghijkl", "m", "", "nopqrstuvwxyz", "a"]
+    chunks = list(sw._chunks(pa.array(texts)))
+    assert [t for c in chunks for t in c] == texts and [len(c) for c in chunks] == [3, 3, 1]
