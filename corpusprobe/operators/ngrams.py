@@ -1,20 +1,24 @@
 """Lines, n-grams, dense ids and token-id text (SRC7, STR3-5, AGG6-10, TOK1-2, OCC2).
 
 The reference streams a file through worker processes into one consumer that
-holds the whole n-gram set. Here the set is a distributed ``distinct`` (partial
-aggregation per task, then a shuffle on the n-gram) and dense ids come from a
-range-partitioned, checkpointed copy plus per-partition offsets, never from a
-single-partition ``row_number``.
+holds the whole n-gram set. Here the set is a distributed ``distinct``: tasks drop
+the copies among ``SET_ROWS`` n-grams at a time (most n-grams are rare, so a larger
+table per task would spill more than it saves), then a shuffle on the n-gram. Dense
+ids come from a range-partitioned, stored copy plus per-partition offsets, never from
+a single-partition ``row_number``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusprobe.functions.text import ngram_set, ngram_strings, unnest, ws_tokens
 from corpusprobe.operators.occurrences import BROADCAST_BYTES, ROW_BYTES, count_matches
-from corpusprobe.session import ensure_checkpoint_dir
+from corpusprobe.session import stored
 
 # ------------------------------------------------------------------ lines
 
@@ -56,9 +60,32 @@ def line_ngrams(lines: DataFrame, n: int = 5, distinct: bool = False) -> DataFra
             .select("doc_id", "line_no", F.col("pos").cast("bigint"), "ngram"))
 
 
+#: N-grams among which a task drops copies.
+SET_ROWS = 200_000
+
+
 def distinct_ngrams(lines: DataFrame, n: int = 5) -> DataFrame:
     """AGG6: the union of all per-line n-gram sets, ``(ngram)``."""
-    return unnest(lines, ngram_strings(ws_tokens("line"), n), name="ngram").distinct()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.string(), size=len(found))], names=["ngram"])
+
+        for batch in batches:
+            for raw in batch.column("line").to_pylist():
+                w = raw.decode("utf-8", "replace").split()  # the same white space as ws_tokens
+                for at in range(0, len(w) - n + 1, SET_ROWS):
+                    some = w[at:at + SET_ROWS + n - 1]
+                    found.update(map(" ".join, zip(*(some[i:] for i in range(n)), strict=False)))
+                    if len(found) >= SET_ROWS:
+                        yield batch_of()
+                        found.clear()
+        if found:
+            yield batch_of()
+
+    some = lines.where(F.col("line").isNotNull()).select(F.col("line").cast("binary").alias("line"))
+    return some.mapInArrow(rows, "ngram string").repartition("ngram").distinct()
 
 
 def ngram_cardinality(ngrams: DataFrame, approx: bool = False) -> DataFrame:
@@ -76,30 +103,30 @@ def dense_index(values: DataFrame, col: str, id_col: str = "id",
     """AGG8: ``(col, id_col)`` with 0-based ids in ascending order of ``col``.
 
     ``values`` must hold distinct values of ``col`` (other columns are carried);
-    ``order`` optionally gives the sort columns. The values are written once to
+    ``order`` optionally gives the sort columns. The values are stored once in
     the shared checkpoint folder and counted there; they are cut into as many
     ranges as their number asks for (``RANGE_ROWS`` each, whatever the session's
-    shuffle partitions), and the sorted copy is written as well, so boundaries and
-    positions survive a lost executor. The per-range counts (one row per
-    range, a proven bound) are broadcast as offsets.
+    shuffle partitions), and the sorted copy is stored as well, so boundaries and
+    positions survive a lost executor. Both copies are sorted in each part: neighbours
+    share their beginnings, which makes files and shuffle small. The per-range counts
+    (one row per range, a proven bound) are broadcast as offsets.
     """
-    ensure_checkpoint_dir(values.sparkSession)
+    order = order or [F.col(col)]
     if num_partitions is None:
-        values = values.checkpoint()
+        values = stored(values.sortWithinPartitions(*order), "index-values")
         num_partitions = max(1, -(-values.count() // RANGE_ROWS))
-    order = order or [F.col(col)]
     ranged = (values
               .repartitionByRange(num_partitions, *order)
               .sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint())
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
+              .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))  # place in its range
+    ranged = stored(ranged, "index-ranges")
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     keep = [c for c in values.columns]
     return (ranged.join(F.broadcast(offs), "_pid")
-            .select(*keep, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("bigint").alias(id_col)))
+            .select(*keep, (F.col("_off") + F.col("_row")).cast("bigint").alias(id_col)))
 
 
 def extend_index(index: DataFrame, values: DataFrame, col: str, id_col: str = "id") -> DataFrame:

@@ -234,3 +234,42 @@ def test_pair_bitmap_keeps_all_matches(spark):
     for limit in (nat.BROADCAST_BYTES, 0):
         got = {(r["line_no"], r["transform"]): r["n"] for r in nat.natural_prompt_counts(lines, pairs, broadcast_bytes=limit).collect()}
         assert got == want and len(want) > 100
+
+
+def test_distinct_ngrams_of_long_and_odd_lines(spark, monkeypatch):
+    """Copies go among a bounded number of n-grams in a task, and no table of them is aggregated before the shuffle."""
+    monkeypatch.setattr(ng, "SET_ROWS", 7)
+    texts = ["a b c d e f " * 9, "a\u00a0b\u2028c d\x1ce", "a b c d", "", None, "é b c d e", "a b c d e f g h i j k l m n o p q r s t u v w x y z"]
+    lines = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id bigint, line_no bigint, line string")
+    found = ng.distinct_ngrams(lines, 5)
+    want = {" ".join(w[i:i + 5]) for t in texts if t for w in [t.split()] for i in range(len(w) - 4)}
+    rows = [r["ngram"] for r in found.collect()]
+    assert sorted(rows) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("== Initial Plan ==")[-1].split("Exchange hashpartitioning(ngram")
+    assert len(below) == 2 and "Aggregate" not in below[1]
+
+
+def test_index_copies_are_compressed_files(spark):
+    values = spark.createDataFrame([(f"v{i % 977:04d}",) for i in range(3000)], "v string").distinct()
+    index = ng.dense_index(values, "v", num_partitions=4)
+    assert "parquet" in index._jdf.queryExecution().optimizedPlan().treeString().lower()
+    assert [(r["v"], r["id"]) for r in index.orderBy("v").collect()] == [(f"v{i:04d}", i) for i in range(977)]
+
+
+def test_factored_regex_counts_like_the_alternation(spark):
+    import random
+    rng = random.Random(5)
+    words = ["a", "b", "ab", "ba", "é", "a_b", "it's", "b."]
+    pairs = [("t", i, *rng.choices(words, k=2)) for i in range(6)]
+    lines = [(i, 0, "".join(rng.choice([*words, " ", " ", ", ", "\n"]) + rng.choice([" ", "", "; "]) for _ in range(rng.randrange(0, 14)))) for i in range(300)]
+    df = spark.createDataFrame(lines, "doc_id bigint, line_no bigint, line string")
+    table = spark.createDataFrame(pairs, "transform string, idx bigint, word string, transformed string").orderBy("idx")
+    both = table.agg(F.sort_array(F.collect_list(F.struct("idx", nat.pair_core("word", "transformed").alias("c"),
+                                                          nat.unitary_regex("word", "transformed").alias("r")))).alias("x"))
+    counted = df.crossJoin(both).select(
+        F.regexp_count("line", nat.factored_regex(F.transform("x", lambda v: v["c"]))).alias("n"),
+        F.regexp_count("line", nat.regex_from_pairs(F.transform("x", lambda v: v["r"]))).alias("m")).collect()
+    assert [r["n"] for r in counted] == [r["m"] for r in counted] and sum(r["n"] for r in counted) > 50
+    patterns = nat._keyed_patterns(table.withColumn("word", F.lit("'x")))
+    assert patterns.where(F.col("core").isNotNull()).count() == 0
