@@ -14,15 +14,15 @@ once to the shared checkpoint folder and read by every round.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusprobe.operators.embed import token_buckets
 from corpusprobe.session import ensure_checkpoint_dir
 
 BUCKETS, DIM, EXTRA, ROUNDS, SEED = 4096, 64, 16, 4, 1066
@@ -30,6 +30,28 @@ BUCKETS, DIM, EXTRA, ROUNDS, SEED = 4096, 64, 16, 4, 1066
 BLOCK = 256
 
 
+#: Tokens whose buckets a task remembers.
+REMEMBERED = 200_000
+
+
+class TokenBuckets(dict):
+    """token -> md5 bucket, as :func:`~corpusprobe.operators.embed.token_buckets` gives it, remembered up to a bound."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        b = self[token] = int(md5(token.encode(), usedforsecurity=False).hexdigest()[:8], 16) % self.buckets
+        return b
+
+    def rows(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The buckets of each text's tokens; ``split`` knows the same white space as ``ws_tokens``."""
+        return [np.fromiter(map(self.__getitem__, (t or "").split()), dtype=np.int64) for t in texts]
+
+
 @dataclass
 class LsaModel:
     """``weights`` of the buckets (idf), ``basis`` (buckets x dim), singular values and number of documents."""
@@ -97,7 +119,14 @@ def fit_lsa(df: DataFrame, text_col: str = "text", dim: int = DIM, buckets: int
             extra: int = EXTRA, seed: int = SEED) -> LsaModel:
     """The encoder of a corpus; documents without a token count for nothing."""
     ensure_checkpoint_dir(df.sparkSession)
-    rows = df.select(token_buckets(text_col, buckets).cast("array<int>").alias("b")).where(F.size("b") > 0).checkpoint()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = TokenBuckets(buckets)
+        for batch in batches:
+            some = [b.astype(np.int32) for b in known.rows(batch.column(0).to_pylist()) if len(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.int32()))], names=["b"])
+
+    rows = df.select(F.col(text_col).cast("string")).mapInArrow(hashed, "b array<int>").checkpoint()
     n = rows.count()
     found = rows.select(F.explode(F.array_distinct("b")).alias("i")).groupBy("i").count().collect()
     df_of = np.zeros(buckets)
@@ -119,16 +148,16 @@ def lsa_encoder(model: LsaModel):
 
     weights, basis = model.weights, model.basis
 
-    def project(buckets):
-        rows = [np.empty(0, dtype=np.int64) if b is None else np.asarray(b, dtype=np.int64) for b in buckets]
+    def project(texts):
+        rows = TokenBuckets(len(weights)).rows(texts)
         out = [term_block(rows[at:at + BLOCK], weights) @ basis for at in range(0, len(rows), BLOCK)]
         found = np.concatenate(out) if out else np.zeros((0, basis.shape[1]))
         length = np.sqrt((found * found).sum(axis=1, keepdims=True))
         return pd.Series(list((found / np.where(length > 0, length, 1)).astype(np.float32)))
     # Real (not postponed) hints: the UDF kind is read from them.
-    project.__annotations__ = {"buckets": pd.Series, "return": pd.Series}
+    project.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     udf = F.pandas_udf(project, "array<float>")
 
     def encode(text) -> Column:
-        return udf(token_buckets(text, len(weights)))
+        return udf((F.col(text) if isinstance(text, str) else text).cast("string"))
     return encode

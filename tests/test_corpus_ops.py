@@ -273,3 +273,10 @@ def test_factored_regex_counts_like_the_alternation(spark):
     assert [r["n"] for r in counted] == [r["m"] for r in counted] and sum(r["n"] for r in counted) > 50
     patterns = nat._keyed_patterns(table.withColumn("word", F.lit("'x")))
     assert patterns.where(F.col("core").isNotNull()).count() == 0
+
+
+def test_lsa_buckets_are_those_of_the_columns(spark):
+    texts = ["a b\u00a0c  a", "", None, "é\x1cü\u2028z", " \t", "längere Wörter " * 5]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    want = [r["b"] or [] for r in df.orderBy("doc_id").select(em.token_buckets("text", 4096).alias("b")).collect()]
+    assert [x.tolist() for x in lsa.TokenBuckets(4096).rows(texts)] == want
