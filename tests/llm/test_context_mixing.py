@@ -197,3 +197,26 @@ def test_tracked_words_come_from_all_training_documents(spark):
     seen = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in set(t.split()))
     want = [w.encode() for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0].encode()))[:cm.TRACKED]]
     assert cm.tracked_words(df) == want
+
+
+def test_units_alike_so_far_are_one_node():
+    """48 words with one beginning have one node for each bit of it, whatever their number."""
+    units = sorted(b"beginning" + bytes([97 + a, 97 + b]) + b" " for a in range(8) for b in range(6))
+    bucket = bucket_of(units, np.full(48, 1), np.arange(48), 3)
+    columns = list(bucket.node_columns((10, 12, 13)))
+    for j, (reached, group, nodes) in enumerate(columns):
+        sizes = [len(node) for _, _, node, *_ in nodes]
+        assert len(reached) == 48 and len(set(group.tolist())) == len({u[:j + 1] for u in units})
+        assert sizes[0] == len({u[:j] for u in units}) and (j >= 9 or sizes == [1] * 8)
+
+
+def test_words_of_a_chunk_are_kept_once():
+    texts = [b"One one\tTWO\xc3\x89 \n", b"", b" two\xc3\x89\x0bone\x85 " + b"z" * 70]
+    names, index, of = cm.chunk_words(texts)
+    assert len(set(names)) == len(names)
+    assert [(names[i], t) for i, t in zip(index.tolist(), of.tolist(), strict=True)] == [
+        (w, t) for t, raw in enumerate(texts) for w in [*raw.lower().split(), cm.END]]
+    some = cm.Texts(texts, cm.WordHashes(), cm.tracked_hashes({b"one": 2}))
+    name, code, which = some.distinct()
+    assert [cm.unit_keys(some.ids[name], code)[which].tolist(), len(set(zip(name.tolist(), code.tolist(), strict=True)))] == [
+        some.keys.tolist(), len(name)]
