@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +48,22 @@ RECALL = 0.98
 EXACT_SIZES = 64
 #: Shingle hashes whose minima are taken at once (they stay in a core's cache).
 CHUNK = 1 << 16
+#: Texts whose n-grams are hashed at once.
+TEXTS = 256
 
 
 # ------------------------------------------------------------------ sets and signatures
 
 @dataclass
 class Sets:
-    """Sets still to be built from a table: the columns of their unique key and of their distinct members."""
+    """Sets still to be built from a table: the columns of their unique key and of their distinct members
+    (for word n-grams of a text, also its column and n)."""
 
     df: DataFrame
     key: Column
     shingles: Column
+    text: Column | None = None
+    n: int = 0
 
     def rows(self) -> DataFrame:
         """``(key, shingles)``."""
@@ -73,7 +79,7 @@ class Sets:
 
 def text_sets(df: DataFrame, key_col: str, text_col: str = "text", n: int = 5) -> Sets:
     """The distinct word n-grams of each row's text."""
-    return Sets(df, F.col(key_col), ngram_set(ws_tokens(text_col), n))
+    return Sets(df, F.col(key_col), ngram_set(ws_tokens(text_col), n), F.col(text_col), n)
 
 
 def set_rows(df: DataFrame, key_col: str, text_col: str = "text", n: int = 5) -> DataFrame:
@@ -100,20 +106,53 @@ def minima(flat: np.ndarray, starts: np.ndarray, perms: list[tuple[int, int]]) -
     return out
 
 
-def set_signatures(rows: DataFrame, num_perm: int = NUM_PERM, seed: int = SEED) -> DataFrame:
-    """MH1 over :func:`set_rows`: ``(key, size, sig array<bigint>)`` of the non-empty sets, without a shuffle.
+def text_hashes(text: str, n: int) -> np.ndarray:
+    """The :func:`~corpusprobe.operators.minhash.shingle_hash` of each distinct word n-gram of a text."""
+    words = text.split()
+    if len(words) < n:
+        return np.zeros(0, dtype=np.int64)
+    raw = " ".join(words).encode()
+    ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words]) + np.arange(len(words))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    grams = dict.fromkeys(raw[a:b] for a, b in zip(starts[:len(words) - n + 1].tolist(), ends[n - 1:].tolist(), strict=True))
+    digests = b"".join([md5(g, usedforsecurity=False).digest() for g in grams])
+    return np.frombuffer(digests, dtype=">u4")[::4].astype(np.int64) % PRIME
+
+
+def _row_hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and hashes of sets that come as lists of hashes."""
+    hashes = batch.column("h")
+    return hashes.value_lengths().fill_null(0).to_numpy().astype(np.int64), hashes.flatten().to_numpy()
+
+
+def set_signatures(rows: DataFrame | Sets, num_perm: int = NUM_PERM, seed: int = SEED) -> DataFrame:
+    """MH1 over :func:`set_rows` or sets still to be built: ``(key, size, sig array<bigint>)`` of the non-empty sets, without a
+    shuffle. n-grams of texts are cut and hashed in the tasks, text by text.
 
     The same values as :func:`~corpusprobe.operators.minhash.minhash_signatures`, which
     takes sets spread over many rows."""
+    if isinstance(rows, Sets) and rows.text is not None:
+        n, given = rows.n, rows.df.select(rows.key.alias("key"), rows.text.alias("text"))
+    else:
+        rows = rows.rows() if isinstance(rows, Sets) else rows
+        n, given = 0, rows.select("key", F.transform("shingles", shingle_hash).alias("h"))
     perms = permutations(num_perm, seed)
-    result = StructType([StructField("key", rows.schema["key"].dataType), StructField("size", LongType()),
+    result = StructType([StructField("key", given.schema["key"].dataType), StructField("size", LongType()),
                          StructField("sig", ArrayType(LongType()))])
 
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
-            hashes = batch.column("h")
-            sizes = hashes.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            flat, ends = hashes.flatten().to_numpy(), np.cumsum(sizes)
+            if not n:
+                yield batch, *_row_hashes(batch)
+                continue
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                found = [text_hashes(t, n) if t is not None else np.zeros(0, np.int64) for t in part.column("text").to_pylist()]
+                yield part, np.array([len(f) for f in found], dtype=np.int64), np.concatenate(found)
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sizes, flat in hashed(batches):
+            ends = np.cumsum(sizes)
             full = np.flatnonzero(sizes)
             at = 0
             while at < len(full):
@@ -127,7 +166,7 @@ def set_signatures(rows: DataFrame, num_perm: int = NUM_PERM, seed: int = SEED)
                                              pa.array(found.ravel()))], names=["key", "size", "sig"])
                 at = upto
 
-    return rows.select("key", F.transform("shingles", shingle_hash).alias("h")).mapInArrow(signatures, result)
+    return given.mapInArrow(signatures, result)
 
 
 # ------------------------------------------------------------------ parts by size
@@ -194,11 +233,11 @@ def lsh_index(sigs: DataFrame, bounds: list[int], num_perm: int = NUM_PERM) -> D
     return _paths(sigs, num_perm, part, "key").select("part", "tree", "path", "key")
 
 
-def build_lsh_index(rows: DataFrame, num_perm: int = NUM_PERM, num_part: int = NUM_PART) -> tuple[list[int], DataFrame]:
-    """MH2: upper sizes of the parts and the index of :func:`set_rows`.
+def build_lsh_index(rows: DataFrame | Sets, num_perm: int = NUM_PERM, num_part: int = NUM_PART) -> tuple[list[int], DataFrame]:
+    """MH2: upper sizes of the parts and the index of :func:`set_rows`, or of sets still to be built.
 
     The signatures are written once to the shared checkpoint folder."""
-    ensure_checkpoint_dir(rows.sparkSession)
+    ensure_checkpoint_dir((rows.df if isinstance(rows, Sets) else rows).sparkSession)
     sigs = set_signatures(rows, num_perm).checkpoint()
     histogram = sorted(map(tuple, size_histogram(sigs).collect()))
     bounds = size_bounds([(n, total, top) for _, n, total, top in histogram], num_part)
@@ -268,9 +307,9 @@ def containment_lsh(queries: Sets, indexed: Sets, threshold: float = 0.8,
     """MH3: ``(qkey, key, overlap, q_size, containment)`` as the exact search gives them, but for pairs the index misses.
 
     ``built`` is an index of ``indexed`` made (or loaded) before. Only the sets that are candidates are built again."""
-    bounds, index = built or build_lsh_index(indexed.rows(), num_perm, num_part)
+    bounds, index = built or build_lsh_index(indexed, num_perm, num_part)
     ensure_checkpoint_dir(queries.df.sparkSession)
-    qsigs = set_signatures(queries.rows(), num_perm).withColumnRenamed("key", "qkey").checkpoint()
+    qsigs = set_signatures(queries, num_perm).withColumnRenamed("key", "qkey").checkpoint()
     cand = lsh_candidates(qsigs, bounds, index, threshold, num_perm, broadcast_bytes).checkpoint()
     keys = broadcast_if_small(cand.select("key").distinct(), F.lit(64), broadcast_bytes)
     qs = queries.members().withColumnRenamed("key", "qkey")

@@ -180,3 +180,19 @@ def test_prefix_arithmetic():
     for a, b in mh.permutations()[:20]:
         assert lsh.minima(h, np.arange(3), [(a, b)])[:, 0].tolist() == [(a * int(x) + b) % mh.PRIME for x in h]
     assert math.isclose(mh.PRIME, 2**31 - 1)
+
+
+def test_texts_have_the_signatures_of_their_rows(spark):
+    spaces = "".join(chr(c) for c in range(0x3100) if not chr(c).isalnum())
+    texts = ["a b c d e", "a b c d", None, "", "  é ß\u3000ü\x85x\xa0y z é ß ü x y ", "to be or not " * 400,
+             " ".join(f"w{c}" for c in spaces), "".join(f"{c}q" for c in spaces), "x\U0001f600 y z 😀 ö"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for n in (1, 2, 5):
+        want = sorted(map(tuple, lsh.set_signatures(lsh.set_rows(df, "k", "t", n)).collect()))
+        assert sorted(map(tuple, lsh.set_signatures(lsh.text_sets(df, "k", "t", n)).collect())) == want
+        assert len(want) >= 5
+    for key, _, sig in want:
+        words = texts[key].split()
+        grams = {" ".join(words[i:i + 5]) for i in range(len(words) - 4)}
+        hashes = np.array([int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % mh.PRIME for g in grams])
+        assert sig == [int(((a * hashes + b) % mh.PRIME).min()) for a, b in mh.permutations()]
