@@ -220,3 +220,40 @@ def test_words_of_a_chunk_are_kept_once():
     name, code, which = some.distinct()
     assert [cm.unit_keys(some.ids[name], code)[which].tolist(), len(set(zip(name.tolist(), code.tolist(), strict=True)))] == [
         some.keys.tolist(), len(name)]
+
+
+@pytest.mark.parametrize("kind", ["common", "by_place", "level", "few"])
+def test_tracked_words_are_exact_though_chunks_tell_few(spark, monkeypatch, kind):
+    import zlib
+    rng = random.Random(13)
+    names = [f"w{i}" for i in range({"common": 400, "by_place": 400, "level": 3000, "few": 30}[kind])]
+    weights = [1] * len(names) if kind == "level" else [1 / (5 + i) for i in range(len(names))]
+    rows = []
+    for i in range(2000):
+        turned = names[i // 500 * 60:] + names[:i // 500 * 60] if kind == "by_place" else names
+        rows.append((i, " ".join(rng.choices(turned, weights, k=25) + [f"rare{i}x{k}" for k in range(10 if kind != "few" else 0)])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(4)
+    seen = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in set(t.split()))
+    want = [w.encode() for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0].encode()))[:cm.TRACKED]]
+    monkeypatch.setattr(cm, "COUNT_CHUNK", 30_000)
+    ways, counted = [], cm.word_texts
+    monkeypatch.setattr(cm, "word_texts", lambda docs, part, among=None: (ways.append((part, among is None)), counted(docs, part, among))[1])
+    for part in (cm.TOLD_PART, 8, 3):
+        monkeypatch.setattr(cm, "TOLD_PART", part)
+        assert cm.tracked_words(docs) == want
+    told = counted(docs, 8)
+    assert told.where("known is null").count() == 0 and (kind == "few" or told.count() < len(seen) / 10)
+    if kind == "level":  # no word is far above the others: all are counted
+        assert (None, True) in ways
+    if kind == "by_place":
+        assert (None, False) in ways
+
+
+def test_word_counts_and_first_rows_of_a_bucket():
+    units, codes, n = some_units(5)
+    units, codes, n = [*units, b"z" * 64], np.append(codes, cm.LONG), np.append(n, 3)
+    order = sorted(range(len(units)), key=lambda i: (units[i], codes[i]))
+    bucket = bucket_of([units[i] for i in order], codes[order], n[order])
+    word, spaced = bucket.words()
+    assert word.tolist() == [cm.is_word(u, c) for u, c in zip(bucket.units, bucket.codes.tolist(), strict=True)]
+    assert spaced.tolist() == [w and u[-1:] == b" " for u, w in zip(bucket.units, word.tolist(), strict=True)]
