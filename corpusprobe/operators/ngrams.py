@@ -219,4 +219,5 @@ def token_occurrence_counts(doc_ids: DataFrame, query_ids: DataFrame,
 
     q = (query_ids.select("query", F.coalesce(words("ids"), F.array().cast("array<string>")).alias("pieces"))
          .distinct().withColumn("k", F.size("pieces")))
-    return count_matches(doc_ids.select("doc_id", words("ids").alias("toks")), q, True, False, broadcast_bytes)
+    texts = doc_ids.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("text"))
+    return count_matches(texts.where(F.col("text").isNotNull()), q, True, False, broadcast_bytes)
