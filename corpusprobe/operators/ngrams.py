@@ -12,12 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from corpusprobe.functions.text import ngram_set, ngram_strings, unnest, ws_tokens
 from corpusprobe.operators.occurrences import BROADCAST_BYTES, ROW_BYTES, count_matches
+from corpusprobe.operators.places import text_chunks, ws_token_array
 from corpusprobe.session import stored
 
 # ------------------------------------------------------------------ lines
@@ -157,29 +161,74 @@ def vocabulary(corpus: DataFrame, text_col: str = "text") -> DataFrame:
 #: Id of tokens outside the vocabulary; no query may hold it.
 UNKNOWN_ID = -1
 
+#: Bytes of texts whose distinct tokens get their ids together.
+CODED_BYTES = 8 * 1024 * 1024
+
 
 def _vocab_side(vocab: DataFrame, max_bytes: int) -> DataFrame:
     size = vocab.agg(F.sum(F.octet_length("token") + ROW_BYTES).alias("b")).first()["b"] or 0
     return F.broadcast(vocab) if size <= max_bytes else vocab
 
 
+def _coded_texts(corpus: DataFrame, doc_col: str, text_col: str) -> DataFrame:
+    """The texts in chunks, written once: a row ``(chunk, words)`` for each chunk's distinct tokens, and
+    ``(chunk, doc_id, codes)`` for each text, whose codes (four bytes each) number them."""
+    texts = corpus.select(F.col(doc_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    schema = StructType([StructField("chunk", LongType()), StructField("words", ArrayType(BinaryType())), texts.schema["doc_id"],
+                         StructField("codes", BinaryType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for at, some in text_chunks(batch.column("text"), CODED_BYTES):
+                chunk += 1
+                tokens, ends = ws_token_array(some)
+                coded = tokens.dictionary_encode()
+                offsets, codes = np.concatenate([[0], 4 * ends]).astype(np.int32), coded.indices.to_numpy().astype("<i4").tobytes()
+                of = [pa.array(np.full(len(some), chunk)), pa.nulls(len(some), pa.list_(pa.binary())), ids.slice(at, len(some)),
+                      pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(codes)])]
+                yield pa.RecordBatch.from_arrays(of, names=schema.names)
+                words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), words, pa.nulls(1, ids.type), pa.nulls(1, pa.binary())], names=schema.names)
+
+    return stored(texts.mapInArrow(rows, schema), "coded-texts")
+
+
 def token_ids(corpus: DataFrame, vocab: DataFrame, doc_col: str = "doc_id",
               text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """TOK1: ``(doc_id, ids array<int>)`` in word order, one row per document.
 
     A token outside the vocabulary keeps its place as ``UNKNOWN_ID``, so words
     beside it never become neighbours; a document without tokens has no ids.
+    Rows of one ``doc_id`` are one document: their tokens are merged by place.
 
-    The vocabulary is broadcast below ``broadcast_bytes`` (one sizing action),
-    otherwise joined by shuffle; hot tokens are then split by AQE's skew join.
+    Only the distinct tokens of ``CODED_BYTES`` of texts meet the vocabulary, which
+    is broadcast below ``broadcast_bytes`` (one sizing action) and otherwise joined
+    by shuffle; a chunk's texts and the ids of its tokens then meet in one group.
     """
-    pos = corpus.select(F.col(doc_col).alias("doc_id"),
-                        F.posexplode_outer(ws_tokens(text_col)).alias("pos", "token"))
-    ids = pos.join(_vocab_side(vocab, broadcast_bytes), "token", "left")
-    known = F.coalesce(F.col("token_id").cast("int"), F.lit(UNKNOWN_ID)).alias("id")
-    return (ids.groupBy("doc_id")
-            .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", known)))).alias("s"))
-            .select("doc_id", F.transform("s", lambda x: x["id"]).alias("ids")))
+    coded = _coded_texts(corpus, doc_col, text_col)
+    texts = coded.where(F.col("codes").isNotNull()).select("chunk", "doc_id", "codes")
+    words = (coded.where(F.col("words").isNotNull()).select("chunk", F.posexplode("words").alias("code", "token"))
+             .withColumn("token", F.col("token").cast("string")))
+    known = words.join(_vocab_side(vocab, broadcast_bytes), "token").select(F.col("chunk").alias("of"), "code", F.col("token_id").cast("int").alias("id"))
+    schema = StructType([texts.schema["doc_id"], StructField("ids", ArrayType(IntegerType()))])
+
+    def numbered(some: pa.Table, own: pa.Table) -> pa.Table:
+        codes = some.column("codes").to_pylist()
+        flat = np.frombuffer(b"".join(codes), dtype="<i4")
+        ids = np.full(int(flat.max(initial=-1)) + 1, UNKNOWN_ID, dtype=np.int32)
+        ids[own.column("code").to_numpy()] = own.column("id").to_numpy()
+        offsets = np.cumsum([0, *(len(x) // 4 for x in codes)]).astype(np.int32)
+        return pa.table([some.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[flat]))], names=schema.names)
+
+    found = texts.groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(numbered, schema)
+    places = F.sequence(F.lit(0), F.array_max(F.transform("all", F.size)) - 1)
+    merged = F.flatten(F.transform(places, lambda p: F.array_sort(F.filter(
+        F.transform("all", lambda ids: F.get(ids, p)), lambda x: x.isNotNull()))))
+    return (found.groupBy("doc_id").agg(F.collect_list("ids").alias("all"))
+            .select("doc_id", F.when(F.size("all") == 1, F.element_at("all", 1))
+                    .when(F.array_max(F.transform("all", F.size)) == 0, F.array().cast("array<int>")).otherwise(merged).alias("ids")))
 
 
 def token_lines(ids: DataFrame) -> DataFrame:

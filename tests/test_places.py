@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpusprobe.operators import ngrams as ng
 from corpusprobe.operators import occurrences as occ
 from corpusprobe.operators import places as pl
 from corpusprobe.operators.sieves import Sieve
@@ -74,3 +75,16 @@ def test_counts_in_copied_documents_and_wide_characters(spark):
         assert got == {x: sum(overlap_count(d, x) for d in docs if d) for x in asked}
     tally = pl.token_tally(corpus, F.col("text"), pl.ws_token_array).collect()
     assert {(r["token"], r["n"]) for r in tally} >= {("längere", 3), ("a", 1)} and "" not in {r["token"] for r in tally}
+
+
+def test_ids_move_by_distinct_tokens(spark):
+    """The vocabulary meets a chunk's distinct tokens, not every token; rows of one document are merged by place."""
+    docs = [(i, "a b " * 2000 + f"x{i}") for i in range(20)] + [(50, "b a X"), (50, "a c"), (None, "a"), (None, None), (51, ""), (52, None)]
+    corpus = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    coded = ng._coded_texts(corpus, "doc_id", "text")
+    assert coded.where("words is not null").agg(F.sum(F.size("words"))).first()[0] <= 40   # of 80,000 tokens
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token string, token_id bigint")
+    for size in (0, 1 << 20):
+        got = {r["doc_id"]: r["ids"] for r in ng.token_ids(corpus, vocab, broadcast_bytes=size).collect()}
+        assert got.pop(50) == [0, 1, 0, 2, -1] and got.pop(51) == [] and got.pop(52) == [] and got.pop(None) == [0]
+        assert got == {i: [0, 1] * 2000 + [-1] for i in range(20)}
