@@ -2,10 +2,10 @@
 
 The reference streams a file through worker processes into one consumer that
 holds the whole n-gram set. Here the set is a distributed ``distinct``: tasks drop
-the copies among ``SET_ROWS`` n-grams at a time (most n-grams are rare, so a larger
-table per task would spill more than it saves), then a shuffle on the n-gram. Dense
-ids come from a range-partitioned, stored copy plus per-partition offsets, never from
-a single-partition ``row_number``.
+the copies among ``SET_ROWS`` n-grams at a time, then sorted ranges of them go packed
+through a shuffle (:mod:`corpusprobe.operators.packed`). Dense ids come from a
+range-partitioned, stored copy plus per-partition offsets, never from a
+single-partition ``row_number``.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from corpusprobe.functions.text import ngram_set, ngram_strings, unnest, ws_tokens
+from corpusprobe.operators import packed
 from corpusprobe.operators.occurrences import BROADCAST_BYTES, ROW_BYTES, count_matches
 from corpusprobe.operators.places import text_chunks, ws_token_array
-from corpusprobe.session import stored
+from corpusprobe.session import shuffles_dropped, stored
 
 # ------------------------------------------------------------------ lines
 
@@ -64,42 +65,47 @@ def line_ngrams(lines: DataFrame, n: int = 5, distinct: bool = False) -> DataFra
             .select("doc_id", "line_no", F.col("pos").cast("bigint"), "ngram"))
 
 
+#: Values of a range of dense ids: one sorted partition.
+RANGE_ROWS = 1_000_000
+
 #: N-grams among which a task drops copies.
-SET_ROWS = 200_000
+SET_ROWS = 1_000_000
 
 
 def distinct_ngrams(lines: DataFrame, n: int = 5) -> DataFrame:
-    """AGG6: the union of all per-line n-gram sets, ``(ngram)``."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[str] = set()
-
-        def batch_of() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.string(), size=len(found))], names=["ngram"])
-
-        for batch in batches:
-            for raw in batch.column("line").to_pylist():
-                w = raw.decode("utf-8", "replace").split()  # the same white space as ws_tokens
-                for at in range(0, len(w) - n + 1, SET_ROWS):
-                    some = w[at:at + SET_ROWS + n - 1]
-                    found.update(map(" ".join, zip(*(some[i:] for i in range(n)), strict=False)))
-                    if len(found) >= SET_ROWS:
-                        yield batch_of()
-                        found.clear()
-        if found:
-            yield batch_of()
+    """AGG6: the union of all per-line n-gram sets, ``(ngram)``.
 
-    some = lines.where(F.col("line").isNotNull()).select(F.col("line").cast("binary").alias("line"))
-    return some.mapInArrow(rows, "ngram string").repartition("ngram").distinct()
+    They go through the shuffle packed, in sorted ranges (one action chooses these), of
+    which :func:`dense_index` and :func:`extend_index` make further use."""
+    ranges = packed.line_ranges(lines, n, SET_ROWS, RANGE_ROWS)
+    found = packed.merged_values(ranges)
+    found.ngram_ranges = ranges
+    return found
 
 
 def ngram_cardinality(ngrams: DataFrame, approx: bool = False) -> DataFrame:
-    """AGG7: ``(n_ngrams)``; ``approx`` uses HyperLogLog++ (stored sketches: :mod:`corpusprobe.operators.sketches`)."""
-    agg = F.approx_count_distinct("ngram") if approx else F.count_distinct("ngram")
+    """AGG7: ``(n_ngrams)``; ``approx`` uses HyperLogLog++ (stored sketches: :mod:`corpusprobe.operators.sketches`).
+
+    What :func:`distinct_ngrams` found has no copies, so that counting it needs no second shuffle."""
+    exact = F.count_distinct("ngram") if getattr(ngrams, "ngram_ranges", None) is None else F.count("ngram")
+    agg = F.approx_count_distinct("ngram") if approx else exact
     return ngrams.agg(agg.cast("bigint").alias("n_ngrams"))
 
 
-#: Values of a range of dense ids: one sorted partition.
-RANGE_ROWS = 1_000_000
+def _offsets(counts: DataFrame, part: str) -> DataFrame:
+    """``(part, _off)`` of ``(part, _c)``: the values before each part."""
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(part, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+
+
+def _packed_index(ranges: packed.Ranges, col: str, id_col: str, first: Column) -> DataFrame:
+    """``(col, id_col)`` of n-grams in ranges, numbered from ``first``; the only copy of them is stored packed."""
+    merged = packed.merged_pieces(ranges)
+    with shuffles_dropped(merged.sparkSession):
+        pieces = stored(merged, "index-ranges")
+    offs = _offsets(pieces.groupBy("ngram_range").agg(F.sum("n").alias("_c")), "ngram_range")
+    placed = pieces.join(F.broadcast(offs), "ngram_range").withColumn("start", (first + F.col("_off") + F.col("place")).cast("bigint"))
+    return packed.numbered_values(placed, ranges.n, col, id_col)
 
 
 def dense_index(values: DataFrame, col: str, id_col: str = "id",
@@ -113,8 +119,12 @@ def dense_index(values: DataFrame, col: str, id_col: str = "id",
     shuffle partitions), and the sorted copy is stored as well, so boundaries and
     positions survive a lost executor. Both copies are sorted in each part: neighbours
     share their beginnings, which makes files and shuffle small. The per-range counts
-    (one row per range, a proven bound) are broadcast as offsets.
+    (one row per range, a proven bound) are broadcast as offsets. What
+    :func:`distinct_ngrams` found is in ranges already and stored once, packed.
     """
+    ranges = getattr(values, "ngram_ranges", None)
+    if ranges is not None and order is None and num_partitions is None:
+        return _packed_index(ranges, col, id_col, F.lit(0))
     order = order or [F.col(col)]
     if num_partitions is None:
         values = stored(values.sortWithinPartitions(*order), "index-values")
@@ -126,8 +136,7 @@ def dense_index(values: DataFrame, col: str, id_col: str = "id",
               .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))  # place in its range
     ranged = stored(ranged, "index-ranges")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    offs = _offsets(counts, "_pid")
     keep = [c for c in values.columns]
     return (ranged.join(F.broadcast(offs), "_pid")
             .select(*keep, (F.col("_off") + F.col("_row")).cast("bigint").alias(id_col)))
@@ -137,10 +146,16 @@ def extend_index(index: DataFrame, values: DataFrame, col: str, id_col: str = "i
     """AGG8, kept up: ``index`` with the values it lacks, whose ids follow its largest one in ascending order.
 
     Ids given before stay, so what was written with them stays right. ``values``
-    need not be distinct, nor new. Only the new values are sorted."""
-    new = values.select(col).where(F.col(col).isNotNull()).distinct().join(index.select(col), col, "left_anti")
-    top = index.agg(F.max(id_col)).first()[0]
+    need not be distinct, nor new. Only the new values are sorted. Where they are what
+    :func:`distinct_ngrams` found, those of the index go to the same ranges, packed like them."""
+    ranges = getattr(values, "ngram_ranges", None)
+    picked = F.when(F.lit(ranges is not None) & (F.pmod(F.xxhash64(col), F.lit(packed.SAMPLE_EVERY)) == 0), F.col(col).cast("binary"))
+    top, total, sample = index.agg(F.max(id_col), F.count(col), F.collect_list(picked)).first()
     start = 0 if top is None else top + 1
+    if ranges is not None:
+        left = packed.without(ranges, index, col, [bytes(x) for x in sample], total)
+        return index.select(col, id_col).unionByName(_packed_index(left, col, id_col, F.lit(start)))
+    new = values.select(col).where(F.col(col).isNotNull()).distinct().join(index.select(col), col, "left_anti")
     return index.select(col, id_col).unionByName(
         dense_index(new, col, id_col).select(col, (F.col(id_col) + F.lit(start)).alias(id_col)))
 
