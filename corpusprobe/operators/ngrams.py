@@ -100,9 +100,11 @@ def _offsets(counts: DataFrame, part: str) -> DataFrame:
 
 def _packed_index(ranges: packed.Ranges, col: str, id_col: str, first: Column) -> DataFrame:
     """``(col, id_col)`` of n-grams in ranges, numbered from ``first``; the only copy of them is stored packed."""
-    merged = packed.merged_pieces(ranges)
-    with shuffles_dropped(merged.sparkSession):
-        pieces = stored(merged, "index-ranges")
+    pieces = None
+    for merged in packed.merged_pieces(ranges):
+        with shuffles_dropped(merged.sparkSession):
+            some = stored(merged, "index-ranges")
+        pieces = some if pieces is None else pieces.unionByName(some)
     offs = _offsets(pieces.groupBy("ngram_range").agg(F.sum("n").alias("_c")), "ngram_range")
     placed = pieces.join(F.broadcast(offs), "ngram_range").withColumn("start", (first + F.col("_off") + F.col("place")).cast("bigint"))
     return packed.numbered_values(placed, ranges.n, col, id_col)

@@ -10,7 +10,7 @@ a sample of the n-grams; they decide where an n-gram is merged, never whether it
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -28,6 +28,8 @@ GRAM_BYTES = 32         # of an n-gram, usually; beside its text it takes twice
 PIECE_ROWS = 100_000    # n-grams of a range unpacked together
 KNOWN_BYTES = 8 * 1024 * 1024  # of an index's n-grams packed together; they come in order
 LEVEL = 5               # of zstd
+PASSES = 2              # over more than PASS_ROWS n-grams, each for its share of the ranges: the disk holds one's shuffle at a time
+PASS_ROWS = 4_000_000
 
 PIECES = "ngram_range int, old boolean, size bigint, packed binary"
 SORTED_PIECES = "ngram_range int, place bigint, n bigint, size bigint, packed binary"
@@ -35,13 +37,13 @@ SORTED_PIECES = "ngram_range int, place bigint, n bigint, size bigint, packed bi
 
 @dataclass(frozen=True)
 class Ranges:
-    """N-grams of ``n`` words, not merged yet: ``cut`` gives their pieces (``PIECES``) at any bounds, ``sample`` is of ``total`` with copies."""
+    """N-grams of ``n`` words, not merged yet: ``cut`` gives their pieces (``PIECES``) in some ranges at any bounds, ``sample`` is of ``total`` with copies."""
     n: int
     sample: list[bytes]
     total: int
     range_rows: int
     cores: int
-    cut: Callable[[list[bytes]], DataFrame]
+    cut: Callable[[list[bytes], range], DataFrame]
 
     def bounds(self) -> list[bytes]:
         """The first n-gram of each range but the first."""
@@ -123,20 +125,21 @@ def _lined(words: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(words, b"", b"\n")
 
 
-def _pieces(words: pa.Array, codes: list[np.ndarray], bounds: list[bytes], old: bool) -> Iterator[pa.RecordBatch]:
-    """N-grams sorted, without copies, cut at the bounds and packed."""
+def _pieces(words: pa.Array, codes: list[np.ndarray], bounds: list[bytes], wanted: range, old: bool) -> Iterator[pa.RecordBatch]:
+    """N-grams sorted, without copies, cut at the bounds and packed: those in the ranges ``wanted``."""
     order, differ = _in_order(words, codes)
     order = order[differ]
     for k, some in enumerate(codes):
         codes[k] = some[order]
-    lined, codec = _lined(words), _codec()
+    lined, codec, places = _lined(words), _codec(), range(len(order))
 
     def gram(at: int) -> bytes:
         return b" ".join(words[int(some[at])].as_py() for some in codes)
 
-    start = 0
-    for i in range(len(bounds) + 1):
-        end = bisect_left(range(len(order)), bounds[i], lo=start, key=gram) if i < len(bounds) else len(order)
+    first, last = max(wanted.start, bisect_right(bounds, gram(0))), min(wanted.stop - 1, bisect_right(bounds, gram(places[-1])))
+    start = bisect_left(places, bounds[first - 1], key=gram) if first else 0
+    for i in range(first, last + 1):
+        end = bisect_left(places, bounds[i], lo=start, key=gram) if i < len(bounds) else len(places)
         if end > start:
             size, packed = _packed(lined, [some[start:end] for some in codes], codec)
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([old]), pa.array([size]), pa.array([packed], pa.binary())],
@@ -224,13 +227,13 @@ def line_ranges(lines: DataFrame, n: int, chunk_rows: int, range_rows: int) -> R
 
     found = some.mapInArrow(sampled, "ngram binary, n bigint").collect()
 
-    def pieces(bounds: list[bytes]) -> DataFrame:
+    def pieces(bounds: list[bytes], wanted: range) -> DataFrame:
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for tokens, starts in _line_grams(batches, n, chunk_rows):
                 first, last = int(starts[0]), int(starts[-1]) + n
                 coded = tokens.slice(first, last - first).dictionary_encode()
                 codes = coded.indices.to_numpy()
-                yield from _pieces(coded.dictionary, [codes[starts - first + k] for k in range(n)], bounds, False)
+                yield from _pieces(coded.dictionary, [codes[starts - first + k] for k in range(n)], bounds, wanted, False)
 
         return some.mapInArrow(cut, PIECES)
 
@@ -245,7 +248,7 @@ def without(ranges: Ranges, known: DataFrame, col: str, sample: list[bytes], tot
     n = ranges.n
     some = known.where(F.col(col).isNotNull()).select(F.col(col).cast("binary").alias("ngram"))
 
-    def pieces(bounds: list[bytes]) -> DataFrame:
+    def pieces(bounds: list[bytes], wanted: range) -> DataFrame:
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def chunks() -> Iterator[pa.Array]:
                 some, held = [], 0
@@ -265,9 +268,14 @@ def without(ranges: Ranges, known: DataFrame, col: str, sample: list[bytes], tot
                 offsets = np.zeros(len(ends) + 1, dtype=np.int32)
                 offsets[1:] = ends - np.arange(len(ends))
                 coded = _token_array(offsets, body.translate(None, b" ")).dictionary_encode()
-                yield from _pieces(coded.dictionary, list(coded.indices.to_numpy().reshape(-1, n).T), bounds, True)
+                yield from _pieces(coded.dictionary, list(coded.indices.to_numpy().reshape(-1, n).T), bounds, wanted, True)
 
-        return ranges.cut(bounds).unionByName(some.mapInArrow(cut, PIECES))
+        part = some
+        if wanted.start:
+            part = part.where(F.col("ngram") >= F.lit(bytearray(bounds[wanted.start - 1])))
+        if wanted.stop <= len(bounds):
+            part = part.where(F.col("ngram") < F.lit(bytearray(bounds[wanted.stop - 1])))
+        return ranges.cut(bounds, wanted).unionByName(part.mapInArrow(cut, PIECES))
 
     return replace(ranges, sample=[*ranges.sample, *sample], total=ranges.total + total, cut=pieces)
 
@@ -283,12 +291,14 @@ def merged_values(ranges: Ranges) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_grams(words, [some[at:at + PIECE_ROWS] for some in codes])], names=["ngram"])
 
     bounds = ranges.bounds()
-    dealt = ranges.cut(bounds).repartition(max(2, len(bounds) + 1), "ngram_range")
+    dealt = ranges.cut(bounds, range(len(bounds) + 1)).repartition(max(2, len(bounds) + 1), "ngram_range")
     return dealt.sortWithinPartitions("ngram_range").mapInArrow(rows, "ngram string")
 
 
-def merged_pieces(ranges: Ranges) -> DataFrame:
-    """``SORTED_PIECES``: the distinct n-grams of each range in order, packed; ``place`` is that of a piece's first one in its range."""
+def merged_pieces(ranges: Ranges) -> Iterator[DataFrame]:
+    """``SORTED_PIECES``: the distinct n-grams of each range in order, packed; ``place`` is that of a piece's first one in its range.
+
+    A frame for each pass, to be stored before the next one is."""
     n = ranges.n
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +313,12 @@ def merged_pieces(ranges: Ranges) -> DataFrame:
                     names=["ngram_range", "place", "n", "size", "packed"])
 
     bounds = ranges.bounds()
-    dealt = ranges.cut(bounds).repartitionById(len(bounds) + 1, "ngram_range")
-    return dealt.sortWithinPartitions("ngram_range").mapInArrow(rows, SORTED_PIECES)
+    count = len(bounds) + 1
+    passes = min(count, PASSES if ranges.total > PASS_ROWS else 1)
+    for i in range(passes):
+        wanted = range(count * i // passes, count * (i + 1) // passes)
+        dealt = ranges.cut(bounds, wanted).repartitionById(len(wanted), F.col("ngram_range") - wanted.start)
+        yield dealt.sortWithinPartitions("ngram_range").mapInArrow(rows, SORTED_PIECES)
 
 
 def numbered_values(pieces: DataFrame, n: int, col: str, id_col: str) -> DataFrame:

@@ -34,6 +34,7 @@ def many_ranges(monkeypatch):
     monkeypatch.setattr(packed, "SAMPLE_EVERY", 3)
     monkeypatch.setattr(packed, "PIECE_ROWS", 17)
     monkeypatch.setattr(packed, "KNOWN_BYTES", 400)
+    monkeypatch.setattr(packed, "PASS_ROWS", 500)
 
 
 @pytest.mark.parametrize("n", [1, 2, 5])
